@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from quarryline.llm import decontaminate, tokenfile
+from quarryline.llm import decontaminate, exactdedup, linkgraph, mixing, simhash, tokenfile
 
 
 def queries() -> dict:
     return {
+        "op2_url_linkgraph": linkgraph.op2_url_linkgraph,
         "op3_token_frames": tokenfile.op3_token_frames,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op8_exact_dedup": exactdedup.op8_exact_dedup,
+        "op9_simhash_golay": simhash.op9_simhash_golay,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.OP6_SQL}
+    return {
+        "op2_url_linkgraph": linkgraph.OP2_SQL,
+        "op6_decontaminate": decontaminate.OP6_SQL,
+        "op8_exact_dedup": exactdedup.OP8_SQL,
+    }
