@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quarryline.llm import decontaminate, exactdedup, linkgraph, mixing, simhash, tokenfile
+from quarryline.llm import decontaminate, exactdedup, language, linkgraph, mixing, pii, quality, simhash, tokenfile
 
 
 def queries() -> dict:
     return {
         "op2_url_linkgraph": linkgraph.op2_url_linkgraph,
         "op3_token_frames": tokenfile.op3_token_frames,
+        "op4_quality_knn": quality.op4_quality_knn,
+        "op5_language_id": language.op5_language_id,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_pii_boosting": pii.op7_pii_boosting,
         "op8_exact_dedup": exactdedup.op8_exact_dedup,
         "op9_simhash_golay": simhash.op9_simhash_golay,
         "op10_mixing": mixing.op10_mixing,
