@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarryline.llm import decontaminate, exactdedup, language, linkgraph, mixing, pii, quality, simhash, tokenfile
+from quarryline.llm import decontaminate, exactdedup, language, linkgraph, mixing, pii, quality, simhash, tokenfile, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc_fixity": warc.op1_warc_fixity,
         "op2_url_linkgraph": linkgraph.op2_url_linkgraph,
         "op3_token_frames": tokenfile.op3_token_frames,
         "op4_quality_knn": quality.op4_quality_knn,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_fixity": warc.OP1_SQL,
         "op2_url_linkgraph": linkgraph.OP2_SQL,
         "op6_decontaminate": decontaminate.OP6_SQL,
         "op8_exact_dedup": exactdedup.OP8_SQL,
