@@ -27,50 +27,106 @@ from quarryline.llm.common import LONG, STRING, new_path, pieces, stored, struct
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 FRAME_BYTES = 256 << 10
-#: Distinct pieces of text whose ids a worker remembers.
-CACHE = 300_000
+#: Distinct pieces of text, and distinct words in them, whose ids a worker remembers; about 100 bytes each.
+CACHE = 500_000
 SEEKABLE_MAGIC, TABLE_MAGIC, INDEX_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 
 class Encoder:
     """ids(texts) as bytes of uint32, through the tokenizers library.
 
     A byte-level BPE never merges across a border between a visible character and a space
-    after it, so texts are cut there and each distinct piece is encoded once.
+    after it, so texts are cut there and each distinct piece is encoded once. Nor does it merge across the end of
+    a run of letters, so a piece of a word and marks is put together from both. New words are encoded together, as
+    one text; there the tokens that begin with a space are the first of each word.
     """
 
     def __init__(self, path: str):
         import os
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], wanted: set[str], before: str) -> None:
-        new = [p for p in wanted if p not in known]
-        for p, e in zip(new, self.model.encode_batch([before + p for p in new], add_special_tokens=False)):
-            ids = e.ids
-            known[p] = packing.pack(f"<{len(ids)}I", *ids)
+        self.begins = np.zeros(self.model.get_vocab_size() + 1, bool)
+        self.begins[[i for t, i in self.model.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.known: dict[str, bytes] = {}  # by piece
+        self.words: dict[str, bytes] = {}  # by word, with a space before it
+        self.marks: dict[str, bytes] = {}  # by what follows a word
+
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """One for all tasks of a worker process, with what it has learned."""
+        import sys
+        from types import ModuleType
+
+        held = sys.modules.setdefault("_quarryline_encoders", ModuleType("_quarryline_encoders")).__dict__
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
+    def _alone(self, text: str) -> bytes:
+        ids = self.model.encode(text, add_special_tokens=False).ids
+        return packing.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces that follow a space and hold none."""
+        whole, made = [], []
+        for p in new:
+            m = _WORD.match(p)
+            n = m.end() if m else 0
+            if n and n < len(p) and not p[n].isalpha():
+                made.append((p, p[:n], p[n:]))
+            else:
+                whole.append(p)
+        self._encode(list({*whole, *[w for _, w, _ in made]}.difference(self.words)))
+        words, marks = self.words, self.marks
+        for p in whole:
+            self.known[p] = words[p]
+        for p, w, x in made:
+            if x not in marks:
+                marks[x] = self._alone(x)
+            self.known[p] = words[w] + marks[x]
+
+    def _encode(self, new: list[str]) -> None:
+        import numpy as np
+
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            ids = np.array(self.model.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) != len(some):
+                self.words.update((p, self._alone(" " + p)) for p in some)
+                continue
+            raw, edges = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+            self.words.update(zip(some, [raw[a:b] for a, b in zip(edges, edges[1:])]))
 
     def ids(self, texts: list[str | None], end: int = END_ID) -> list[bytes]:
-        if len(self.first) + len(self.rest) > CACHE:
-            self.first, self.rest = {}, {}
-        cut = []
-        for t in texts:
-            parts = t.split(" ") if t else [""]
-            # empty pieces and pieces with white space at an end don't stand between two visible characters
-            if not all(map(self.rest.__contains__, parts)) and any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-                parts = _CUT.split(t or "")
-            cut.append(parts)
-        self._learn(self.first, {p[0] for p in cut}, "")
-        self._learn(self.rest, {x for p in cut for x in p[1:]} - self.rest.keys(), " ")
-        tail, rest, first = packing.pack("<I", end), self.rest.__getitem__, self.first
-        return [b"".join([first[p[0]], *map(rest, p[1:]), tail]) for p in cut]
+        if len(self.known) > CACHE:
+            self.known = {}
+        if len(self.words) + len(self.marks) > CACHE:
+            self.words, self.marks = {}, {}
+        cut = [t.split(" ") if t else [""] for t in texts]
+        new = set().union(*cut).difference(self.known)
+        # empty pieces and pieces with white space at an end don't stand between two visible characters
+        rough = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        if rough:
+            cut = [p if rough.isdisjoint(p) else _CUT.split(t) if t else p for p, t in zip(cut, texts)]
+            new = set().union(*cut).difference(self.known)
+            odd = {p for p in new if not p or " " in p or p[0].isspace() or p[-1].isspace()}
+            new -= odd
+        else:
+            odd = set()
+        self._learn(list(new))
+        known, tail = self.known.__getitem__, packing.pack("<I", end)
+        if not odd:
+            return [b"".join([self._alone(p[0]), *map(known, p[1:]), tail]) for p in cut]
+        return [b"".join([self._alone(p[0]), *[self._alone(" " + x) if x in odd else known(x) for x in p[1:]], tail]) for p in cut]
 
 
 class ShardWriter:
@@ -194,7 +250,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
                 if writer is None:
                     import public_tokenizers
 
-                    encoder = Encoder(vocabulary or public_tokenizers.path(VOCABULARY))
+                    encoder = Encoder.of_worker(vocabulary or public_tokenizers.path(VOCABULARY))
                     store, base = fs.FileSystem.from_uri(folder)
                     store.create_dir(base, recursive=True)
                     own, name = f"{base}/.{shard:06d}-{attempt}", f"{base}/{shard:06d}.ids.zst"
