@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quarryline.plans import retrieval, textual, triage
+
+_PARTS = (triage, retrieval, textual)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for p in _PARTS for k, s in p.ORACLE.items()}
