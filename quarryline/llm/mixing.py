@@ -101,8 +101,11 @@ def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
     found = mix(docs, seed).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("mix_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     times = stored(found.select("mix_id", F.expr("CASE WHEN size = 0 THEN 0 ELSE CAST(floor(taken / size + 0.5) AS INT) END").alias("times")), "times")
     joined = docs.alias("d").join(times.alias("t"), F.expr("d.doc_id = t.mix_id"), "left").where("coalesce(t.times, 1) > 0")
+    spare = "copy"
+    while spare in docs.columns:
+        spare += "_"
     copies = F.sequence(F.lit(1), F.coalesce("t.times", F.lit(1)))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(copies).alias("mix_copy")).drop("mix_copy")
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(copies).alias(spare)).drop(spare)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
