@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryline.plans import retrieval, textual, triage
+from quarryline.plans import graphs, retrieval, textual, triage
 
-_PARTS = (triage, retrieval, textual)
+_PARTS = (triage, retrieval, textual, graphs)
 
 
 def queries() -> dict:
