@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryline.plans import audits, graphs, retrieval, textual, triage
+from quarryline.plans import audits, graphs, operations, retrieval, textual, triage
 
-_PARTS = (triage, retrieval, textual, graphs, audits)
+_PARTS = (triage, retrieval, textual, graphs, audits, operations)
 
 
 def queries() -> dict:
