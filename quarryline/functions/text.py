@@ -12,7 +12,9 @@ GENERIC_TERMS = (
     "or", "print", "py", "python", "return", "should", "so", "than", "then", "there", "to", "using", "was", "were", "will", "would",
 )
 SOURCE_SUFFIXES = ("py", "js", "jsx", "ts", "tsx", "java", "go", "rs", "c", "cc", "cpp")
-LANGUAGES = {".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".java": "Java", ".go": "Go", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP"}
+LANGUAGES = {".py": "Python", ".js": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".java": "Java", ".go": "Go", ".rs": "Rust", ".c": "C", ".cc": "C++", ".cpp": "C++"}
+EXCLUDED_PARTS = (".github", "benchmark", "benchmarks", "changelog", "changes", "doc", "docs", "example", "examples", "generated", "news", "script", "scripts", "test", "tests", "vendor", "vendored")
+EXCLUDED_PREFIXES = ("benchmark", "doc", "example", "test")
 QUOTES = "`'\"()[]{}:,"
 
 
@@ -126,12 +128,13 @@ def is_test_path(path: Column) -> Column:
     return low.rlike("(?:^|/)(?:t|test|testing|tests)/") | (name == "conftest.py") | name.startswith("test_") | name.endswith("_test.py")
 
 
-def excluded_path_reason(path: Column, excluded_parts=("docs", "examples", "scripts", "tests", "test"), suffixes=SOURCE_SUFFIXES) -> Column:
+def excluded_path_reason(path: Column) -> Column:
     """Why a changed file can't be a target, or null."""
     low = F.lower(path)
     name = F.element_at(F.split(low, "/"), -1)
-    inside = F.exists(F.filter(F.split(low, "/"), lambda p, i: i < F.size(F.split(low, "/")) - 1), lambda p: p.isin(*excluded_parts))
-    return F.when(inside, "excluded directory").when(name.startswith("test_") | name.rlike(r"(?:_test|\.test|\.spec)\.[a-z]+$") | (name == "conftest.py"), "test file").when(~name.rlike(rf"\.(?:{'|'.join(suffixes)})$"), "unsupported suffix")
+    folder = low.rlike(rf"(?:^|/)(?:(?:{'|'.join(p.replace('.', '[.]') for p in EXCLUDED_PARTS)})|(?:{'|'.join(EXCLUDED_PREFIXES)})[^/]*)/")
+    suffix = F.regexp_extract(name, r"(\.[^./]+)$", 1)
+    return F.when(folder, "test, documentation, example, generated, or vendored path").when((name == "conftest.py") | name.startswith("test_") | name.endswith("_test.py"), "test file").when(~suffix.isin(*LANGUAGES), "unsupported source suffix")
 
 
 def language(path: Column) -> Column:
@@ -149,9 +152,9 @@ def python_module(path: Column, roots: Column) -> Column:
     return F.array_join(F.when(F.element_at(inner, -1) == "__init__", F.slice(inner, F.lit(1), F.size(inner) - 1)).otherwise(inner), ".")
 
 
-def closing_reference(text: Column, number: Column, repository: Column) -> Column:
+def closing_reference(text: Column, number: Column) -> Column:
     """Whether a text closes, fixes or resolves #number or the issue's url."""
-    target = F.concat(F.lit(r"(?i)(?:^|[^a-z0-9_])(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)[\s:]+(?:(?:"), F.regexp_replace(repository, r"([.\-])", r"\\$1"), F.lit(r")?#|https://[^\s]+/issues/)"), number.cast("string"), F.lit(r"(?:[^0-9]|$)"))
+    target = F.concat(F.lit(r"(?i)(?:^|[^a-z0-9_])(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*:?\s*(?:#|https://github\.com/[^/\s]+/[^/\s]+/issues/)"), number.cast("string"), F.lit(r"(?:[^0-9A-Za-z_]|$)"))
     return F.regexp_like(text, target)
 
 
@@ -164,10 +167,10 @@ def confidence(score: Column) -> Column:
 
 
 def rank_line(answer: Column, known: Column, most: int = 3) -> Column:
-    """Ids of an answer's only 'RANK:' line, distinct, at most most; null if there isn't just one line or an id isn't known."""
-    lines = F.regexp_extract_all(answer, F.lit(r"(?m)^[ \t]*RANK:[ \t]*([^\r\n]*)$"), F.lit(1))
-    ids = F.array_distinct(F.filter(F.split(F.get(lines, F.lit(0)), r"[\s,>]+"), lambda x: x != ""))
-    return F.when((F.size(lines) == 1) & (F.size(ids) > 0) & (F.size(ids) <= most) & (F.size(F.array_except(ids, known)) == 0), ids)
+    """Ids of an answer's only 'RANK: a, b' line, distinct; null if there isn't just one line, there are over most ids or one isn't known."""
+    lines = F.regexp_extract_all(answer, F.lit(r"(?m)^\s*RANK:\s*([A-Za-z0-9_-]+(?:\s*,\s*[A-Za-z0-9_-]+)*)\s*$"), F.lit(1))
+    ids = F.array_distinct(F.split(F.get(lines, F.lit(0)), r"\s*,\s*"))
+    return F.when((F.size(lines) == 1) & (F.size(ids) <= most) & (F.size(F.array_except(ids, known)) == 0), ids)
 
 
 def parse_instant(text: Column) -> Column:

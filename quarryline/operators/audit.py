@@ -10,24 +10,29 @@ from quarryline.functions.text import closing_reference, excluded_path_reason
 # Fixed values of the audit rules.
 REQUIRED = ("bounded_source_files", "issue_precedes_fix", "merged_pull_request", "pre_fix_outside_pull_commits", "pre_fix_sha_identified", "production_source_files", "pull_commit_history", "same_repository")
 ADVISORY_WEIGHTS = {"issue_has_body": 1, "bug_signal": 2, "diagnostic_signal": 2, "closing_reference": 3}
-BUG_TERMS = ("bug", "crash", "error", "exception", "fail", "incorrect", "regression", "wrong")
-DIAGNOSTIC_TERMS = ("actual behavior", "expected behavior", "minimal", "reproduc", "stack trace", "steps to", "traceback")
+BUG_TERMS = ("bug", "regression", "crash", "incorrect", "error", "broken")
+DIAGNOSTIC_TERMS = ("actual behavior", "expected behavior", "exception", "reproduce", "reproduction", "steps", "traceback")
 
 
 def linked_pull_requests(events: DataFrame) -> DataFrame:
     """issue_key, pull_requests: distinct numbers of the same repository from timeline events (issue_key, repository, source_repository, number, url), sorted.
 
-    A number counts if the event names the issue's repository or its url does.
+    A number counts if it names the issue's repository; one in a url unless the url names another.
     """
-    of_url = F.regexp_extract("url", r"/repos/([^/]+/[^/]+)/", 1)
-    number = F.coalesce("number", F.expr("try_cast(regexp_extract(url, '/pulls?/([0-9]+)', 1) AS BIGINT)"))
-    same = F.lower(F.coalesce("source_repository", of_url)) == F.lower("repository")
-    return events.withColumn("n", number).groupBy("issue_key").agg(F.array_sort(F.collect_set(F.when(same, F.col("n")))).alias("pull_requests"))
+    of_url = F.nullif(F.regexp_extract("url", r"/repos/([^/]+/[^/]+)(?:/|$)", 1), F.lit(""))
+    here = F.lower("repository")
+    named = F.when((F.lower("source_repository") == here) & (F.col("number") > 0), F.col("number"))
+    linked = F.when(F.coalesce(F.lower(of_url), here) == here, F.regexp_extract("url", r"/(?:pull|pulls)/([0-9]+)(?:$|[/?#])", 1).try_cast("long"))
+    return events.select("issue_key", F.explode_outer(F.array(named, linked)).alias("n")).groupBy("issue_key").agg(F.array_sort(F.collect_set("n")).alias("pull_requests"))
 
 
 def classify_files(files: DataFrame) -> DataFrame:
     """files (path, status) with eligible and reason: the path's, else the status's."""
-    status = F.when(F.col("status") == "added", "added by the fix").when(F.col("status") == "removed", "removed by the fix").when(~F.col("status").isin("modified", "renamed", "changed"), "unsupported status")
+    status = (
+        F.when(F.col("status") == "added", "file does not exist at the pre-fix commit")
+        .when(F.col("status") == "renamed", "renamed file requires manual ground-truth review")
+        .when(~F.coalesce(F.col("status").isin("modified", "removed"), F.lit(False)), F.concat(F.lit("unsupported pull-request file status: "), F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("missing"))))
+    )
     return files.withColumn("reason", F.coalesce(excluded_path_reason(F.col("path")), status)).withColumn("eligible", F.col("reason").isNull())
 
 
@@ -67,7 +72,7 @@ def audit(candidates: DataFrame, max_source_files: int = 5) -> DataFrame:
         check("issue_has_body", F.length(F.btrim(F.col("issue_body"))) >= 40, False),
         check("bug_signal", any_of(text, BUG_TERMS) | F.exists("labels", lambda x: any_of(F.lower(x), BUG_TERMS)), False),
         check("diagnostic_signal", any_of(text, DIAGNOSTIC_TERMS) | ((F.length("issue_body") >= 200) & F.col("issue_body").contains("```")), False),
-        check("closing_reference", closing_reference(F.col("pr_text"), F.col("issue_number"), F.col("repository")), False),
+        check("closing_reference", closing_reference(F.col("pr_text"), F.col("issue_number")), False),
     )
     return candidates.withColumn("checks", checks).withColumn("status", F.when(F.exists("checks", lambda c: c.blocking & ~c.passed), "rejected").otherwise("needs_review"))
 

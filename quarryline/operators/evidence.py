@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 CONTEXT, MOST_LINES, MOST_CHARS = 12, 200, 100_000
 # Names of files that hold secrets.
-SENSITIVE = (".env", ".netrc", ".npmrc", ".pypirc", "credentials.json", "id_rsa", "secrets.json")
+SENSITIVE = (".env", ".npmrc", ".pypirc", "credentials", "credentials.json", "id_ed25519", "id_rsa")
 
 
 def allowed_path(path: Column) -> Column:

@@ -74,7 +74,7 @@ def curate_manifest(spark, sf_dir):
 
 
 def classified_files(spark, sf_dir):
-    status = F.element_at(F.array(*map(F.lit, ("modified", "added", "removed", "copied"))), (F.col("weight") % 4 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, ("modified", "added", "renamed", "copied"))), (F.col("weight") % 4 + 1).cast("int"))
     return A.classify_files(adapter(spark, sf_dir, "files").select("path", status.alias("status")))
 
 
@@ -84,7 +84,7 @@ def linked_pull_requests(spark, sf_dir):
         "repository",
         F.when(F.col("pr_number") % 3 == 0, F.upper("repository")).when(F.col("pr_number") % 3 == 1, "other/repo").alias("source_repository"),
         F.when(F.col("pr_number") % 2 == 0, F.col("pr_number")).alias("number"),
-        F.concat(F.lit("https://api.host/repos/"), "repository", F.lit("/pulls/"), F.col("pr_number").cast("string")).alias("url"),
+        F.concat(F.lit("https://api.host/repos/"), F.when(F.col("pr_number") % 5 == 0, "other/repo").otherwise(F.col("repository")), F.lit("/pulls/"), F.col("pr_number").cast("string")).alias("url"),
     )
     return A.linked_pull_requests(events).withColumn("pull_requests", F.array_join("pull_requests", ","))
 
@@ -123,7 +123,7 @@ QUERIES = {f.__name__: f for f in (audit_checks, audit_status, advisory_score, b
 _C = """c AS (SELECT *, lower(issue_title || chr(10) || issue_body) AS t FROM candidates),
 k AS (SELECT *, lower(base_repository) = lower(repository) AS same_repository, merged_at IS NOT NULL AS merged_pull_request, coalesce(issue_created_at <= merged_at, false) AS issue_precedes_fix, pre_fix_sha IS NOT NULL AS pre_fix_sha_identified, true AS pull_commit_history,
   coalesce(pre_fix_sha <> commit_sha, false) AS pre_fix_outside_pull_commits, n_source_files > 0 AS production_source_files, n_source_files BETWEEN 1 AND 5 AS bounded_source_files,
-  length(trim(issue_body)) >= 40 AS issue_has_body, regexp_matches(t || ' ' || lower(label), 'bug|crash|error|exception|fail|incorrect|regression|wrong') AS bug_signal, regexp_matches(t, 'actual behavior|expected behavior|minimal|reproduc|stack trace|steps to|traceback') AS diagnostic_signal,
+  length(trim(issue_body)) >= 40 AS issue_has_body, regexp_matches(t || ' ' || lower(label), 'bug|regression|crash|incorrect|error|broken') AS bug_signal, regexp_matches(t, 'actual behavior|expected behavior|exception|reproduce|reproduction|steps|traceback') AS diagnostic_signal,
   pr_text = 'Fixes #' || issue_number AS closing_reference FROM c),
 a AS (SELECT *, list_filter(['bounded_source_files','issue_precedes_fix','merged_pull_request','pre_fix_outside_pull_commits','pre_fix_sha_identified','production_source_files','pull_commit_history','same_repository'], lambda x, i: [bounded_source_files, issue_precedes_fix, merged_pull_request, pre_fix_outside_pull_commits, pre_fix_sha_identified, production_source_files, pull_commit_history, same_repository][i]) AS pb,
   list_filter(['bug_signal','closing_reference','diagnostic_signal','issue_has_body'], lambda x, i: [bug_signal, closing_reference, diagnostic_signal, issue_has_body][i]) AS pa,
@@ -144,9 +144,9 @@ ORACLE = {
     "repeated_pull_requests": _Q(f"SELECT {_K}, row_number() OVER (PARTITION BY repository, pr_number ORDER BY issue_number) = 1 AS unique_pr FROM b"),
     "review_queue_entry": _Q(f"SELECT {_K}, replace(repository, '/', '-') || '-issue-' || issue_number AS suggested_case_id, n_source_files > 1 AS multi_file, score AS advisory_score, array_to_string(pa, ',') AS passed_advisory_checks, array_to_string(list_transform(fa, lambda x: 'failed:' || x), ',') AS review_flags FROM b WHERE status = 'needs_review'"),
     "curate_manifest": with_views(f"SELECT repository || '-' || issue_number || '-' || pr_number AS case_id, {_K} FROM audit_edges WHERE issue_number % 2 = 0 UNION ALL SELECT 'new-' || repository || '/' || issue_number || '/' || pr_number, {_K} FROM audit_edges WHERE issue_number % 2 = 1 AND pr_number % 5 = 0", "audit_edges"),
-    "classified_files": with_views("""WITH s AS (SELECT path, ['modified', 'added', 'removed', 'copied'][weight % 4 + 1] AS status, weight, CASE WHEN starts_with(path, 'tests/') OR starts_with(path, 'docs/') THEN 'excluded directory' WHEN path LIKE '%.md' THEN 'unsupported suffix' END AS r FROM files)
-      SELECT path, status, coalesce(r, [NULL, 'added by the fix', 'removed by the fix', 'unsupported status'][weight % 4 + 1]) AS reason, coalesce(r, [NULL, 'added by the fix', 'removed by the fix', 'unsupported status'][weight % 4 + 1]) IS NULL AS eligible FROM s""", "files"),
-    "linked_pull_requests": with_views("SELECT issue_number AS issue_key, coalesce(string_agg(CAST(pr_number AS VARCHAR), ',' ORDER BY pr_number) FILTER (pr_number % 3 <> 1), '') AS pull_requests FROM audit_edges GROUP BY issue_number", "audit_edges"),
+    "classified_files": with_views("""WITH s AS (SELECT path, ['modified', 'added', 'renamed', 'copied'][weight % 4 + 1] AS status, weight, CASE WHEN starts_with(path, 'tests/') OR starts_with(path, 'docs/') THEN 'test, documentation, example, generated, or vendored path' WHEN path LIKE '%.md' THEN 'unsupported source suffix' END AS r FROM files)
+      SELECT path, status, coalesce(r, [NULL, 'file does not exist at the pre-fix commit', 'renamed file requires manual ground-truth review', 'unsupported pull-request file status: copied'][weight % 4 + 1]) AS reason, coalesce(r, [NULL, 'file does not exist at the pre-fix commit', 'renamed file requires manual ground-truth review', 'unsupported pull-request file status: copied'][weight % 4 + 1]) IS NULL AS eligible FROM s""", "files"),
+    "linked_pull_requests": with_views("SELECT issue_number AS issue_key, coalesce(string_agg(CAST(pr_number AS VARCHAR), ',' ORDER BY pr_number) FILTER (pr_number % 5 <> 0 OR (pr_number % 6 = 0 AND pr_number > 0)), '') AS pull_requests FROM audit_edges GROUP BY issue_number", "audit_edges"),
     "pre_fix_source": with_views(f"""SELECT {_K}, CASE WHEN pr_number % 5 = 0 THEN 's' || pr_number % 11 WHEN pr_number % 4 = 0 AND pr_number % 3 <= 1 THEN 's' || (pr_number + pr_number % 3) WHEN pr_number % 4 = 1 AND (pr_number % 3 = 1 OR pr_number % 2 = 1) THEN 's' || pr_number END AS sha,
       CASE WHEN pr_number % 5 = 0 THEN 'first_pull_commit_parent' WHEN pr_number % 4 = 0 AND pr_number % 3 <= 1 THEN 'merge_base_parent' WHEN pr_number % 4 = 1 AND pr_number % 3 = 1 THEN 'single_commit_parent' WHEN pr_number % 4 = 1 AND pr_number % 2 = 1 THEN 'squash_commit_parent' END AS source FROM audit_edges""", "audit_edges"),
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryline.plans import audits, graphs, operations, retrieval, textual, triage
+from quarryline.plans import audits, code, graphs, operations, retrieval, textual, triage
 
-_PARTS = (triage, retrieval, textual, graphs, audits, operations)
+_PARTS = (triage, retrieval, textual, graphs, audits, operations, code)
 
 
 def queries() -> dict:

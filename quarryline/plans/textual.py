@@ -78,7 +78,7 @@ def path_term_df(spark, sf_dir):
 def closing_reference(spark, sf_dir):
     word = F.element_at(F.array(*map(F.lit, ("Fixes", "closes:", "see", "Resolved"))), (F.col("page_id") % 4 + 1).cast("int"))
     body = F.concat(word, F.lit(" #"), (F.col("page_id") + F.col("page_id") % 3).cast("string"), F.lit(" in passing"))
-    return _urls(spark, sf_dir).select("page_id", X.closing_reference(body, F.col("page_id"), F.lit("owner/name")).alias("closes"))
+    return _urls(spark, sf_dir).select("page_id", X.closing_reference(body, F.col("page_id")).alias("closes"))
 
 
 def api_url_repository(spark, sf_dir):
@@ -109,7 +109,7 @@ def module_names(spark, sf_dir):
 def rank_line_parse(spark, sf_dir):
     """Answers of which some have two lines, unknown, repeated or too many ids."""
     n = F.col("page_id")
-    answer = F.concat(F.lit("Thinking.\nRANK: E"), (n % 5 + 1).cast("string"), F.lit(", E2 E"), (n % 3 + 1).cast("string"), F.when(n % 7 == 0, "\nRANK: E1").otherwise(""), F.when(n % 11 == 0, " E9").otherwise(""))
+    answer = F.concat(F.lit("Thinking.\nRANK: E"), (n % 5 + 1).cast("string"), F.lit(", E2 ,E"), (n % 3 + 1).cast("string"), F.when(n % 7 == 0, "\nRANK: E1").otherwise(""), F.when(n % 11 == 0, ", E9").otherwise(""))
     return _urls(spark, sf_dir).select("page_id", _JOIN(X.rank_line(answer, F.array(*[F.lit(f"E{i}") for i in range(1, 6)]))).alias("ids"))
 
 
@@ -134,7 +134,7 @@ ORACLE = {
     "path_normalize": with_views("SELECT file_id, lower(path) AS path FROM files", "files"),
     "path_suffix_scope": with_views("SELECT string_split(path, '/')[-1] AS reference, min(file_id) AS file_id FROM files GROUP BY 1 HAVING count(*) = 1", "files"),
     "test_path_flag": with_views("WITH p AS (SELECT file_id, string_split(lower(path), '/') AS s FROM files) SELECT file_id, len(list_intersect(s[:-2], ['t', 'test', 'testing', 'tests'])) > 0 OR s[-1] = 'conftest.py' OR starts_with(s[-1], 'test_') OR ends_with(s[-1], '_test.py') AS is_test FROM p", "files"),
-    "excluded_path_reason": with_views("SELECT file_id, CASE WHEN starts_with(path, 'tests/') OR starts_with(path, 'docs/') THEN 'excluded directory' WHEN path LIKE '%.md' THEN 'unsupported suffix' END AS reason FROM files", "files"),
+    "excluded_path_reason": with_views("SELECT file_id, CASE WHEN starts_with(path, 'tests/') OR starts_with(path, 'docs/') THEN 'test, documentation, example, generated, or vendored path' WHEN path LIKE '%.md' THEN 'unsupported source suffix' END AS reason FROM files", "files"),
     "path_term_df": with_views(f"WITH t AS (SELECT file_id, unnest(list_distinct({_TERMS('path')})) AS term FROM files) SELECT term, count(*) AS files, count(*) <= 3 AS specific FROM t GROUP BY term", "files"),
     "closing_reference": with_views("SELECT page_id, page_id % 4 <> 2 AND page_id % 3 = 0 AS closes FROM urls", "urls"),
     "api_url_repository": with_views("SELECT page_id, array_to_string(string_split(regexp_replace(url, '^[a-z]+://', ''), '/')[:2], '/') AS repository FROM urls", "urls"),
