@@ -228,7 +228,7 @@ class PiiModel:
         margin, want = self.trees.margins(x[out]), y[out]
         a, b = 1.0, 0.0
         for _ in range(25):  # Newton steps of a logistic fit, slightly drawn to (1, 0)
-            p = 1 / (1 + np.exp(-(a * margin + b)))
+            p = 1 / (1 + np.exp(-np.clip(a * margin + b, -50, 50)))
             w = p * (1 - p) + 1e-6
             g = np.array([((p - want) * margin).sum() + (a - 1), (p - want).sum() + b])
             h = np.array([[(w * margin**2).sum() + 1, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1]])
@@ -244,7 +244,7 @@ class PiiModel:
             self.least[k] = max(0.5, float(p[own][order][good[-1]])) if len(good) else 1.1
 
     def _chance(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.a * margin + self.b)))
+        return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -50, 50)))
 
     def more(self, text: str, base: list[Span]) -> list[Span]:
         """Accepted candidates that touch neither base spans nor each other."""
