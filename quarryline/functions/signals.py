@@ -111,6 +111,7 @@ def issue_signals(issues: DataFrame) -> DataFrame:
         F.array_sort(F.array_union(X.terms(plain), bare)).alias("content_terms"),
         F.array_sort(F.array_distinct(X.semantic_sequence(F.col("title")))).alias("title_terms"),
         X.semantic_sequence(F.col("title")).alias("title_sequence"),
+        X.terms(F.col("title")).alias("title_text_terms"),
         X.terms(primary).alias("primary_terms"),
         X.identifiers(F.col("_text")).alias("identifiers"),
         X.identifiers(F.col("title")).alias("title_identifiers"),

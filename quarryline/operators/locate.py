@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.operators import graph as G
+from quarryline.operators import positions as P
 from quarryline.operators import symbols as S
 
 AUXILIARY = ("docs", "docs_src", "examples", "scripts")
@@ -86,12 +87,13 @@ def relations(scores: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     return G.one_hop(seeds, calls, scores).unionByName(G.two_hop(seeds, calls, scores)).unionByName(G.shared_calls(seeds, external, scores))
 
 
-def locate(signals: DataFrame, files: DataFrame, index: dict[str, DataFrame], limit: int = 20, commits: DataFrame | None = None) -> DataFrame:
+def locate(signals: DataFrame, files: DataFrame, index: dict[str, DataFrame], limit: int = 20, commits: DataFrame | None = None, revisions: DataFrame | None = None) -> DataFrame:
     """issue_id, rank, path, symbol, lines, confidence, evidence: the first limit files of each issue.
 
     Pool, features and relations are read several times and kept (memory, then disk) for the session's cleaner to drop.
 
-    signals: issue_signals(); files: (repository, path, content); index: repository_map() of the same paths; commits: (commit_ord, file_id) if there is a history.
+    signals: issue_signals(); files: (repository, path, content); index: repository_map() of the same paths; commits: (commit_ord, file_id) and
+    revisions: (revision, path, content) if there is a history.
     """
     index = {k: v.persist() if k in ("symbols", "uses", "external", "imports") else v for k, v in index.items()}
     signals = signals.persist()
@@ -106,7 +108,8 @@ def locate(signals: DataFrame, files: DataFrame, index: dict[str, DataFrame], li
     final = G.final_scores(scores, G.relation_bonus(found)).persist()
     short = G.reserved(G.base_order(final), limit)
     ranked = G.merged(G.banded(short), G.expansions(final, short), limit)
-    chosen = S.select_symbols(features, S.unique_names(index["symbols"].where("kind = 'function'"))).select("issue_id", F.col("path").alias("file_id"), F.col("identity").alias("symbol"), "line")
+    places = P.all_positions(signals, files.select("path", "content"), index["symbols"], revisions)
+    chosen = S.select_symbols(features, S.unique_names(index["symbols"].where("kind = 'function'")), places).select("issue_id", F.col("path").alias("file_id"), F.col("identity").alias("symbol"), "line")
     spans = index["symbols"].select(F.col("path").alias("file_id"), F.col("qualified_name").alias("symbol"), "line", "end_line")
     shown = found.groupBy("issue_id", "file_id").agg(F.slice(F.sort_array(F.collect_set(F.struct("bonus", "kind", "via")), asc=False), 1, 2).alias("r"))
     out = ranked.join(final.select("issue_id", "file_id", "final", "evidence"), ["issue_id", "file_id"]).join(chosen, ["issue_id", "file_id"], "left").join(spans, ["file_id", "symbol", "line"], "left").join(shown, ["issue_id", "file_id"], "left")

@@ -94,9 +94,17 @@ def symbol_features(issue_terms: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def select_symbols(features: DataFrame, unique: DataFrame) -> DataFrame:
-    """For each issue and path the function to show: directly named ones first, then those whose rarest terms meet the issue."""
+def select_symbols(features: DataFrame, unique: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """For each issue and path the function to show: those that the issue points at by place (all_positions() of the same symbols) first, then
+    directly named ones, then those whose terms meet the issue."""
     rows = features.where("kind = 'function'").join(unique.withColumn("unique_name", F.lit(True)), "name", "left")
-    direct = F.col("qualified_match") | (F.col("exact_match") & F.coalesce("unique_name", F.lit(False)) & (F.length("name") >= 5))
-    keys = [direct, F.col("qualified_match"), F.col("mentions"), F.col("explicit_match"), F.col("title_strength"), F.col("primary_match"), F.col("local_overlap"), ~F.col("name").startswith("_"), -F.col("line")]
+    places = ("frame", "source_line", "snippet", "constructor")
+    if positions is None:
+        rows = rows.withColumns({k: F.lit(None).cast("int") for k in places})
+    else:
+        rows = rows.join(positions, ["issue_id", "path", "identity"], "left")
+    at = {k: F.col(k).isNotNull() for k in places}
+    first = lambda k: -F.coalesce(k, F.lit(1_000_000))
+    direct = F.col("qualified_match") | (F.col("exact_match") & F.coalesce("unique_name", F.lit(False)) & (F.length("name") >= 5)) | at["frame"] | at["source_line"] | at["snippet"] | at["constructor"]
+    keys = [direct, at["frame"], F.coalesce("frame", F.lit(-1)), at["source_line"], first("source_line"), at["snippet"], first("snippet"), F.col("qualified_match"), at["constructor"], first("constructor"), F.col("mentions"), F.col("explicit_match"), F.col("title_strength"), F.col("primary_match"), F.col("local_overlap"), ~F.col("name").startswith("_"), -F.col("line")]
     return best(rows.where(direct | F.col("primary_match") | (F.col("overlap") > 0)), ["issue_id", "path"], keys)
