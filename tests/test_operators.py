@@ -179,3 +179,22 @@ def test_stream_scores_like_the_batch(spark, tmp_path):
     scored = streaming.score_stream(streaming.issue_stream(spark, f"file://{folder}"), NOW)
     streaming.write_scores(scored, f"file://{tmp_path}/out", f"file://{tmp_path}/check", once=True).awaitTermination()
     assert [(r.number, r.severity) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [(1, "HIGH")]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from quarryline import __main__ as cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    file = tmp_path / "i.json"
+    file.write_text(json.dumps([{"number": 1, "title": "Crash in parser", "body": "see `parse_all()` in src/parser.py", "comments_count": 1, "updated_at": "2024-02-01T00:00:00Z"}, {"number": 2, "title": "Typo", "body": "", "comments_count": 0, "updated_at": "2024-02-01T00:00:00Z"}]))
+    root = tmp_path / "repo"
+    (root / "src").mkdir(parents=True)
+    (root / "src/parser.py").write_text("def parse_all():\n    pass\n")
+    assert cli.main(["rank", f"file://{file}", "--output", f"file://{tmp_path}/ranked", "--now", "2024-03-01"]) == 0
+    assert cli.main(["duplicates", f"file://{file}", "--threshold", "0.9"]) == 0
+    assert cli.main(["index", f"file://{root}", "--output", f"file://{tmp_path}/index"]) == 0
+    assert readers.read_index(spark, f"file://{tmp_path}/index")["symbols"].count() == 1
+    assert cli.main(["investigate", f"file://{file}", "1", f"file://{root}"]) == 0
+    assert "src/parser.py" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["investigate", f"file://{file}", "9", f"file://{root}"])
