@@ -63,5 +63,9 @@ ORACLE = {
     "framework_detect": with_views("SELECT CASE weight % 3 WHEN 0 THEN 'FastAPI' ELSE 'Flask' END AS framework, count(*) AS files FROM files WHERE path LIKE '%.py' AND weight % 3 < 2 AND path NOT LIKE '% %' GROUP BY 1", "files"),
     "test_directories": with_views("SELECT DISTINCT 'tests' AS directory FROM files WHERE starts_with(path, 'tests/')", "files"),
     "import_longest_prefix": with_views("SELECT path, path AS target_path, 'Thing' AS imported_symbol FROM files WHERE path LIKE '%.py'", "files"),
+    "symbol_table": with_views("""WITH s AS (SELECT path, CASE WHEN file_id > (SELECT min(file_id) FROM files) THEN 3 ELSE 2 END AS a FROM files WHERE path LIKE '%.py')
+      SELECT path, 'fn' AS qualified_name, 'function' AS kind, a AS line, a + 1 AS end_line FROM s UNION ALL SELECT path, 'use', 'function', a + 3, a + 4 FROM s""", "files"),
+    "resolved_calls": with_views("""SELECT path, 'use' AS caller, path AS target_file, 'fn' AS target_symbol FROM files WHERE path LIKE '%.py' AND file_id % 4 = 0
+      UNION ALL SELECT f.path, 'use', n.path, 'fn' FROM files f JOIN files n ON n.file_id = f.file_id - 1 WHERE f.path LIKE '%.py' AND n.path LIKE '%.py' AND f.file_id % 4 <> 0""", "files"),
     "scoped_paths": with_views("SELECT '/home/me/' || path AS reference, path FROM files WHERE file_id % 3 = 0 UNION ALL SELECT regexp_replace(path, '^[^/]+/', ''), path FROM files WHERE file_id % 3 = 1", "files"),
 }
