@@ -31,7 +31,7 @@ FAMILIES = {
     "turkic": ("az", "kk", "tr", "uz"),
     "indic": ("bn", "gu", "hi", "mr", "ne", "pa", "ur"),
 }
-BINS, SAMPLE, SEED = 4096, 6000, 5
+BINS, SAMPLE, SEED = 4096, 4000, 5
 #: Documents scored under this are rejected by a filter.
 LEAST_SCORE = 0.2
 UNKNOWN = "und"
@@ -46,25 +46,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 150, rate: float = 20.0, l2: float = 1e-5) -> np.ndarray:
-    """Weights (features + 1, classes) by accelerated full-batch gradient steps."""
-    xb = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def with_bias(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1), np.float32)])
+
+
+def fit_softmax(xb: np.ndarray, y: np.ndarray, classes: int, rounds: int = 150, rate: float = 20.0, l2: float = 1e-5) -> np.ndarray:
+    """Weights (columns of xb, classes) by accelerated full-batch gradient steps."""
     want = np.eye(classes, dtype=np.float32)[y]
     share = want.mean(0)
     weight = (want / (share * classes)).sum(1, keepdims=True).astype(np.float32)  # classes count alike
     w = last = np.zeros((xb.shape[1], classes), np.float32)
     for k in range(rounds):
         look = w + k / (k + 3) * (w - last)
-        grad = xb.T @ (weight * (_softmax(xb @ look) - want)) / len(x) + l2 * look
+        grad = xb.T @ (weight * (_softmax(xb @ look) - want)) / len(xb) + l2 * look
         last, w = w, (look - rate * grad / 4).astype(np.float32)
     return w
 
 
-def fit_svm(x: np.ndarray, sign: np.ndarray, rounds: int = 150, c: float = 10.0) -> np.ndarray:
-    """Weights (features + 1) of an L2-regularised squared-hinge SVM by accelerated gradient steps."""
-    xb = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())).astype(np.float32) * np.float32(c)
-    step = np.float32(1) / np.float32(1e-3 + 2 * c * float((xb * xb).sum(1).mean()))
+def fit_svm(xb: np.ndarray, sign: np.ndarray, rounds: int = 150, c: float = 10.0) -> np.ndarray:
+    """Weights of an L2-regularised squared-hinge SVM by accelerated gradient steps; rows with sign 0 don't count."""
+    weight = (np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())) * np.abs(sign) * c).astype(np.float32)
+    step = np.float32(1) / np.float32(1e-3 + 2 * c * float(np.einsum('ij,ij->', xb, xb) / len(xb)))
     w = last = np.zeros(xb.shape[1], np.float32)
     for k in range(rounds):
         look = w + k / (k + 3) * (w - last)
@@ -77,25 +79,23 @@ def fit_svm(x: np.ndarray, sign: np.ndarray, rounds: int = 150, c: float = 10.0)
 class LanguageModel:
     """langs, families and weights; predict(texts) -> (codes, scores)."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, xb: np.ndarray, langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family_of(v) for v in self.langs})
         self.members = [[i for i, v in enumerate(self.langs) if family_of(v) == f] for f in self.families]
         y = np.array([self.langs.index(v) for v in langs], np.int64)
         of = {i: f for f, m in enumerate(self.members) for i in m}
-        self.family = fit_softmax(x, np.array([of[i] for i in y], np.int64), len(self.families)) if len(self.families) > 1 else None
+        self.family = fit_softmax(xb, np.array([of[i] for i in y], np.int64), len(self.families)) if len(self.families) > 1 else None
         self.duels = {}
         for m in self.members:
             for a in m:
                 for b in m:
                     if a < b:
-                        both = (y == a) | (y == b)
-                        self.duels[a, b] = fit_svm(x[both], np.where(y[both] == a, 1.0, -1.0).astype(np.float32))
+                        self.duels[a, b] = fit_svm(xb, ((y == a).astype(np.float32) - (y == b)).astype(np.float32))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        x = unit(gram_counts(texts, BINS))
-        xb = np.hstack([x, np.ones((len(x), 1), np.float32)])
-        chance = _softmax(xb @ self.family) if self.family is not None else np.ones((len(x), len(self.families)), np.float32)
+        xb = with_bias(unit(gram_counts(texts, BINS)))
+        chance = _softmax(xb @ self.family) if self.family is not None else np.ones((len(xb), len(self.families)), np.float32)
         best = chance.argmax(1)
         codes, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         margins = {d: xb @ w for d, w in self.duels.items()}
@@ -124,7 +124,10 @@ def fit(docs: DataFrame, most: int = SAMPLE, seed: int = SEED) -> LanguageModel
     if not found:
         return None
     found.sort(key=lambda r: (r["doc_id"], r["lang"], r["x"]))
-    return LanguageModel(np.stack([np.frombuffer(r["x"], np.float16) for r in found]).astype(np.float32), [r["lang"] for r in found])
+    xb = np.ones((len(found), BINS + 1), np.float32)
+    for i, r in enumerate(found):
+        xb[i, :BINS] = np.frombuffer(r["x"], np.float16)
+    return LanguageModel(xb, [r["lang"] for r in found])
 
 
 def _predictor(model: LanguageModel | None):
