@@ -44,7 +44,7 @@ def blocking_failures(spark, sf_dir):
 
 
 def existing(spark, sf_dir):
-    return adapter(spark, sf_dir, "audit_edges").where("issue_number % 10 = 1 AND pr_number % 10 = 3").select(*KEY)
+    return adapter(spark, sf_dir, "audit_edges").where("n_source_files = 3").select(*KEY)
 
 
 def edges(spark, sf_dir):
@@ -68,9 +68,9 @@ def review_queue_entry(spark, sf_dir):
 
 
 def curate_manifest(spark, sf_dir):
-    base = adapter(spark, sf_dir, "audit_edges").where("issue_number % 2 = 0").select(F.concat_ws("-", *KEY).alias("case_id"), *KEY)
-    pool = adapter(spark, sf_dir, "audit_edges").where("issue_number % 2 = 1").select(F.concat_ws("/", *KEY).alias("candidate_id"), *KEY)
-    return A.curate(base, pool.where("pr_number % 5 = 0").select("candidate_id", F.concat(F.lit("new-"), "candidate_id").alias("case_id")), pool)
+    base = adapter(spark, sf_dir, "audit_edges").where("merged").select(F.concat_ws("-", *KEY).alias("case_id"), *KEY)
+    pool = adapter(spark, sf_dir, "audit_edges").where("NOT merged").select(F.concat_ws("/", *KEY).alias("candidate_id"), *KEY)
+    return A.curate(base, pool.select("candidate_id", F.concat(F.lit("new-"), "candidate_id").alias("case_id")), pool)
 
 
 def classified_files(spark, sf_dir):
@@ -132,7 +132,7 @@ a AS (SELECT *, list_filter(['bounded_source_files','issue_precedes_fix','merged
 b AS (SELECT *, CASE WHEN len(pb) = 8 THEN 'needs_review' ELSE 'rejected' END AS status FROM a)"""
 _K = "repository, issue_number, pr_number"
 _Q = lambda tail, *more: with_views(f"WITH {_C} {tail}", "candidates", *more)
-_EX = ", ex AS (SELECT * FROM audit_edges WHERE issue_number % 10 = 1 AND pr_number % 10 = 3), ed AS (SELECT * FROM b WHERE status = 'needs_review' AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.repository = b.repository AND ex.issue_number = b.issue_number) AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.repository = b.repository AND ex.pr_number = b.pr_number))"
+_EX = ", ex AS (SELECT * FROM audit_edges WHERE n_source_files = 3), ed AS (SELECT * FROM b WHERE status = 'needs_review' AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.repository = b.repository AND ex.issue_number = b.issue_number) AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.repository = b.repository AND ex.pr_number = b.pr_number))"
 
 ORACLE = {
     "audit_checks": _Q(f"SELECT {_K}, array_to_string(pb, ',') AS passed_blocking, array_to_string(pa, ',') AS passed_advisory FROM b"),
@@ -143,7 +143,7 @@ ORACLE = {
     "discovery_early_stop": _Q(f"SELECT {_K}, status FROM b QUALIFY coalesce(sum((status = 'needs_review')::INT) OVER (PARTITION BY repository ORDER BY issue_number, pr_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5"),
     "repeated_pull_requests": _Q(f"SELECT {_K}, row_number() OVER (PARTITION BY repository, pr_number ORDER BY issue_number) = 1 AS unique_pr FROM b"),
     "review_queue_entry": _Q(f"SELECT {_K}, replace(repository, '/', '-') || '-issue-' || issue_number AS suggested_case_id, n_source_files > 1 AS multi_file, score AS advisory_score, array_to_string(pa, ',') AS passed_advisory_checks, array_to_string(list_transform(fa, lambda x: 'failed:' || x), ',') AS review_flags FROM b WHERE status = 'needs_review'"),
-    "curate_manifest": with_views(f"SELECT repository || '-' || issue_number || '-' || pr_number AS case_id, {_K} FROM audit_edges WHERE issue_number % 2 = 0 UNION ALL SELECT 'new-' || repository || '/' || issue_number || '/' || pr_number, {_K} FROM audit_edges WHERE issue_number % 2 = 1 AND pr_number % 5 = 0", "audit_edges"),
+    "curate_manifest": with_views(f"SELECT repository || '-' || issue_number || '-' || pr_number AS case_id, {_K} FROM audit_edges WHERE merged UNION ALL SELECT 'new-' || repository || '/' || issue_number || '/' || pr_number, {_K} FROM audit_edges WHERE NOT merged", "audit_edges"),
     "classified_files": with_views("""WITH s AS (SELECT path, ['modified', 'added', 'renamed', 'copied'][weight % 4 + 1] AS status, weight, CASE WHEN starts_with(path, 'tests/') OR starts_with(path, 'docs/') THEN 'test, documentation, example, generated, or vendored path' WHEN path LIKE '%.md' THEN 'unsupported source suffix' END AS r FROM files)
       SELECT path, status, coalesce(r, [NULL, 'file does not exist at the pre-fix commit', 'renamed file requires manual ground-truth review', 'unsupported pull-request file status: copied'][weight % 4 + 1]) AS reason, coalesce(r, [NULL, 'file does not exist at the pre-fix commit', 'renamed file requires manual ground-truth review', 'unsupported pull-request file status: copied'][weight % 4 + 1]) IS NULL AS eligible FROM s""", "files"),
     "linked_pull_requests": with_views("SELECT issue_number AS issue_key, coalesce(string_agg(CAST(pr_number AS VARCHAR), ',' ORDER BY pr_number) FILTER (pr_number % 5 <> 0 OR (pr_number % 6 = 0 AND pr_number > 0)), '') AS pull_requests FROM audit_edges GROUP BY issue_number", "audit_edges"),

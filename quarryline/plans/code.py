@@ -52,7 +52,7 @@ def symbol_table(spark, sf_dir):
 
 def scoped_paths(spark, sf_dir):
     files = adapter(spark, sf_dir, "files")
-    asked = files.where("file_id % 3 = 0").select(F.concat(F.lit("/home/me/"), "path").alias("reference")).unionByName(files.where("file_id % 3 = 1").select(F.regexp_replace("path", "^[^/]+/", "").alias("reference")))
+    asked = files.select(F.when(F.col("path").startswith("src/"), F.regexp_replace("path", "^[^/]+/", "")).otherwise(F.concat(F.lit("/home/me/"), "path")).alias("reference"))
     return S.scoped_paths(asked, files)
 
 
@@ -67,5 +67,5 @@ ORACLE = {
       SELECT path, 'fn' AS qualified_name, 'function' AS kind, a AS line, a + 1 AS end_line FROM s UNION ALL SELECT path, 'use', 'function', a + 3, a + 4 FROM s""", "files"),
     "resolved_calls": with_views("""SELECT path, 'use' AS caller, path AS target_file, 'fn' AS target_symbol FROM files WHERE path LIKE '%.py' AND file_id % 4 = 0
       UNION ALL SELECT f.path, 'use', n.path, 'fn' FROM files f JOIN files n ON n.file_id = f.file_id - 1 WHERE f.path LIKE '%.py' AND n.path LIKE '%.py' AND f.file_id % 4 <> 0""", "files"),
-    "scoped_paths": with_views("SELECT '/home/me/' || path AS reference, path FROM files WHERE file_id % 3 = 0 UNION ALL SELECT regexp_replace(path, '^[^/]+/', ''), path FROM files WHERE file_id % 3 = 1", "files"),
+    "scoped_paths": with_views("SELECT CASE WHEN starts_with(path, 'src/') THEN substr(path, 5) ELSE '/home/me/' || path END AS reference, path FROM files", "files"),
 }

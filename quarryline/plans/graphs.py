@@ -45,14 +45,15 @@ def shared_call_peers(spark, sf_dir):
 
 
 def reverse_imports(spark, sf_dir):
-    matches = scores(spark, sf_dir).where("file_id % 5 = 0").select("issue_id", "file_id", F.expr("1 + file_id % 4").alias("n"))
-    imports = external(spark, sf_dir).select("file_id", F.expr("CAST(substring(target, 7) AS BIGINT) % 100 * 5").alias("target_file_id")).where("file_id % 211 = 1")
+    """Every file imports the one of half its number, which two files do; each scored file has one to four matching functions."""
+    matches = scores(spark, sf_dir).select("issue_id", "file_id", F.expr("1 + file_id % 4").alias("n"))
+    imports = external(spark, sf_dir).select("file_id", F.floor(F.col("file_id") / 2).alias("target_file_id"))
     return G.reverse_imports(matches, imports, scores(spark, sf_dir))
 
 
 def reexport_routes(spark, sf_dir):
     imports = calls(spark, sf_dir).select("file_id", "target_file_id", F.col("target_symbol").alias("name"))
-    facades = calls(spark, sf_dir).where("file_id % 3 = 0").select("file_id", F.col("caller").alias("name"), F.col("target_file_id").alias("source_file_id"))
+    facades = calls(spark, sf_dir).select("file_id", F.col("caller").alias("name"), F.col("target_file_id").alias("source_file_id"))
     return G.reexports(seeds(spark, sf_dir), imports, facades, scores(spark, sf_dir))
 
 
@@ -61,7 +62,7 @@ def cochange_history(spark, sf_dir):
 
 
 def blame_cochange(spark, sf_dir):
-    lines = seeds(spark, sf_dir).where("seed <= 2").join(commits(spark, sf_dir), "file_id").where("commit_ord % 5 = 0").select("issue_id", "file_id", "commit_ord")
+    lines = seeds(spark, sf_dir).where("seed <= 2").join(commits(spark, sf_dir), "file_id").select("issue_id", "file_id", "commit_ord")
     return G.blame(lines, commits(spark, sf_dir), scores(spark, sf_dir))
 
 
@@ -114,14 +115,14 @@ ORACLE = {
         WHERE b.target_file_id <> a.file_id GROUP BY sd.issue_id, b.target_file_id, a.file_id) SELECT * FROM r WHERE {_POOL}""", "scored", "fcalls"),
     "shared_call_peers": with_views(f"""WITH {_SEED}, k AS (SELECT target FROM extcalls GROUP BY target HAVING count(*) IN (2, 3)), x AS (SELECT * FROM extcalls SEMI JOIN k USING (target)),
       r AS (SELECT DISTINCT sd.issue_id, b.file_id, 'shared_call' AS kind, 5.0::DOUBLE AS bonus, a.file_id AS via FROM sd JOIN x a ON a.file_id = sd.file_id JOIN x b ON b.target = a.target AND b.file_id <> a.file_id) SELECT * FROM r WHERE {_POOL}""", "scored", "extcalls"),
-    "reverse_imports": with_views(f"""WITH i AS (SELECT DISTINCT file_id, CAST(substr(target, 7) AS BIGINT) % 100 * 5 AS via FROM extcalls WHERE file_id % 211 = 1), j AS (SELECT * FROM i WHERE file_id <> via), k AS (SELECT via FROM j GROUP BY via HAVING count(*) <= 3),
-      r AS (SELECT s.issue_id, j.file_id, 'reverse_import' AS kind, 5 + least(2.0::DOUBLE, 0.5::DOUBLE * (s.file_id % 4 - 1)) AS bonus, j.via FROM scored s JOIN j ON j.via = s.file_id SEMI JOIN k ON k.via = j.via WHERE s.file_id % 5 = 0 AND 1 + s.file_id % 4 >= 2) SELECT * FROM r WHERE {_POOL}""", "scored", "extcalls"),
-    "reexport_routes": with_views(f"""WITH {_SEED}, f AS (SELECT file_id AS facade, caller AS name, min(target_file_id) AS src FROM fcalls WHERE file_id % 3 = 0 GROUP BY ALL HAVING count(DISTINCT target_file_id) = 1),
+    "reverse_imports": with_views(f"""WITH j AS (SELECT DISTINCT file_id, file_id // 2 AS via FROM extcalls WHERE file_id <> file_id // 2),
+      r AS (SELECT s.issue_id, j.file_id, 'reverse_import' AS kind, 5 + least(2.0::DOUBLE, 0.5::DOUBLE * (s.file_id % 4 - 1)) AS bonus, j.via FROM scored s JOIN j ON j.via = s.file_id WHERE 1 + s.file_id % 4 >= 2) SELECT * FROM r WHERE {_POOL}""", "scored", "extcalls"),
+    "reexport_routes": with_views(f"""WITH {_SEED}, f AS (SELECT file_id AS facade, caller AS name, min(target_file_id) AS src FROM fcalls GROUP BY ALL HAVING count(DISTINCT target_file_id) = 1),
       r AS (SELECT DISTINCT sd.issue_id, src AS file_id, 'reexport' AS kind, 7.0::DOUBLE AS bonus, sd.file_id AS via FROM sd JOIN fcalls c USING (file_id) JOIN f ON facade = c.target_file_id AND f.name = c.target_symbol WHERE src <> sd.file_id) SELECT * FROM r WHERE {_POOL}""", "scored", "fcalls"),
     "cochange_history": with_views(f"""WITH {_SEED}, t AS (SELECT DISTINCT issue_id, commit_ord FROM sd JOIN commits USING (file_id)), l AS (SELECT issue_id, commit_ord FROM t QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY commit_ord) <= 50),
       z AS (SELECT commit_ord FROM commits GROUP BY commit_ord HAVING count(*) <= 50), r AS (SELECT issue_id, c.file_id, 'history' AS kind, least(12.0::DOUBLE, 5.0 + count(*)) AS bonus, min(commit_ord) AS via FROM l SEMI JOIN z USING (commit_ord) JOIN commits c USING (commit_ord) WHERE (issue_id, c.file_id) NOT IN (SELECT (issue_id, file_id) FROM sd) GROUP BY issue_id, c.file_id)
       SELECT * FROM r WHERE {_POOL}""", "scored", "commits"),
-    "blame_cochange": with_views(f"""WITH {_SEED}, l AS (SELECT DISTINCT issue_id, file_id AS s, commit_ord FROM sd JOIN commits USING (file_id) WHERE seed <= 2 AND commit_ord % 5 = 0), z AS (SELECT commit_ord FROM commits GROUP BY commit_ord HAVING count(*) <= 20),
+    "blame_cochange": with_views(f"""WITH {_SEED}, l AS (SELECT DISTINCT issue_id, file_id AS s, commit_ord FROM sd JOIN commits USING (file_id) WHERE seed <= 2), z AS (SELECT commit_ord FROM commits GROUP BY commit_ord HAVING count(*) <= 20),
       r AS (SELECT issue_id, c.file_id, 'blame' AS kind, 10.0::DOUBLE AS bonus, min(commit_ord) AS via FROM l SEMI JOIN z USING (commit_ord) JOIN commits c USING (commit_ord) WHERE c.file_id <> s GROUP BY issue_id, c.file_id) SELECT * FROM r WHERE {_POOL}""", "scored", "commits"),
     "relation_top2_bonus": with_views(f"WITH {_BON} SELECT * FROM bn", "scored", "relations"),
     "reserve_slot": with_views(f"WITH {_BON} SELECT issue_id, file_id, rank FROM sl", "scored", "relations"),

@@ -46,13 +46,14 @@ def symbol_recall(spark, sf_dir):
     symbol = F.concat(F.lit("Owner."), F.lit("fn_"), (F.col("file_id") % 7).cast("string"))
     candidates = adapter(spark, sf_dir, "ranked").withColumn("symbol", symbol)
     local = F.when(F.col("file_id") % 2 == 0, symbol).otherwise(F.concat(F.lit("fn_"), (F.col("file_id") % 5).cast("string")))
-    wanted = adapter(spark, sf_dir, "expected").where("file_id % 3 <> 0").withColumn("symbol", local)
+    wanted = adapter(spark, sf_dir, "expected").withColumn("symbol", local)
     return evaluation.symbol_metrics(candidates, wanted, adapter(spark, sf_dir, "cases"))
 
 
 def reranked_files(spark, sf_dir):
     ranked = adapter(spark, sf_dir, "ranked")
-    first = ranked.where("file_id % 4 = 0").withColumn("place", -F.col("rank")).select("case_id", "file_id", "place")
+    # a model that turns the first three around
+    first = ranked.where("rank <= 3").withColumn("place", -F.col("rank")).select("case_id", "file_id", "place")
     return evaluation.reranked(ranked, first)
 
 
@@ -76,11 +77,11 @@ ORACLE = {
     "fallback_histogram": with_views("SELECT failure, count(*) AS n FROM cases WHERE failure IS NOT NULL GROUP BY failure", "cases"),
     "workflow_reliability": with_views("""SELECT count(*) AS cases, round(avg(completed::INT), 4) AS success_rate, round(avg((completed AND attempts = 1)::INT), 4) AS first_attempt_rate,
       round(avg(attempts) FILTER (completed), 4) AS mean_attempts, round(avg(latency_ms) FILTER (completed), 3) AS mean_latency_ms FROM cases""", "cases"),
-    "symbol_recall": with_views("""WITH w AS (SELECT case_id, file_id, CASE WHEN file_id % 2 = 0 THEN 'Owner.fn_' || (file_id % 7) ELSE 'fn_' || (file_id % 5) END AS s FROM expected WHERE file_id % 3 <> 0),
+    "symbol_recall": with_views("""WITH w AS (SELECT case_id, file_id, CASE WHEN file_id % 2 = 0 THEN 'Owner.fn_' || (file_id % 7) ELSE 'fn_' || (file_id % 5) END AS s FROM expected),
       h AS (SELECT w.case_id, rank FROM w LEFT JOIN ranked r ON r.case_id = w.case_id AND r.file_id = w.file_id AND (w.s = 'Owner.fn_' || (r.file_id % 7) OR w.s = 'fn_' || (r.file_id % 7))),
       g AS (SELECT case_id, count(*) AS n, count(*) FILTER (rank <= 1) AS r1, count(*) FILTER (rank <= 5) AS r5, count(*) FILTER (rank <= 10) AS r10, count(*) FILTER (rank <= 20) AS r20, min(rank) AS best FROM h GROUP BY case_id)
       SELECT cases.case_id, coalesce(n, 0) AS n_symbols, round(r1 / n, 4) AS symbol_recall_at_1, round(r5 / n, 4) AS symbol_recall_at_5, round(r10 / n, 4) AS symbol_recall_at_10, round(r20 / n, 4) AS symbol_recall_at_20,
         CASE WHEN n IS NOT NULL THEN round(coalesce(1 / best, 0), 4) END AS symbol_reciprocal_rank FROM cases LEFT JOIN g USING (case_id)""", *_V, "cases"),
-    "reranked_files": with_views("SELECT case_id, file_id, row_number() OVER (PARTITION BY case_id ORDER BY CASE WHEN file_id % 4 = 0 THEN 0 ELSE 1 END, CASE WHEN file_id % 4 = 0 THEN -rank ELSE rank END) AS rank FROM ranked", "ranked"),
+    "reranked_files": with_views("SELECT case_id, file_id, row_number() OVER (PARTITION BY case_id ORDER BY CASE WHEN rank <= 3 THEN -rank ELSE rank END) AS rank FROM ranked", "ranked"),
     "unknown_cases": with_views("SELECT DISTINCT file_id AS case_id FROM commit_files WHERE file_id NOT IN (SELECT case_id FROM expected)", "commit_files", "expected"),
 }
