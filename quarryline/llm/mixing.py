@@ -70,19 +70,31 @@ def apportion(units: DataFrame, group: list[str], unit: list[str], share: str, s
     return out.withColumn("quota", F.col("_q") + F.coalesce("_d", F.lit(0))).drop("_w", "_n", "_p", "_q", "_miss", "_d")
 
 
-def mix(docs: DataFrame, seed: int = SEED, block_words: int | None = None) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every row of docs (doc_id, source, text)."""
-    # a key without nulls, in the order of the sources
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    sized = stored(docs.select("doc_id", "source", key.alias("key"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("order")), "sizes")
+def _key():
+    """A source's key without nulls."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+
+
+def _order(seed: int):
+    return F.xxhash64(F.lit(seed), "doc_id")
+
+
+def _shard():
+    """The shard of a document among its source's."""
+    return F.pmod(F.xxhash64("order"), "shards")
+
+
+def _placed(docs: DataFrame, seed: int, block_words: int | None) -> tuple[DataFrame, DataFrame]:
+    """Every row of docs with its place in the mix (doc_id, size, key, shard, order, source_size, target, rounds, rest), and the sources (key, shards)."""
+    sized = stored(docs.select("doc_id", "source", _key().alias("key"), n_words(F.col("text")).alias("size"), _order(seed).alias("order")), "sizes")
     sources = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    goals = stored(targets(sources).withColumn("key", key), "targets")
+    goals = stored(targets(sources).withColumn("key", _key()), "targets")
     total = goals.agg(F.sum("source_size")).first()[0] or 0
     block = block_words or max(1, min(BLOCK_WORDS, total // BLOCKS))
     room = max(SHARD_WORDS, -(-total // SHARDS))
     quotas = apportion(goals.withColumn("all", F.lit(0)).withColumn("seats", F.lit(total // block)), ["all"], ["key"], "target", "seats")
     quotas = stored(quotas.select("key", "source_size", "target", F.col("quota").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / room)).alias("shards")), "quotas")
-    dealt = sized.join(quotas.select("key", "shards"), "key").withColumn("shard", F.pmod(F.xxhash64("order"), "shards")).drop("shards", "source")
+    dealt = sized.join(quotas.select("key", "shards"), "key").withColumn("shard", _shard()).drop("shards", "source")
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size")).join(quotas, "key")
     shards = apportion(shards, ["key"], ["shard"], "shard_size", "blocks")
     shards = shards.select("key", "shard", "shard_size", "source_size", "target", F.least(F.col("quota") * block, EPOCHS * F.col("shard_size")).alias("words"))
@@ -90,22 +102,30 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int | None = None) -> Da
     placed = dealt.withColumn("end", F.sum("size").over(line)).join(shards, ["key", "shard"])
     rest = F.expr("CASE WHEN shard_size = 0 THEN 0 ELSE least(greatest(words % shard_size - (end - size), 0), size) END")
     rounds = F.expr("CASE WHEN shard_size = 0 THEN 0 ELSE words DIV shard_size END")
-    return placed.select("doc_id", "size", "source_size", "target", (rounds * F.col("size") + rest).alias("taken"))
+    return placed.select("doc_id", "size", "key", "shard", "order", "source_size", "target", rounds.alias("rounds"), rest.alias("rest")), quotas.select("key", "shards")
+
+
+def mix(docs: DataFrame, seed: int = SEED, block_words: int | None = None) -> DataFrame:
+    """doc_id, size, source_size, target and taken for every row of docs (doc_id, source, text)."""
+    placed, _ = _placed(docs, seed, block_words)
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("rest")).alias("taken"))
 
 
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Whole rows of docs, all their columns, each as often as the mix takes its words (to the nearest whole number, halves up).
 
-    Rows that share a doc_id share their number, the rounded mean; rows without doc_id stay once.
+    In a shard the mix takes all documents the same number of rounds and then a first part of the seeded order, so a count and the last place taken
+    for each shard say it all, and the documents meet that short table instead of one as long as theirs. Documents with one place in the order go
+    together, and empty ones go with their place.
     """
-    found = mix(docs, seed).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("mix_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = stored(found.select("mix_id", F.expr("CASE WHEN size = 0 THEN 0 ELSE CAST(floor(taken / size + 0.5) AS INT) END").alias("times")), "times")
-    joined = docs.alias("d").join(times.alias("t"), F.expr("d.doc_id = t.mix_id"), "left").where("coalesce(t.times, 1) > 0")
-    spare = "copy"
-    while spare in docs.columns:
-        spare += "_"
-    copies = F.sequence(F.lit(1), F.coalesce("t.times", F.lit(1)))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(copies).alias(spare)).drop(spare)
+    placed, sources = _placed(docs, seed, None)
+    last = F.max(F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), F.col("order")))
+    cuts = stored(placed.groupBy("key", "shard").agg(F.max("rounds").alias("rounds"), last.alias("last")), "cuts")
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select("*", _key(), _order(seed)).toDF(*own, "key", "order").join(sources, "key").withColumn("shard", _shard()).join(cuts, ["key", "shard"])
+    times = F.col("rounds") + F.when(F.col("order") <= F.col("last"), 1).otherwise(0)
+    copies = rows.withColumn("times", times.cast("int")).where("times > 0")
+    return copies.select(*own, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*[F.col(c).alias(n) for c, n in zip(own, docs.columns)])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,10 +188,13 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their component, with all their columns."""
-    found = near_duplicates(docs)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi")
+    """The documents with the smallest doc_id of their component, with all their columns; those without doc_id stay.
+
+    The others are far fewer than those that stay, so their ids are what the documents are compared with.
+    """
+    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = stored(gone, "gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
