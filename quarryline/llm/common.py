@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts handed to a Python function at once: rows and bytes at most (one longer text goes alone).
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         at += n
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the system; workers live on for other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def annotate(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: T.StructType, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry and schema columns for every row: make() gives, once a task, the function from a list of texts (None for null) to schema's columns as Arrow arrays or lists."""
     taken = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("t"))
@@ -81,6 +93,8 @@ def annotate(df: DataFrame, make: Callable[[], Callable[[list], list]], schema:
                 made = work(part.column(n).to_pylist())
                 columns = [*part.columns[:n], *made]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
+            part = batch = made = columns = None
+        give_back()
 
     return taken.mapInArrow(run, full)
 
@@ -94,6 +108,8 @@ def only(df: DataFrame, make: Callable[[], Callable[[list], list]], text: str =
         for batch in batches:
             for part in pieces(batch, at):
                 yield part.filter(pa.array(work(part.column(at).to_pylist()), pa.bool_()))
+            part = batch = None
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 

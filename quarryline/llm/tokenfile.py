@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import LONG, STRING, new_path, pieces, stored, struct, table
+from quarryline.llm.common import LONG, STRING, give_back, new_path, pieces, stored, struct, table
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 FRAME_BYTES = 256 << 10
-#: Distinct pieces of text, and distinct words in them, whose ids a worker remembers; about 100 bytes each.
-CACHE = 500_000
+#: Distinct pieces of text, and distinct words in them, whose ids a worker remembers; about 150 bytes each.
+CACHE = 350_000
 SEEKABLE_MAGIC, TABLE_MAGIC, INDEX_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
@@ -263,6 +263,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
             writer.close()
             file.close()
             store.move(own, name)
+            give_back()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{shard:06d}.ids.zst", "n_docs": n_docs, "n_tokens": n_tokens}])
 
     # one row a shard: small enough for one window
