@@ -10,10 +10,16 @@ Learned from about SAMPLE documents (texts with letters, languages alike, chosen
 may be learned from; only their hashed counts reach the driver, BINS half floats each. Training has no random part.
 Null texts and texts without a letter are 'und' with score 0, as is everything if there is nothing to learn from. Very long texts
 are counted in parts, whole. Rows are judged one by one, repeated ones alike.
+
+The score tells languages apart, not whether a text is in any of them, so the filter (accepted) measures that: the mean log-probability of a
+text's n-grams (runs of other characters as one blank) under the profile of each language. On rows withheld from fitting its spread is measured, as
+a part that stays and one that shrinks with the length; a text more than FAR deviations under the median of every language is rejected.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +38,8 @@ FAMILIES = {
     "indic": ("bn", "gu", "hi", "mr", "ne", "pa", "ur"),
 }
 BINS, SAMPLE, SEED = 4096, 4000, 5
-#: Documents scored under this are rejected by a filter.
-LEAST_SCORE = 0.2
+#: Standard deviations under the median of withheld rows from which a filter rejects a text, and the share of all bins in a profile.
+FAR, SMOOTH = 6.0, 0.01
 UNKNOWN = "und"
 
 
@@ -143,16 +149,69 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", c
     return annotate(docs, lambda: (lambda work: lambda texts: list(work(texts)))(make()), struct(lang_pred=STRING, score=DOUBLE), text, carry)
 
 
-def accepted(docs: DataFrame, model: LanguageModel | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, all columns, whose language is known with at least that score."""
-    make = _predictor(model)
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def _letter_grams(texts: list[str | None]) -> np.ndarray:
+    return gram_counts([_OTHER.sub(" ", t) if t else t for t in texts], BINS)
+
+
+class Familiarity:
+    """How far texts are from the learned languages: deviations(texts) from the nearest one's median, negative below it."""
+
+    def __init__(self, learned: list[tuple[str, np.ndarray]], withheld: list[tuple[str, np.ndarray]]):
+        self.langs = sorted({v for v, _ in learned})
+        shares = [np.mean([c / max(1.0, c.sum()) for v, c in learned if v == lang], 0) for lang in self.langs]
+        self.logs = np.log((1 - SMOOTH) * np.array(shares).T + SMOOTH / BINS)
+        self.middle, self.fixed, self.falling = np.zeros(len(self.langs)), 0.0, 0.0
+        rest = []
+        for k, lang in enumerate(self.langs):
+            own = np.array([c for v, c in (withheld or learned) if v == lang] or [c for v, c in learned if v == lang])
+            n, score = self._scores(own)
+            self.middle[k] = np.median(score[:, k])
+            rest += zip(n, (score[:, k] - self.middle[k]) ** 2)
+        n, squares = np.array(rest).T
+        long = n >= np.median(n)
+        # one row of 200 lies further than three deviations, so junk among the rows does not widen them
+        tail = lambda x: float(np.quantile(x, 0.995)) / 9
+        self.fixed, self.falling = tail(squares[long]), tail((squares * n)[~long] if (~long).any() else squares * n)
+
+    def _scores(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = counts.sum(1)
+        return n, counts @ self.logs / np.maximum(n, 1)[:, None]
+
+    def deviations(self, texts: list[str | None]) -> np.ndarray:
+        n, score = self._scores(_letter_grams(texts))
+        spread = np.sqrt(self.fixed + self.falling / np.maximum(n, 1)) + 1e-9
+        return (score - self.middle).max(1) / spread
+
+
+def familiarity(docs: DataFrame, most: int = SAMPLE, seed: int = SEED) -> Familiarity | None:
+    """From the rows that may be learned from and as many withheld ones, or None without any."""
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\\\p{L}'")
+
+    def make():
+        return lambda texts: [pa.array([r.tobytes() for r in _letter_grams(texts).astype(np.float32)])]
+
+    def sample(which):
+        found = annotate(bounded_sample(rows.where(which).select("doc_id", "text", "lang"), "lang", most // 2, seed), make, struct(c=T.BinaryType()), carry=("lang",)).collect()
+        return sorted(((r["lang"], np.frombuffer(r["c"], np.float32)) for r in found), key=lambda r: (r[0], r[1].tobytes()))
+
+    learned = sample(learning())
+    return Familiarity(learned, sample(held_out())) if learned else None
+
+
+def accepted(docs: DataFrame, model: LanguageModel | None, far: float = FAR) -> DataFrame:
+    """The rows of docs, all columns, that are in one of the learned languages."""
+    make, known = _predictor(model), familiarity(docs) if model else None
 
     def judge():
         work = make()
 
         def good(texts: list) -> list:
-            codes, scores = work(texts)
-            return [c != UNKNOWN and s >= least for c, s in zip(codes, scores)]
+            codes, _ = work(texts)
+            near = known.deviations(texts) >= -far if known else [True] * len(texts)
+            return [c != UNKNOWN and bool(x) for c, x in zip(codes, near)]
 
         return good
 
