@@ -1,0 +1,14 @@
+"""Disguised e-mails, end to end."""
+
+import pytest
+
+from quarryline.llm import pii
+
+
+@pytest.mark.parametrize("at", [" at ", "(at)", "[at]", "{at}", " (at) ", " [at] ", " @ ", "(At)", " {aT} ", "[AT]"])
+@pytest.mark.parametrize("dot", [" dot ", "(dot)", "[dot]", "{dot}", " (Dot) "])
+def test_each_disguise_is_a_candidate(at, dot):
+    span = f"joe.doe{at}foo{dot}com"
+    text = f"Puis écris: {span}\nmerci"
+    found = [text[b:e] for kind, b, e in pii.candidates(text) if kind == "email"]
+    assert span in found
