@@ -4,7 +4,8 @@ Rules (host, path) fit their host and all subdomains where the url's path starts
 longest wins. Urls without a rule are judged by their host. Host edges are the absolute links of
 the pages to other hosts, as many as there are, and one from each host to the domain it is part of. Hosts are seeds
 of trust by the share of their pages that rules allow, and of distrust by the share that rules block. Personalised
-PageRank carries trust along the edges and distrust against them (who links to blocked hosts is suspect), ROUNDS rounds with DAMPING;
+PageRank carries trust along the edges and distrust against them (who links to blocked hosts is suspect) with DAMPING, until no further host is reached and
+three rounds add TOLERANCE of the mass at most;
 what reaches a host without edges stops there. A host is blocked where its distrust is over RATIO times its trust.
 
 Null urls and urls without :// have empty host and path, no rule, and are allowed. Each row of pages is judged, repeated ones
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import stored, table
+from quarryline.llm.common import discard, stored, table
 from quarryline.llm.sqltext import LOWER, UPPER
 
 #: (verdict, host, path), fixed values of the contract.
@@ -27,7 +28,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-ROUNDS, DAMPING, RATIO = 10, 0.85, 1.0
+#: ROUNDS are those of OP2_SQL; propagate() has no fixed number.
+ROUNDS, DAMPING, RATIO, TOLERANCE = 10, 0.85, 1.0, 1e-10
 LINK = r"""(?i)href\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
 
 
@@ -54,21 +56,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(parents).where("src <> dst AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust and distrust from edges (src, dst, n) and seeds (host, trust, distrust: shares that add up to 1 each, or 0)."""
     both = edges.selectExpr("'trust' AS kind", "src", "dst", "n").unionByName(edges.selectExpr("'distrust' AS kind", "dst AS src", "src AS dst", "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     steps = stored(both.join(out, ["kind", "src"]).select(F.col("kind").alias("way"), "src", "dst", (F.lit(damping) * F.col("n") / F.col("all")).alias("p")), "steps")
     start = seeds.selectExpr("stack(2, 'trust', trust, 'distrust', distrust) AS (kind, value)", "host").where("value > 0")
     start = stored(start.select("kind", "host", ((1 - damping) * F.col("value")).alias("value")), "seeds")
-    now = start
-    for k in range(rounds):
-        sent = now.join(steps, F.expr("kind = way AND host = src")).select("kind", F.col("dst").alias("host"), (F.col("value") * F.col("p")).alias("value"))
-        after = sent.unionByName(start).groupBy("kind", "host").agg(F.sum("value").alias("value"))
-        if k % 3 == 2:  # a lost executor costs three rounds at most
-            now = stored(after, "ranks")
-        else:
-            now = after
+    # values only grow from round to round, so their sum tells how much one adds
+    held = lambda ranks: tuple(ranks.agg(F.count("*"), F.coalesce(F.sum("value"), F.lit(0.0))).first())
+    now, before = start, held(start)
+    while before[0]:
+        last = now
+        for _ in range(3):  # a lost executor costs three rounds at most
+            sent = now.join(steps, F.expr("kind = way AND host = src")).select("kind", F.col("dst").alias("host"), (F.col("value") * F.col("p")).alias("value"))
+            now = sent.unionByName(start).groupBy("kind", "host").agg(F.sum("value").alias("value"))
+        now = stored(now, "ranks")
+        after = held(now)
+        if last is not start:
+            discard(last)
+        if after[0] == before[0] and after[1] - before[1] <= tolerance:
+            break
+        before = after
     value = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("value")).otherwise(0.0))
     return now.groupBy("host").agg(value("trust").alias("trust"), value("distrust").alias("distrust"))
 
