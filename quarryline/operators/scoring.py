@@ -109,11 +109,13 @@ def duplicate_degree(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("issue_number", "candidate_issue_number")).alias("number")).groupBy("number").agg(F.count("*").alias("degree"))
 
 
-def rank_issues(issues: DataFrame, now: str, pairs: DataFrame | None = None) -> DataFrame:
-    """Scored issues by score descending, ties in input order (ord)."""
+def rank_issues(issues: DataFrame, now: str, pairs: DataFrame | None = None, degrees: DataFrame | None = None) -> DataFrame:
+    """Scored issues by score descending, ties in input order (ord); similar issues are counted from pairs, or given as degrees (number, degree)."""
     if pairs is not None:
-        issues = issues.join(duplicate_degree(pairs), "number", "left")
-    scored = score_issues(issues, now, "degree" if pairs is not None else None)
+        degrees = duplicate_degree(pairs)
+    if degrees is not None:
+        issues = issues.join(degrees, "number", "left")
+    scored = score_issues(issues, now, "degree" if degrees is not None else None)
     return scored.orderBy(F.desc("priority_score"), "ord")
 
 

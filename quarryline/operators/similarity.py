@@ -111,3 +111,37 @@ def detect_duplicates(issues: DataFrame, threshold: float = THRESHOLD, text: Col
         pairs = side("left").join(side("right"), F.col("left_ord") < F.col("right_ord")).withColumn("jaccard", jaccard(F.col("left_tokens"), F.col("right_tokens")))
     scored = pairs.withColumn("similarity", F.round(JACCARD_WEIGHT * F.col("jaccard") + TITLE_WEIGHT * title_ratio("left_title", "right_title"), 4))
     return scored.where(F.col("similarity") >= threshold).select(F.col("left_number").alias("issue_number"), F.col("right_number").alias("candidate_issue_number"), "similarity", shared_terms(F.col("left_tokens"), F.col("right_tokens")).alias("shared_terms"), "left_ord", "right_ord").orderBy(F.desc("similarity"), "left_ord", "right_ord").drop("left_ord", "right_ord")
+
+
+def duplicate_degrees(issues: DataFrame, threshold: float = THRESHOLD, text: Column | None = None) -> DataFrame:
+    """number, degree: in how many pairs of detect_duplicates() each issue is, without making the pairs of copies.
+
+    Issues with equal tokens and titles are of one kind; kinds are compared once. The title ratio of two kinds may reach the
+    threshold in one order only; then the members of the other kind that come later (or earlier) are counted.
+    """
+    from pyspark.sql import Window
+
+    from quarryline.operators.scoring import duplicate_degree, issue_text
+
+    least = jaccard_bound(threshold)
+    if least <= 0:
+        return duplicate_degree(detect_duplicates(issues, threshold, text))
+    rows = issues.select("number", F.lower("title").alias("title"), "ord", tokens(issue_text() if text is None else text).alias("tokens")).where(F.size("tokens") > 0)
+    rows = rows.withColumns({"set_id": F.xxhash64("tokens"), "kind": F.sha2(F.concat_ws("|", F.array_join("tokens", " "), "title"), 256)})
+    kinds = rows.groupBy("kind", "set_id", "title").agg(F.count("*").alias("n"))
+    near = class_pairs(token_classes(rows), least)
+    near = near.unionByName(kinds.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct())
+    side = lambda p: kinds.select(F.col("set_id").alias(p), F.col("kind").alias(f"k{p}"), F.col("title").alias(f"t{p}"), F.col("n").alias(f"n{p}"))
+    met = near.join(side("a"), "a").join(side("b"), "b").where("a <> b OR ka < kb")
+    like = lambda x, y: F.round(JACCARD_WEIGHT * F.col("jaccard") + TITLE_WEIGHT * title_ratio(x, y), 4) >= threshold
+    met = met.withColumns({"ab": like("ta", "tb"), "ba": like("tb", "ta")})
+    both = met.where("ab AND ba").selectExpr("stack(2, ka, nb, kb, na) AS (kind, more)").groupBy("kind").agg(F.sum("more").alias("more"))
+    counted = rows.join(kinds.select("kind", "n"), "kind").join(both, "kind", "left").select("number", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("degree"))
+    # early, late: the kind whose members have to come first, and the other
+    one = met.where("ab <> ba").select(F.when(F.col("ab"), F.col("ka")).otherwise(F.col("kb")).alias("early"), F.when(F.col("ab"), F.col("kb")).otherwise(F.col("ka")).alias("late"))
+    ends = one.withColumn("kind", F.col("early")).unionByName(one.withColumn("kind", F.col("late"))).join(rows.select("kind", "number", "ord"), "kind")
+    line = Window.partitionBy("early", "late").orderBy("ord")
+    before = F.sum(F.when(F.col("kind") == F.col("early"), 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.sum(F.when(F.col("kind") == F.col("late"), 1).otherwise(0)).over(line.rowsBetween(1, Window.unboundedFollowing))
+    ordered = ends.select("number", F.coalesce(F.when(F.col("kind") == F.col("early"), after).otherwise(before), F.lit(0)).alias("degree"))
+    return counted.unionByName(ordered).groupBy("number").agg(F.sum("degree").alias("degree"))

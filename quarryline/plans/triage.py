@@ -36,14 +36,19 @@ def needs_information(spark, sf_dir):
     return scored(spark, sf_dir).select("number", "needs_information")
 
 
+def ranked(spark, sf_dir):
+    """All issues in order, scored with their similar-issue counts."""
+    rows = issues(spark, sf_dir)
+    return scoring.rank_issues(rows, NOW, degrees=similarity.duplicate_degrees(rows))
+
+
 def priority_rank(spark, sf_dir):
-    """All issues in order with their similar-issue counts from exact token classes (a class of n equal issues gives each n - 1)."""
-    return scoring.rank_issues(issues(spark, sf_dir), NOW).select("number", "priority", "priority_score")
+    """All issues in order with their similar-issue counts from kinds of equal tokens and titles (a kind of n gives each n - 1, and similar kinds all their members)."""
+    return ranked(spark, sf_dir).select("number", "priority", "priority_score")
 
 
 def top_k_issues(spark, sf_dir):
-    ranked = scoring.score_issues(issues(spark, sf_dir), NOW)
-    return scoring.top_k(ranked, 20).select("place", "number", "priority_score")
+    return scoring.top_k(ranked(spark, sf_dir), 20).select("place", "number", "priority_score")
 
 
 def doc_rows(spark, sf_dir):
