@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+
 from pyspark.sql import functions as F
 
 from quarryline.operators import scoring, similarity
@@ -47,6 +49,11 @@ def priority_rank(spark, sf_dir):
     return ranked(spark, sf_dir).select("number", "priority", "priority_score")
 
 
+def similar_issue_counts(spark, sf_dir):
+    """How many issues are similar to each, at the blended score of 0.55."""
+    return similarity.duplicate_degrees(issues(spark, sf_dir))
+
+
 def top_k_issues(spark, sf_dir):
     return scoring.top_k(ranked(spark, sf_dir), 20).select("place", "number", "priority_score")
 
@@ -87,7 +94,7 @@ def duplicate_pairs(spark, sf_dir):
     return similarity.detect_duplicates(rows, 0.75, F.col("_t")).withColumn("shared_terms", F.array_join("shared_terms", "|"))
 
 
-QUERIES = {f.__name__: f for f in (priority_score, priority_factors, priority_reasons, needs_information, priority_rank, top_k_issues, duplicate_jaccard, duplicate_degree, duplicate_shared_terms, duplicate_pairs)}
+QUERIES = {f.__name__: f for f in (priority_score, priority_factors, priority_reasons, needs_information, priority_rank, similar_issue_counts, top_k_issues, duplicate_jaccard, duplicate_degree, duplicate_shared_terms, duplicate_pairs)}
 
 _CRIT = "['account takeover','corruption','credential leak','data loss','rce','remote code execution']"
 _HIGH = "['crash','deadlock','production down','regression','security','service unavailable','vulnerability']"
@@ -106,6 +113,27 @@ t3 AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 1.0::DOUBLE WHEN 'HIGH' THEN
 t4 AS (SELECT *, 100 * (0.30::DOUBLE * s + 0.20::DOUBLE * u + 0.15::DOUBLE * a + 0.10::DOUBLE * r + 0.05::DOUBLE * c + 0.10::DOUBLE * b) AS x, expl OR ((contains(t, 'data loss') OR contains(t, 'corruption')) AND rep) AS p0,
   len(regexp_extract_all(body, '[0-9A-Za-z_]+')) < 15 AND NOT rep AS ni FROM t3),
 scored AS (SELECT *, CASE WHEN p0 THEN 'P0' WHEN rel OR x >= 70 THEN 'P1' WHEN x >= 45 THEN 'P2' ELSE 'P3' END AS priority, round(CASE WHEN p0 THEN greatest(x, 90) ELSE x END, 2) AS priority_score FROM t4)"""
+_TITLES = ("Data loss in production", "Crash regression", "Wrong source total", "Release blocker in packaging", "Improve documentation")
+
+
+def _ratios() -> str:
+    """The title ratio of the issues view's five titles, both ways: SQL has no function for it."""
+    both = [(x.lower(), y.lower()) for x in _TITLES for y in _TITLES]
+    return ", ".join(f"('{x}', '{y}', {difflib.SequenceMatcher(None, x, y).ratio()!r}::DOUBLE)" for x, y in both)
+
+
+#: Scores with similar issues counted. A kind is a text; for each issue and kind, the issues of the kind before and after it count where the pair in that order is similar.
+_COUNTED = f"""
+ratios(x, y, ratio) AS (VALUES {_ratios()}),
+kinds AS (SELECT t, lower(title) AS title, count(*) AS n, list_filter(list_distinct(regexp_extract_all(t, '[a-zA-Z0-9_./-]{{3,}}')), lambda w: w NOT IN {similarity.STOPWORDS}) AS w FROM t0 GROUP BY t, lower(title)),
+common AS (SELECT a.t AS ta, b.t AS tb, len(list_intersect(a.w, b.w)) AS c, len(a.w) + len(b.w) AS total, r.ratio FROM kinds a, kinds b, ratios r WHERE r.x = a.title AND r.y = b.title),
+likes AS (SELECT ta, tb, round(0.65::DOUBLE * (c::DOUBLE / (total - c)) + 0.35::DOUBLE * ratio, 4) >= 0.55 AS similar FROM common),
+placed AS (SELECT i.number, i.t AS own, k.t AS other, k.n, sum(CASE WHEN i.t = k.t THEN 1 ELSE 0 END) OVER (PARTITION BY k.t ORDER BY i.number) AS upto FROM t0 i, kinds k),
+degrees AS (SELECT number, CAST(sum(CASE WHEN l.similar THEN n - upto ELSE 0 END + CASE WHEN m.similar THEN upto - CASE WHEN own = other THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS degree
+  FROM placed JOIN likes l ON l.ta = own AND l.tb = other JOIN likes m ON m.ta = other AND m.tb = own GROUP BY number),
+t5 AS (SELECT t4.* EXCLUDE (x), degree, 100 * (0.30::DOUBLE * s + 0.20::DOUBLE * u + 0.15::DOUBLE * a + 0.10::DOUBLE * r + 0.10::DOUBLE * least(1.0::DOUBLE, log2(degree + 1.0::DOUBLE) / 4) + 0.10::DOUBLE * b + 0.05::DOUBLE * c) AS x FROM t4 JOIN degrees USING (number)),
+counted AS (SELECT *, CASE WHEN p0 THEN 'P0' WHEN rel OR x >= 70 THEN 'P1' WHEN x >= 45 THEN 'P2' ELSE 'P3' END AS ranked_priority, round(CASE WHEN p0 THEN greatest(x, 90) ELSE x END, 2) AS ranked_score FROM t5)"""
+_R = lambda tail: with_views("WITH " + _SCORED.strip() + "," + _COUNTED + " " + tail, "issues")
 _S = lambda tail: with_views("WITH " + _SCORED.strip() + " " + tail, "issues")
 _TOK = """tok AS (SELECT number, list_sort(list_filter(list_distinct(regexp_extract_all(lower(concat_ws(' ', coalesce(body, ''), label)), '[a-zA-Z0-9_./-]{3,}')), lambda w: w NOT IN ('the','a','an','and','or','to','of','in','on','is','it','for','with','when'))) AS w FROM docs),
 cls AS (SELECT w, min(number) AS rep, count(*) AS n FROM tok WHERE len(w) > 0 GROUP BY w),
@@ -116,13 +144,14 @@ _T = lambda tail: with_views("WITH " + _TOK + " " + tail, "docs")
 
 ORACLE = {
     "priority_score": _S("SELECT number, severity, urgency, priority, priority_score FROM scored"),
-    "priority_rank": _S("SELECT number, priority, priority_score FROM scored"),
+    "priority_rank": _R("SELECT number, ranked_priority AS priority, ranked_score AS priority_score FROM counted"),
     "priority_factors": _S("SELECT number, s AS severity, u AS urgency, a AS affected_users, r AS reproducibility, 0.0::DOUBLE AS duplicate_count, b AS release_blocking, round(c, 9) AS recency FROM scored"),
     "priority_reasons": _S("""SELECT number, concat_ws('|', CASE severity WHEN 'CRITICAL' THEN 'Critical impact signal: ' || crit[1] WHEN 'HIGH' THEN 'High impact signal: ' || high[1] WHEN 'MEDIUM' THEN 'Issue is labeled as a bug' ELSE 'No high-impact failure signal was detected' END,
       CASE WHEN u = 1.0 THEN 'Exploit or release-blocking urgency signal detected' WHEN u = 0.8 THEN 'Current production or high-engagement signal detected' WHEN u = 0.25 THEN 'A workaround appears to be available' ELSE 'No explicit deadline or workaround was detected' END,
       CASE WHEN rel THEN 'The issue is a release blocker' END, CASE WHEN rep THEN 'Reproduction evidence is present' END, CASE WHEN ni THEN 'Issue body lacks enough diagnostic detail' END) AS reasons FROM scored"""),
     "needs_information": _S("SELECT number, ni AS needs_information FROM scored"),
-    "top_k_issues": _S("SELECT row_number() OVER (ORDER BY priority_score DESC, number) AS place, number, priority_score FROM scored ORDER BY priority_score DESC, number LIMIT 20"),
+    "top_k_issues": _R("SELECT row_number() OVER (ORDER BY ranked_score DESC, number) AS place, number, ranked_score AS priority_score FROM counted ORDER BY ranked_score DESC, number LIMIT 20"),
+    "similar_issue_counts": _R("SELECT number, degree FROM degrees"),
     "duplicate_jaccard": _T("SELECT l AS left_number, r AS right_number, ln AS left_members, rn AS right_members, round(j, 6) AS jaccard FROM prs"),
     "duplicate_degree": _T("""SELECT tok.number, cls.rep AS class_id, CAST(coalesce(cls.n - 1, 0) + coalesce((SELECT sum(q.n) FROM (SELECT l AS rep, rn AS n FROM prs UNION ALL SELECT r, ln FROM prs) q WHERE q.rep = cls.rep), 0) AS BIGINT) AS degree
       FROM tok LEFT JOIN cls ON cls.w = tok.w"""),
