@@ -1,105 +1,226 @@
-"""What one Python source says: symbols, imports, and names that can be resolved for certain. Plain Python, run on executors."""
+"""What one Python source says: symbols, imports, and names that can be resolved for certain. Plain Python, run on executors.
+
+A source is read once into scopes: a module, its functions and classes. Each scope notes how often it binds a name, what it declares
+global or nonlocal, and what it calls or reads. Afterwards a name that a function uses is looked for in the function, then in the functions
+around it; if none of them has it, it is the module's. Only names that the module binds once, by a function or an import, tell what they are.
+"""
 
 from __future__ import annotations
 
 import ast
-import symtable
 from collections import Counter
-from collections.abc import Iterator
-
-FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
-SCOPE = (*FUNCTION, ast.ClassDef)
-
-
-def at_definition(node: ast.AST) -> list[ast.AST]:
-    """What of a def or class is evaluated in the scope around it."""
-    if isinstance(node, ast.ClassDef):
-        return [*node.decorator_list, *getattr(node, "type_params", []), *node.bases, *[k.value for k in node.keywords]]
-    a = node.args
-    every = [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]
-    return [*node.decorator_list, *getattr(node, "type_params", []), *[x.annotation for x in every if x.annotation], *a.defaults, *filter(None, a.kw_defaults), *filter(None, [node.returns])]
-
-
-def inside(nodes: list[ast.AST]) -> Iterator[ast.AST]:
-    """All nodes of a scope: bodies of nested defs and classes are left out, what they evaluate at definition is not."""
-    todo = list(reversed(nodes))
-    while todo:
-        node = todo.pop()
-        yield node
-        todo.extend(reversed(at_definition(node) if isinstance(node, SCOPE) else list(ast.iter_child_nodes(node))))
-
-
-def bound(nodes: list[ast.AST]) -> Iterator[str]:
-    """Names that the scope binds, as often as it does."""
-    for node in inside(nodes):
-        if isinstance(node, SCOPE):
-            yield node.name
-        elif isinstance(node, ast.Name) and not isinstance(node.ctx, ast.Load):
-            yield node.id
-        elif isinstance(node, ast.Import):
-            yield from (a.asname or a.name.partition(".")[0] for a in node.names)
-        elif isinstance(node, ast.ImportFrom):
-            yield from (a.asname or a.name for a in node.names if a.name != "*")
-        elif isinstance(node, (ast.ExceptHandler, ast.MatchAs, ast.MatchStar)) and node.name:
-            yield node.name
-        elif isinstance(node, ast.MatchMapping) and node.rest:
-            yield node.rest
-        elif isinstance(node, (ast.Global, ast.Nonlocal)):
-            yield from node.names
-
-
-def from_import(node: ast.ImportFrom) -> Iterator[tuple[str, tuple[str, str, str]]]:
-    """Local name and ('import', dotted target with leading dots, imported name)."""
-    dots = "." * node.level
-    for a in node.names:
-        if a.name != "*":
-            yield a.asname or a.name, ("import", f"{dots}{node.module}.{a.name}" if node.module else f"{dots}{a.name}", a.name)
-
-
-def module_bindings(tree: ast.Module, table: symtable.SymbolTable) -> dict[str, tuple[str, str, str]]:
-    """Module-level functions and imports that nothing else binds: name -> (local, module or import; target; symbol)."""
-    made: dict[str, tuple[str, str, str]] = {}
-    for node in tree.body:
-        if isinstance(node, FUNCTION):
-            made[node.name] = ("local", node.name, node.name)
-        elif isinstance(node, ast.Import):
-            for a in node.names:
-                target = a.name if a.asname else a.name.partition(".")[0]
-                made[a.asname or target] = ("module", target, target)
-        elif isinstance(node, ast.ImportFrom):
-            made.update(from_import(node))
-    times = Counter(bound(tree.body))
-    changed, todo = set(), list(table.get_children())
-    while todo:
-        t = todo.pop()
-        changed.update(s.get_name() for s in t.get_symbols() if s.is_declared_global() and s.is_assigned())
-        todo.extend(t.get_children())
-    return {n: b for n, b in made.items() if times[n] == 1 and n not in changed}
-
-
-def leading_imports(node: ast.FunctionDef) -> dict[str, tuple[str, str, str]]:
-    """From-imports in the block at a function's start whose names nothing else in it binds."""
-    body = node.body[1:] if ast.get_docstring(node, clean=False) is not None else node.body
-    head = 0
-    while head < len(body) and isinstance(body[head], (ast.Import, ast.ImportFrom)):
-        head += 1
-    times = Counter(bound(node.body))
-    a = node.args
-    taken = {x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg)))}
-    made = {n: b for x in body[:head] if isinstance(x, ast.ImportFrom) for n, b in from_import(x)}
-    return {n: b for n, b in made.items() if times[n] == 1 and n not in taken}
-
-
-def dotted(node: ast.AST) -> tuple[str, str] | None:
-    """Root name and rest of an attribute chain."""
-    rest = []
+from dataclasses import dataclass, field
+from typing import NamedTuple
+
+EMPTY = {"symbols": [], "imports": [], "bindings": [], "uses": [], "external": [], "calls": [], "names": []}
+# What marks one of several declarations of a function.
+OVERLOADS = ("typing.overload", "typing_extensions.overload")
+
+
+class Target(NamedTuple):
+    """What a name stands for: kind local (function of this file), module or import; dotted target with its leading dots; name there."""
+
+    kind: str
+    path: str
+    symbol: str
+
+
+class Use(NamedTuple):
+    """A name that is called (of: the attributes up to the call, '' for the name itself) or read. inner: within a lambda, generator or postponed annotation."""
+
+    name: str
+    called: bool
+    of: str
+    inner: bool
+
+
+@dataclass
+class Scope:
+    node: ast.AST
+    outer: Scope | None
+    path: tuple[str, ...] = ()
+    bound: Counter = field(default_factory=Counter)
+    taken: set[str] = field(default_factory=set)  # parameters
+    shared: Counter = field(default_factory=Counter)  # declared global or nonlocal
+    globals: set[str] = field(default_factory=set)
+    direct: set[str] = field(default_factory=set)  # names that its own code mentions
+    uses: list[Use] = field(default_factory=list)
+
+    @property
+    def is_function(self) -> bool:
+        return isinstance(self.node, (ast.FunctionDef, ast.AsyncFunctionDef))
+
+    @property
+    def name(self) -> str | None:
+        return ".".join(self.path) or None
+
+    def has(self, name: str) -> bool:
+        return name not in self.shared and (name in self.bound or name in self.taken)
+
+    def times(self, name: str) -> int:
+        return self.bound[name] + self.shared[name]
+
+
+def imported(node: ast.Import | ast.ImportFrom) -> dict[str, Target]:
+    """The names that an import statement binds."""
+    if isinstance(node, ast.Import):
+        whole = {a.asname or a.name.split(".")[0]: a.name if a.asname else a.name.split(".")[0] for a in node.names}
+        return {name: Target("module", path, path) for name, path in whole.items()}
+    base = "." * node.level + (f"{node.module}." if node.module else "")
+    return {a.asname or a.name: Target("import", base + a.name, a.name) for a in node.names if a.name != "*"}
+
+
+def chain(node: ast.AST) -> tuple[str, str] | None:
+    """Name and attributes of a dotted expression."""
+    attributes: list[str] = []
     while isinstance(node, ast.Attribute):
-        rest.append(node.attr)
+        attributes.insert(0, node.attr)
         node = node.value
-    return (node.id, ".".join(reversed(rest))) if isinstance(node, ast.Name) and rest else None
+    return (node.id, ".".join(attributes)) if isinstance(node, ast.Name) else None
 
 
-EMPTY = {"symbols": [], "imports": [], "bindings": [], "uses": [], "external": [], "calls": [], "names": []}
+class Source:
+    """The scopes of a tree, and what all of it imports, calls and reads."""
+
+    def __init__(self, tree: ast.Module):
+        self.module = Scope(tree, None)
+        # annotations that are never evaluated aren't code of their scope
+        self.postponed = any(isinstance(n, ast.ImportFrom) and n.module == "__future__" and any(a.name == "annotations" for a in n.names) for n in tree.body)
+        self.scopes, self.imports, self.calls, self.names = [self.module], set(), set(), set()
+        self.todo: list[tuple[ast.AST, Scope, bool]] = [(n, self.module, False) for n in tree.body]
+        while self.todo:
+            self._read(*self.todo.pop())
+
+    def _later(self, nodes, scope: Scope, inner: bool) -> None:
+        self.todo += [(n, scope, inner) for n in nodes if n is not None]
+
+    def _read(self, node: ast.AST, scope: Scope, inner: bool) -> None:
+        rest = ast.iter_child_nodes(node)
+        match node:
+            case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
+                scope.bound[node.name] += 1
+                self._open(node, scope, inner)
+                return
+            case ast.Name(id=name, ctx=ast.Load()):
+                self._mention(name, scope, inner)
+                scope.uses.append(Use(name, False, "", inner))
+                self.names.add(name)
+            case ast.Name(id=name):
+                self._mention(name, scope, inner)
+                scope.bound[name] += 1
+            case ast.Attribute(attr=attr, ctx=ast.Load()):
+                self.names.add(attr)
+            case ast.Call(func=ast.Name(id=name)):
+                self._mention(name, scope, inner)
+                scope.uses.append(Use(name, True, "", inner))
+                self.names.add(name)
+                self.calls.add(name)
+                rest = [*node.args, *node.keywords]
+            case ast.Call(func=ast.Attribute(attr=attr)):
+                self.calls.add(attr)
+                if found := chain(node.func):
+                    scope.uses.append(Use(found[0], True, found[1], inner))
+            case ast.Import() | ast.ImportFrom():
+                names = [a.asname or (a.name.split(".")[0] if isinstance(node, ast.Import) else a.name) for a in node.names if a.name != "*"]
+                scope.bound.update(names)
+                scope.direct.update(names)
+                if isinstance(node, ast.Import):
+                    self.imports.update(a.name for a in node.names)
+                else:
+                    base = "." * node.level + (node.module or "")
+                    self.imports.update({base} - {""}, (f"{base}.{a.name}" if node.module else base + a.name for a in node.names))
+            case ast.Global(names=names) | ast.Nonlocal(names=names):
+                scope.shared.update(names)
+                if isinstance(node, ast.Global):
+                    scope.globals.update(names)
+            case ast.ExceptHandler(name=str(name)) | ast.MatchAs(name=str(name)) | ast.MatchStar(name=str(name)) | ast.MatchMapping(rest=str(name)):
+                scope.bound[name] += 1
+                scope.direct.add(name)
+            case ast.AnnAssign():
+                self._later([node.annotation], scope, inner or self.postponed)
+                rest = [node.target, node.value]
+            case ast.Lambda(args=a):
+                self._later([*a.defaults, *a.kw_defaults], scope, inner)
+                self._later([node.body], scope, True)
+                return
+            case ast.GeneratorExp(generators=[first, *_]):
+                # its first iterable is evaluated outside of it
+                self._later([first.iter], scope, inner)
+                self._later([node.elt, first.target, *first.ifs, *node.generators[1:]], scope, True)
+                return
+        self._later(rest, scope, inner)
+
+    def _mention(self, name: str, scope: Scope, inner: bool) -> None:
+        if not inner:
+            scope.direct.add(name)
+
+    def _open(self, node: ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef, scope: Scope, inner: bool) -> None:
+        """A definition: its body is a scope, all else of it is evaluated around it."""
+        own = Scope(node, scope, (*scope.path, node.name))
+        self.scopes.append(own)
+        around = [*node.decorator_list, *node.type_params]
+        if isinstance(node, ast.ClassDef):
+            around += [*node.bases, *(k.value for k in node.keywords)]
+        else:
+            a = node.args
+            every = [x for x in (*a.posonlyargs, *a.args, a.vararg, *a.kwonlyargs, a.kwarg) if x]
+            own.taken = {x.arg for x in every}
+            around += [*a.defaults, *a.kw_defaults]
+            self._later([node.returns, *(x.annotation for x in every)], scope, inner or self.postponed)
+        self._later(around, scope, inner)
+        self._later(node.body, own, False)
+
+
+class Names:
+    """What names stand for: the module's sure ones, and those that functions import at their start."""
+
+    def __init__(self, source: Source):
+        self.module = source.module
+        made: dict[str, Target] = {}
+        for node in source.module.node.body:
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                made[node.name] = Target("local", node.name, node.name)
+            elif isinstance(node, (ast.Import, ast.ImportFrom)):
+                made |= imported(node)
+        rewritten = {n for s in source.scopes for n in s.globals if s is not self.module and n in s.bound}
+        self.sure = {n: t for n, t in made.items() if self.module.times(n) == 1 and n not in rewritten}
+
+    @staticmethod
+    def leading(scope: Scope) -> dict[str, Target]:
+        """From-imports at a function's start, under names that nothing else in it binds."""
+        out: dict[str, Target] = {}
+        for node in scope.node.body[ast.get_docstring(scope.node, clean=False) is not None :]:
+            if not isinstance(node, (ast.Import, ast.ImportFrom)):
+                break
+            out |= imported(node) if isinstance(node, ast.ImportFrom) else {}
+        return {n: t for n, t in out.items() if scope.times(n) == 1 and n not in scope.taken}
+
+    def meaning(self, use: Use, scope: Scope, leading: dict[str, Target]) -> tuple[Target | None, bool]:
+        """The target of a use, if it is certain, and whether the function imports it itself."""
+        name = use.name
+        if scope is self.module:
+            return self.sure.get(name), False
+        if name in scope.shared or (use.inner and name not in scope.direct):
+            return None, False
+        if scope.has(name):
+            return leading.get(name), name in leading
+        around = scope.outer
+        while around is not None and around is not self.module:
+            if around.is_function and name in around.globals:
+                break
+            if around.is_function and around.has(name):
+                return None, False
+            around = around.outer
+        return self.sure.get(name), False
+
+    def one_of_several(self, node: ast.AST) -> bool:
+        """Whether a function is a declaration for typing only."""
+        for mark in node.decorator_list:
+            found = chain(mark.func if isinstance(mark, ast.Call) else mark)
+            target = self.sure.get(found[0]) if found else None
+            if target and ".".join(filter(None, (target.path, found[1]))) in OVERLOADS and (target.kind == "import") == (not found[1]):
+                return True
+        return False
 
 
 def parse(source: str, path: str = "") -> dict[str, list]:
@@ -107,95 +228,45 @@ def parse(source: str, path: str = "") -> dict[str, list]:
     uses (kind call or reference, caller, local_name, target, symbol, function_local; target '' for a function of this file), external (caller, target: qualified calls), calls and names (all that are
     called and read). Nothing for a source that doesn't parse."""
     try:
-        tree = ast.parse(source)
-        root = symtable.symtable(source, path or "source", "exec")
+        tree = ast.parse(source, path or "source")
+        compile(tree, path or "source", "exec", dont_inherit=True)  # also refuses what only scopes tell, like a return outside of a function
     except (SyntaxError, ValueError, RecursionError):
         return {k: [] for k in EMPTY}
-    tables, todo = {}, [root]
-    while todo:
-        t = todo.pop()
-        tables[t.get_type(), t.get_name(), t.get_lineno()] = t
-        todo.extend(t.get_children())
-    known = module_bindings(tree, root)
-    overloads = {n for n, b in known.items() if b[:2] in (("import", "typing.overload"), ("import", "typing_extensions.overload"))}
-    modules = {n for n, b in known.items() if b[0] == "module" and b[1] in ("typing", "typing_extensions")}
-    symbols, uses, external, defined, single = [], set(), set(), Counter(), Counter()
-
-    def is_overload(node: ast.AST) -> bool:
-        marks = [d.func if isinstance(d, ast.Call) else d for d in node.decorator_list]
-        return any((isinstance(m, ast.Name) and m.id in overloads) or (isinstance(m, ast.Attribute) and m.attr == "overload" and isinstance(m.value, ast.Name) and m.value.id in modules) for m in marks)
-
-    def resolve(name: str, table: symtable.SymbolTable | None, local: dict) -> tuple[tuple[str, str, str] | None, bool]:
-        if table is None:
-            return None, False
-        if table.get_type() != "module":
-            try:
-                s = table.lookup(name)
-            except KeyError:
-                return None, False
-            if name in local and s.is_imported() and s.is_local() and not s.is_declared_global() and not s.is_nonlocal():
-                return local[name], True
-            if s.is_local() or s.is_parameter() or s.is_imported() or s.is_free() or s.is_nonlocal() or s.is_declared_global() or not s.is_global():
-                return None, False
-        return known.get(name), False
-
-    def scan(nodes: list[ast.AST], table, caller: str | None, local: dict) -> None:
-        called = set()
-        for node in inside(nodes):
-            if isinstance(node, ast.Call):
-                if isinstance(node.func, ast.Name):
-                    called.add(id(node.func))
-                    b, own = resolve(node.func.id, table, local)
-                    if b and b[0] == "local":
-                        uses.add(("call", caller, node.func.id, "", b[2], False))
-                    elif b and b[0] == "import":
-                        uses.add(("call", caller, node.func.id, b[1], b[2], own))
-                        if not b[1].startswith("."):
-                            external.add((caller, b[1]))
-                elif chain := dotted(node.func):
-                    b, _ = resolve(chain[0], table, local)
-                    if b and b[0] in ("module", "import") and not b[1].startswith("."):
-                        external.add((caller, f"{b[1]}.{chain[1]}"))
-            elif isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load) and id(node) not in called:
-                b, own = resolve(node.id, table, local)
-                if b and b[0] == "import" and not own:
-                    uses.add(("reference", caller, node.id, b[1], b[2], False))
-
-    scan(tree.body, root, None, {})
-    walk = [(node, ()) for node in reversed(tree.body)]
-    while walk:
-        node, owners = walk.pop()
-        if isinstance(node, SCOPE):
-            name = ".".join((*owners, node.name))
-            kind = "class" if isinstance(node, ast.ClassDef) else "function"
-            symbols.append((node.name, name, kind, node.lineno, node.end_lineno, ast.get_docstring(node)))
-            if kind == "function":
-                defined[name] += 1
-                single[name] += not is_overload(node)
-                scan(node.body, tables.get(("function", node.name, node.lineno)), name, leading_imports(node))
-            owners = (*owners, node.name)
-        walk.extend((child, owners) for child in reversed(list(ast.iter_child_nodes(node))))
-    imports, calls, names = set(), set(), set()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            imports.update(a.name for a in node.names)
-        elif isinstance(node, ast.ImportFrom):
-            base = "." * node.level + (node.module or "")
-            imports.update([base] * bool(base))
-            imports.update(f"{base}.{a.name}" if node.module else f"{base}{a.name}" for a in node.names)
-        elif isinstance(node, ast.Call) and isinstance(node.func, (ast.Name, ast.Attribute)):
-            calls.add(node.func.id if isinstance(node.func, ast.Name) else node.func.attr)
-        if isinstance(node, (ast.Name, ast.Attribute)) and isinstance(node.ctx, ast.Load):
-            names.add(node.id if isinstance(node, ast.Name) else node.attr)
+    read = Source(tree)
+    names = Names(read)
+    uses, external = set(), set()
+    for scope in read.scopes:
+        if scope is not read.module and not scope.is_function:
+            continue
+        leading = names.leading(scope) if scope.is_function else {}
+        for use in scope.uses:
+            target, own = names.meaning(use, scope, leading)
+            if target is None:
+                continue
+            outside = target.kind != "local" and not target.path.startswith(".")
+            if use.of:
+                if outside:
+                    external.add((scope.name, f"{target.path}.{use.of}"))
+            elif target.kind == "import" and use.called:
+                uses.add(("call", scope.name, use.name, target.path, target.symbol, own))
+                if outside:
+                    external.add((scope.name, target.path))
+            elif target.kind == "import" and not own:
+                uses.add(("reference", scope.name, use.name, target.path, target.symbol, False))
+            elif target.kind == "local" and use.called:
+                uses.add(("call", scope.name, use.name, "", target.symbol, False))
+    made = read.scopes[1:]
+    defined = Counter(s.name for s in made if s.is_function)
+    real = Counter(s.name for s in made if s.is_function and not names.one_of_several(s.node))
     # a caller that is defined twice can't be told apart
-    sure = lambda c: c is None or defined[c] == 1
-    order = lambda x: tuple("" if v is None else str(v) for v in x)
+    alone = lambda caller: caller is None or defined[caller] == 1
+    order = lambda row: [str(x or "") for x in row]
     return {
-        "symbols": sorted(symbols, key=lambda s: s[3]),
-        "imports": sorted(imports),
-        "bindings": sorted((n, b[1], b[2]) for n, b in known.items() if b[0] == "import"),
-        "uses": sorted((u for u in uses if sure(u[1])), key=order),
-        "external": sorted((e for e in external if sure(e[0]) or single[e[0]] == 1), key=order),
-        "calls": sorted(calls),
-        "names": sorted(names),
+        "symbols": sorted(((s.node.name, s.name, "function" if s.is_function else "class", s.node.lineno, s.node.end_lineno, ast.get_docstring(s.node)) for s in made), key=lambda s: s[3]),
+        "imports": sorted(read.imports),
+        "bindings": sorted((n, t.path, t.symbol) for n, t in names.sure.items() if t.kind == "import"),
+        "uses": sorted((u for u in uses if alone(u[1])), key=order),
+        "external": sorted((e for e in external if alone(e[0]) or real[e[0]] == 1), key=order),
+        "calls": sorted(read.calls),
+        "names": sorted(read.names),
     }
