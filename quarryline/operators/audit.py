@@ -49,32 +49,34 @@ def pre_fix(first_parent: Column, merge_parents: Column, base_sha: Column, merge
     )
 
 
-def check(code: str, passed: Column, blocking: bool) -> Column:
-    return F.struct(F.lit(code).alias("code"), F.coalesce(passed, F.lit(False)).alias("passed"), F.lit(blocking).alias("blocking"))
-
-
 def audit(candidates: DataFrame, max_source_files: int = 5) -> DataFrame:
-    """candidates with checks (array of struct) and status.
+    """candidates with passed (a struct of twelve booleans), checks (the same as an array of struct) and status.
 
     Columns used: repository, base_repository, issue_number, issue_title, issue_body, labels, issue_created_at, merged_at, pre_fix_sha, commit_shas, n_source_files, pr_text.
     """
     text = F.lower(F.concat_ws("\n", "issue_title", "issue_body"))
-    any_of = lambda t, terms: F.greatest(*[t.contains(x).cast("int") for x in terms]) == 1
-    checks = F.array(
-        check("same_repository", F.lower("base_repository") == F.lower("repository"), True),
-        check("merged_pull_request", F.col("merged_at").isNotNull(), True),
-        check("issue_precedes_fix", F.col("issue_created_at") <= F.col("merged_at"), True),
-        check("pre_fix_sha_identified", F.col("pre_fix_sha").isNotNull(), True),
-        check("pull_commit_history", F.size("commit_shas") > 0, True),
-        check("pre_fix_outside_pull_commits", ~F.array_contains("commit_shas", F.col("pre_fix_sha")), True),
-        check("production_source_files", F.col("n_source_files") > 0, True),
-        check("bounded_source_files", F.col("n_source_files").between(1, max_source_files), True),
-        check("issue_has_body", F.length(F.btrim(F.col("issue_body"))) >= 40, False),
-        check("bug_signal", any_of(text, BUG_TERMS) | F.exists("labels", lambda x: any_of(F.lower(x), BUG_TERMS)), False),
-        check("diagnostic_signal", any_of(text, DIAGNOSTIC_TERMS) | ((F.length("issue_body") >= 200) & F.col("issue_body").contains("```")), False),
-        check("closing_reference", closing_reference(F.col("pr_text"), F.col("issue_number")), False),
-    )
-    return candidates.withColumn("checks", checks).withColumn("status", F.when(F.exists("checks", lambda c: c.blocking & ~c.passed), "rejected").otherwise("needs_review"))
+    any_of = lambda t, terms: t.rlike("|".join(terms))
+    results = {
+        "same_repository": F.lower("base_repository") == F.lower("repository"),
+        "merged_pull_request": F.col("merged_at").isNotNull(),
+        "issue_precedes_fix": F.col("issue_created_at") <= F.col("merged_at"),
+        "pre_fix_sha_identified": F.col("pre_fix_sha").isNotNull(),
+        "pull_commit_history": F.size("commit_shas") > 0,
+        "pre_fix_outside_pull_commits": ~F.array_contains("commit_shas", F.col("pre_fix_sha")),
+        "production_source_files": F.col("n_source_files") > 0,
+        "bounded_source_files": F.col("n_source_files").between(1, max_source_files),
+        "issue_has_body": F.length(F.btrim(F.col("issue_body"))) >= 40,
+        "bug_signal": any_of(text, BUG_TERMS) | any_of(F.lower(F.array_join("labels", "\n")), BUG_TERMS),
+        "diagnostic_signal": any_of(text, DIAGNOSTIC_TERMS) | ((F.length("issue_body") >= 200) & F.col("issue_body").contains("```")),
+        "closing_reference": closing_reference(F.col("pr_text"), F.col("issue_number")),
+    }
+    sure = {code: F.coalesce(r, F.lit(False)) for code, r in results.items()}
+    rejected = F.lit(False)
+    for code in REQUIRED:
+        rejected = rejected | ~F.col(f"passed.{code}")
+    checks = F.array(*[F.struct(F.lit(code).alias("code"), F.col(f"passed.{code}").alias("passed"), F.lit(code in REQUIRED).alias("blocking")) for code in sure])
+    rows = candidates.withColumn("passed", F.struct(*[r.alias(code) for code, r in sure.items()]))
+    return rows.withColumns({"checks": checks, "status": F.when(rejected, "rejected").otherwise("needs_review")})
 
 
 def codes(passed: bool, blocking: bool, checks: str = "checks") -> Column:
@@ -92,17 +94,29 @@ def blocking_failures(checks: str = "checks") -> Column:
     return F.array_sort(F.array_union(bad, codes(False, True, checks)))
 
 
+def passed_score() -> Column:
+    """advisory_score() from the booleans of passed: plain arithmetic."""
+    score = F.lit(0)
+    for code, weight in ADVISORY_WEIGHTS.items():
+        score = score + F.when(F.col(f"passed.{code}"), weight).otherwise(0)
+    return score
+
+
 def review_order() -> list[Column]:
-    """Candidates from the best; ends in unique keys."""
-    passed = codes(True, False)
-    return [F.desc(advisory_score()), ~F.array_contains(passed, "closing_reference"), ~F.array_contains(passed, "diagnostic_signal"), F.col("n_source_files") == 1, F.col("issue_created_at"), F.lower("repository"), F.col("issue_number"), F.col("pr_number")]
+    """Candidates of audit() from the best; ends in unique keys."""
+    return [F.desc(passed_score()), ~F.col("passed.closing_reference"), ~F.col("passed.diagnostic_signal"), F.col("n_source_files") == 1, F.col("issue_created_at"), F.lower("repository"), F.col("issue_number"), F.col("pr_number")]
 
 
 def reviewable_edges(audited: DataFrame, existing: DataFrame) -> DataFrame:
-    """Reviewable candidates whose issue and pull request aren't in existing (repository, issue_number, pr_number), the best of each edge."""
-    good = audited.where("status = 'needs_review' AND pre_fix_sha IS NOT NULL AND n_source_files > 0").where(F.size(blocking_failures()) == 0).withColumn("_repo", F.lower("repository"))
+    """Reviewable candidates of audit() whose issue and pull request aren't in existing (repository, issue_number, pr_number), the best of each edge, with advisory_score.
+
+    What the rows are chosen by are plain booleans; checks, which only the result needs, are not carried through the joins but made again from them.
+    """
+    # audit() gives each required code once, so no blocking failure is the same as its status
+    good = audited.where("status = 'needs_review' AND pre_fix_sha IS NOT NULL AND n_source_files > 0").drop("checks", "status")
+    good = good.withColumns({"_repo": F.lower("repository"), "advisory_score": passed_score().cast("long")})
     known = existing.select(F.lower("repository").alias("_repo"), "issue_number", "pr_number")
-    fresh = good.join(known.select("_repo", "issue_number"), ["_repo", "issue_number"], "left_anti").join(known.select("_repo", "pr_number"), ["_repo", "pr_number"], "left_anti")
+    fresh = good.join(known.select("_repo", "issue_number").distinct(), ["_repo", "issue_number"], "left_anti").join(known.select("_repo", "pr_number").distinct(), ["_repo", "pr_number"], "left_anti")
     best = F.row_number().over(Window.partitionBy("_repo", "issue_number", "pr_number").orderBy(*review_order()))
     return fresh.withColumn("_n", best).where("_n = 1").drop("_n", "_repo")
 
@@ -187,34 +201,3 @@ def maximum_matching(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"repository": group.repository.iloc[0], "issue_number": list(matched.values()), "pr_number": list(matched.keys())})
 
     return edges.select("repository", "issue_number", "pr_number", "place").groupBy("repository").applyInPandas(one, "repository string, issue_number long, pr_number long")
-
-
-def select_primary(options: list[tuple[str, int, int, float]], size: int, least_multi: int) -> list[tuple[str, int, int, float]]:
-    """One option (repository, count, multi, value) at most for each repository: as many as size cases in all, least_multi multi-file ones, then
-    the most repositories, then the most value. A knapsack over repositories; its state is (cases, multi-file cases)."""
-    best: dict[tuple[int, int], tuple[tuple[int, float], list]] = {(0, 0): ((0, 0.0), [])}
-    for repository in sorted({o[0] for o in options}):
-        step = dict(best)
-        for (n, m), (score, picked) in best.items():
-            for o in (x for x in options if x[0] == repository):
-                key = (n + o[1], min(least_multi, m + o[2]))
-                value = (score[0] + 1, score[1] + o[3])
-                if key[0] <= size and (key not in step or value > step[key][0]):
-                    step[key] = (value, [*picked, o])
-        best = step
-    done = [(k, v) for k, v in best.items() if k[0] == size and k[1] >= least_multi]
-    if not done:
-        raise ValueError("no selection has that many cases")
-    return max(done, key=lambda kv: kv[1][0])[1][1]
-
-
-def primary_options(matched: DataFrame, most: int = 3) -> DataFrame:
-    """repository, count, multi, value: the best value for taking count cases of a repository with multi multi-file ones, from matched (repository, multi_file, advisory_score)."""
-    best = Window.partitionBy("repository", "multi_file").orderBy(F.desc("advisory_score"), "issue_number", "pr_number")
-    run = F.sum("advisory_score").over(best.rowsBetween(Window.unboundedPreceding, 0))
-    tops = matched.withColumns({"k": F.row_number().over(best), "v": run}).where(F.col("k") <= most).select("repository", "multi_file", "k", "v")
-    zero = matched.select("repository").distinct().select("repository", F.explode(F.array(F.lit(True), F.lit(False))).alias("multi_file"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("v"))
-    both = tops.unionByName(zero)
-    side = lambda m, p: both.where(F.col("multi_file") == F.lit(m)).select("repository", F.col("k").alias(f"{p}k"), F.col("v").alias(f"{p}v"))
-    pairs = side(True, "m").join(side(False, "s"), "repository").where((F.col("mk") + F.col("sk")).between(1, most))
-    return pairs.select("repository", (F.col("mk") + F.col("sk")).cast("long").alias("count"), F.col("mk").cast("long").alias("multi"), (F.col("mv") + F.col("sv")).cast("double").alias("value"))

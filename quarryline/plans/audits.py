@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.operators import audit as A
+from quarryline.operators import planning
 from quarryline.plans.adapters import VIEWS, adapter, with_views
 
 VIEWS["candidates"] = """
@@ -97,28 +98,37 @@ def pre_fix_source(spark, sf_dir):
     return adapter(spark, sf_dir, "audit_edges").select(*KEY, found.alias("f")).select(*KEY, "f.sha", "f.source")
 
 
-def placed(spark, sf_dir):
-    from pyspark.sql import Window
+def ranked_edges(spark, sf_dir):
+    """Reviewable edges with their rank among all, and an id."""
+    rows = edges(spark, sf_dir).select(*KEY, "issue_created_at", "n_source_files", "passed", (F.col("n_source_files") > 1).alias("multi_file"), F.concat_ws("/", *KEY).alias("candidate_id"))
+    return planning.ranked(rows, A.review_order()).select(*KEY, "multi_file", "candidate_id", "rank")
 
-    return edges(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("repository").orderBy(*A.review_order())).cast("long"))
+
+def edge_ranks(spark, sf_dir):
+    return ranked_edges(spark, sf_dir)
 
 
 def max_matching(spark, sf_dir):
-    return A.maximum_matching(placed(spark, sf_dir))
+    return A.maximum_matching(ranked_edges(spark, sf_dir).withColumn("place", F.col("rank")))
 
 
 def primary_options(spark, sf_dir):
-    chosen = edges(spark, sf_dir).withColumns({"multi_file": F.col("n_source_files") > 1, "advisory_score": A.advisory_score().cast("long")})
-    return A.primary_options(chosen)
+    """The cheapest choices of up to two cases of each repository."""
+    return planning.repository_options(ranked_edges(spark, sf_dir), 2, 30)
 
 
 def primary_selection(spark, sf_dir):
-    """The plan for 12 cases of which 3 have several files; the options are a few rows for each repository."""
-    options = [tuple(r) for r in primary_options(spark, sf_dir).orderBy("repository", "count", "multi").toLocalIterator()]
-    return spark.createDataFrame(A.select_primary(options, 12, 3), "repository string, count long, multi long, value double")
+    """The plan for 60 cases, five of a repository at most, of which 20 have several files, with 30 in reserve."""
+    cost, ids = planning.select_primary(ranked_edges(spark, sf_dir), 60, 20, 5, 30)
+    return spark.createDataFrame([(cost, i) for i in ids], "cost long, candidate_id string")
+
 
+def review_queue(spark, sf_dir):
+    """A queue that brings a manifest of 140 cases, 40 of them of several files, to 200, with 30 in reserve."""
+    return planning.review_queue(ranked_edges(spark, sf_dir), 140, 40)
 
-QUERIES = {f.__name__: f for f in (audit_checks, audit_status, advisory_score, blocking_failures, reviewable_edges, discovery_early_stop, repeated_pull_requests, review_queue_entry, curate_manifest, classified_files, linked_pull_requests, pre_fix_source, max_matching, primary_options, primary_selection)}
+
+QUERIES = {f.__name__: f for f in (audit_checks, audit_status, advisory_score, blocking_failures, reviewable_edges, discovery_early_stop, repeated_pull_requests, review_queue_entry, curate_manifest, classified_files, linked_pull_requests, pre_fix_source, edge_ranks, max_matching, primary_options, primary_selection, review_queue)}
 
 _C = """c AS (SELECT *, lower(issue_title || chr(10) || issue_body) AS t FROM candidates),
 k AS (SELECT *, lower(base_repository) = lower(repository) AS same_repository, merged_at IS NOT NULL AS merged_pull_request, coalesce(issue_created_at <= merged_at, false) AS issue_precedes_fix, pre_fix_sha IS NOT NULL AS pre_fix_sha_identified, true AS pull_commit_history,
@@ -134,12 +144,22 @@ _K = "repository, issue_number, pr_number"
 _Q = lambda tail, *more: with_views(f"WITH {_C} {tail}", "candidates", *more)
 _EX = ", ex AS (SELECT * FROM audit_edges WHERE n_source_files = 3), ed AS (SELECT * FROM b WHERE status = 'needs_review' AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.repository = b.repository AND ex.issue_number = b.issue_number) AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.repository = b.repository AND ex.pr_number = b.pr_number))"
 
+_RANKED = _EX + """, ranked AS (SELECT repository, issue_number, pr_number, n_source_files > 1 AS multi_file, concat_ws('/', repository, issue_number, pr_number) AS candidate_id,
+  row_number() OVER (ORDER BY score DESC, NOT closing_reference, NOT diagnostic_signal, n_source_files = 1, issue_created_at, repository, issue_number, pr_number) - 1 AS rank FROM ed)"""
+
 ORACLE = {
     "audit_checks": _Q(f"SELECT {_K}, array_to_string(pb, ',') AS passed_blocking, array_to_string(pa, ',') AS passed_advisory FROM b"),
     "audit_status": _Q("SELECT repository, status, count(*) AS n FROM b GROUP BY ALL"),
     "advisory_score": _Q(f"SELECT {_K}, score FROM b"),
     "blocking_failures": _Q(f"SELECT {_K}, array_to_string(list_filter(['bounded_source_files','issue_precedes_fix','merged_pull_request','pre_fix_outside_pull_commits','pre_fix_sha_identified','production_source_files','pull_commit_history','same_repository'], lambda x: NOT list_contains(pb, x)), ',') AS failures FROM b"),
     "reviewable_edges": _Q(f"{_EX} SELECT {_K} FROM ed", "audit_edges"),
+    "edge_ranks": _Q(f"{_RANKED} SELECT {_K}, multi_file, candidate_id, rank FROM ranked", "audit_edges"),
+    # all repositories can spare two cases, so their capacity is the whole reserve
+    "primary_options": _Q(f"""{_RANKED},
+      pairs AS (SELECT repository, 0 AS cases, 0 AS multi, 0 AS cost, '' AS ids FROM (SELECT DISTINCT repository FROM ranked)
+        UNION ALL SELECT repository, 1, multi_file::INT, rank, candidate_id FROM ranked
+        UNION ALL SELECT x.repository, 2, x.multi_file::INT + y.multi_file::INT, x.rank + y.rank, x.candidate_id || ',' || y.candidate_id FROM ranked x JOIN ranked y ON x.repository = y.repository AND x.rank < y.rank AND x.issue_number <> y.issue_number AND x.pr_number <> y.pr_number)
+      SELECT repository, cases::BIGINT AS cases, multi::BIGINT AS multi, 30::BIGINT AS capacity, min(cost)::BIGINT AS cost, arg_min(ids, (cost, ids)) AS ids FROM pairs GROUP BY repository, cases, multi""", "audit_edges"),
     "discovery_early_stop": _Q(f"SELECT {_K}, status FROM b QUALIFY coalesce(sum((status = 'needs_review')::INT) OVER (PARTITION BY repository ORDER BY issue_number, pr_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5"),
     "repeated_pull_requests": _Q(f"SELECT {_K}, row_number() OVER (PARTITION BY repository, pr_number ORDER BY issue_number) = 1 AS unique_pr FROM b"),
     "review_queue_entry": _Q(f"SELECT {_K}, replace(repository, '/', '-') || '-issue-' || issue_number AS suggested_case_id, n_source_files > 1 AS multi_file, score AS advisory_score, array_to_string(pa, ',') AS passed_advisory_checks, array_to_string(list_transform(fa, lambda x: 'failed:' || x), ',') AS review_flags FROM b WHERE status = 'needs_review'"),

@@ -4,12 +4,13 @@ import datetime as dt
 import difflib
 import itertools
 import json
+import random
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import audit, evidence, runs, scoring, similarity
+from quarryline.operators import audit, evidence, planning, runs, scoring, similarity
 from quarryline.sources import readers, rest
 from quarryline.streaming import scoring as streaming
 
@@ -68,12 +69,60 @@ def test_matching_is_maximum():
     assert len(audit.kuhn(sorted(chain, key=lambda e: (e[0], -e[1])), list(range(3000)))) == 3000
 
 
+@pytest.mark.parametrize("reserve", [0, 2, 12])
+def test_options_are_the_cheapest_choices(reserve):
+
+    rng = random.Random(reserve)
+    for _ in range(12):
+        n = rng.randrange(1, 16)
+        pairs = rng.sample([(i, p) for i in range(6) for p in range(100, 106)], n)
+        edges = [(i, p, rng.random() < 0.4, rank, f"c{rng.randrange(1000)}-{rank}") for rank, (i, p) in enumerate(pairs)]
+        want = {}
+        for k in range(4):
+            for chosen in itertools.combinations(edges, k):
+                if len({c[0] for c in chosen}) < k or len({c[1] for c in chosen}) < k:
+                    continue
+                rest = [e for e in edges if e[0] not in {c[0] for c in chosen} and e[1] not in {c[1] for c in chosen}]
+                key = (k, sum(c[2] for c in chosen), min(reserve, planning.matching_size(rest)))
+                value = (sum(c[3] for c in chosen), tuple(c[4] for c in chosen))
+                want[key] = min(want.get(key, value), value)
+        assert planning.options(edges, 3, reserve) == want
+
+
+def test_options_of_many_edges_need_few_of_them():
+    rng = random.Random(4)
+    pairs = rng.sample([(i, p) for i in range(300) for p in range(1000, 1300)], 4000)
+    edges = [(i, p, rng.random() < 0.3, rank, str(rank)) for rank, (i, p) in enumerate(pairs)]
+    got = planning.options(edges, 5, 30)
+    assert set(got) == {(k, m, 30) for k in range(6) for m in range(k + 1)}
+
+    for k in (1, 2):  # brute force over the first ones, which hold the cheapest
+        for m in range(k + 1):
+            pick = min((sum(c[3] for c in x), tuple(c[4] for c in x)) for x in itertools.combinations(edges[:60], k) if len({c[0] for c in x}) == k == len({c[1] for c in x}) and sum(c[2] for c in x) == m)
+            assert got[k, m, 30] == pick
+
+
+def test_queue_has_primary_cases_and_reserves(spark):
+    rows = [("Org/A", i, 100 + (i * 7 + d) % 40, i % 3 == 0, f"a{i}-{d}") for i in range(30) for d in range(2)] + [("org/b", i, 200 + i, i % 2 == 0, f"b{i}") for i in range(12)]
+    edges = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "repository string, issue_number long, pr_number long, multi_file boolean, candidate_id string, rank long")
+    got = planning.review_queue(edges, 10, 1, total=16, reserve=5, most=4, share=0.25).collect()
+    assert [r.review_order for r in got] == list(range(1, 12)) and [r.priority for r in got] == ["primary"] * 6 + ["reserve"] * 5
+    by_id = {r[4]: r for r in rows}
+    chosen = [by_id[r.candidate_id] for r in got]
+    assert len({(c[0].lower(), c[1]) for c in chosen}) == 11 and len({(c[0].lower(), c[2]) for c in chosen}) == 11
+    assert sum(c[3] for c in chosen[:6]) >= 3 and {c[0] for c in chosen[:6]} == {"Org/A", "org/b"}
+    with pytest.raises(ValueError, match="different cases"):
+        planning.review_queue(edges, 10, 1, total=110, reserve=5)
+    with pytest.raises(ValueError, match="plan"):
+        planning.review_queue(edges, 10, 1, total=20, reserve=5, most=4)
+
+
 def test_selection_and_curation(spark):
-    options = [("a", 1, 0, 5.0), ("a", 2, 1, 7.0), ("b", 1, 1, 3.0), ("c", 1, 0, 9.0)]
-    got = audit.select_primary(options, 3, 1)
-    assert sum(o[1] for o in got) == 3 and sum(o[2] for o in got) >= 1 and {o[0] for o in got} == {"a", "b", "c"}
+    options = [("a", [(1, 0, 2, 5, "a1"), (2, 1, 1, 7, "a1,a2")]), ("b", [(1, 1, 1, 3, "b1")]), ("c", [(0, 0, 3, 0, ""), (1, 0, 2, 9, "c1")])]
+    assert planning.plan(options, 3, 3, 1, 4) == (17, ("a1", "b1", "c1"))  # as many cases as repositories: each gives one
+    assert planning.plan(options, 4, 3, 1, 4) == (10, ("a1", "a2", "b1"))
     with pytest.raises(ValueError):
-        audit.select_primary(options, 9, 0)
+        planning.plan(options, 3, 9, 0, 0)
     manifest = spark.createDataFrame([("c1", "r", 1, 1)], "case_id string, repository string, issue_number long, pr_number long")
     pool = spark.createDataFrame([("x", "r", 2, 2), ("y", "r", 1, 3)], "candidate_id string, repository string, issue_number long, pr_number long")
     pick = lambda *x: spark.createDataFrame([(i, f"new-{i}") for i in x], "candidate_id string, case_id string")
