@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Texts handed to a Python function at once: rows and bytes at most (one longer text goes alone).
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+#: Rows that Spark sends to a Python worker at once. Its default of 10,000 whole texts takes tens of MB on both sides of every task.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,32 +41,79 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/quarryline/{uuid.uuid4().hex}/{name}"
 
 
+#: Tables that the running stages have made, by stage (see stage_tables).
+recorded: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and a lost executor loses none of it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    for made in recorded[-1:]:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by stored() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+#: Keys that may count as hot in lookup(), and the rows below which none does.
+HOT_KEYS, HOT_LEAST = 1000, 1000
+
+
+def lookup(rows: DataFrame, found: DataFrame, on: list[str], n: str) -> DataFrame:
+    """rows joined with found, which has one row for each key (on, without nulls) and in n how many rows have it.
+
+    Keys of more than a HOT_KEYS-th of all rows, so fewer than HOT_KEYS of them, are broadcast with the number of
+    tasks that each is dealt to; found's row of such a key goes to all of those.
+    """
+    total = found.agg(F.sum(n)).first()[0] or 0
+    most = max(HOT_LEAST, total // HOT_KEYS)
+    hot = stored(found.where(F.col(n) > most).select(*on, F.ceil(F.col(n) / most).alias("_parts")), "hot")
+    if hot.isEmpty():
+        return rows.join(found, on)
+    few = F.broadcast(hot)
+    dealt = rows.join(few, on, "left").withColumn("_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_parts")))).drop("_parts")
+    copied = found.join(few, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [*on, "_salt"]).drop("_salt")
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
 
+def stage_tables(spark: SparkSession, docs: DataFrame, old: list[str]) -> list[str]:
+    """Delete the tables that a finished stage has made, but for those that docs reads; returns the list for the next stage's."""
+    read = docs.inputFiles() if old else []
+    for path in old:
+        if not any(path.split("://")[-1] in f for f in read):
+            delete(spark, path)
+    return [path for path in old if any(path.split("://")[-1] in f for f in read)]
 
-def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+
+def pieces(batch: pa.RecordBatch, text: int, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batch in runs of bounded rows and text bytes."""
     column, at = batch.column(text), 0
     while at < batch.num_rows:
-        n = min(BATCH_ROWS, batch.num_rows - at)
+        n = min(rows, batch.num_rows - at)
         while n > 1 and column.slice(at, n).nbytes > BATCH_BYTES:
             n = max(1, n // 2)
         yield batch.slice(at, n)
         at += n
 
 
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow with batches of ARROW_ROWS, which holds for the session unless it has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def give_back() -> None:
     """Return memory that a task has freed to the system; workers live on for other stages."""
     import ctypes
@@ -96,7 +145,7 @@ def annotate(df: DataFrame, make: Callable[[], Callable[[list], list]], schema:
             part = batch = made = columns = None
         give_back()
 
-    return taken.mapInArrow(run, full)
+    return map_in_arrow(taken, run, full)
 
 
 def only(df: DataFrame, make: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
@@ -111,7 +160,7 @@ def only(df: DataFrame, make: Callable[[], Callable[[list], list]], text: str =
             part = batch = None
         give_back()
 
-    return df.mapInArrow(run, df.schema)
+    return map_in_arrow(df, run, df.schema)
 
 
 def struct(**fields: T.DataType) -> T.StructType:

@@ -1,70 +1,120 @@
 """Exact deduplication on an extendible-hash index (operator 8). DataFrame functions only.
 
-Equal: identical after lower-casing A-Z; null counts as empty. The 64-bit hash of the
-normal text is its key; its top SLOT_BITS bits are a slot. A bucket holds the keys that share a
-prefix; while it holds over CAPACITY different texts it is split in two and, where it is as deep as the
-directory, the directory doubles. Since the counts of all prefixes are sums of slot counts, the
-final state of all splits is found at once: a slot's depth is the number of its prefixes, from
-the empty one on, that hold over CAPACITY. Buckets overfull at full depth stay as they are and
-keep their surplus in their chains. Directory and buckets are Parquet in the shared folder, the
-latter dealt to owner tasks by ranges of (bucket, key) and sorted.
-
-Texts meet by key and bytes: Spark's hash aggregation compares the bytes of its grouping keys,
-copies are combined in the task that reads them, so one of each text and task is shuffled however large
-a group is. Different texts with one key follow each other in its chain (position by SHA-256).
-Documents then look up their group by (key, SHA-256).
+Equal: identical after lower-casing A-Z; null counts as empty. The 64-bit hash of the normal text is its key, the key's
+leading bits are a place in the directory. A bucket holds the texts whose keys share a prefix; while it holds over
+CAPACITY of them it is split in two and, where it is as deep as the directory, the directory doubles. Since the count of a
+prefix is the sum of those below it, all splits within WIDTHS[0] bits are found at once from the counts of its places; only
+the places that are overfull there are counted again by more bits, up to the whole key. Nothing ends the doubling but the
+key itself: texts of one key are one bucket and one chain, however many they are.
+
+What is dealt to the owners of buckets, by ranges of (bucket, key), is one entry for each key and SHA-256, with
+the count and the largest doc_id of its rows: 100 bytes, not the text. Entries of a key follow each other in
+its chain. Bytes are compared wherever an entry has more than one row: the texts of these alone are fetched, and each
+entry's least and greatest text must be the same bytes (copies are reduced to two texts in the task that reads them,
+so a large group sends no more than that). An entry of different texts is replaced by one for each of them. Directory and
+buckets are Parquet in the shared folder; documents get their group from the buckets.
 
 The row with the largest doc_id stays. Null ids count as less than all others; a group of null ids alone has
 keep_id null and keeps its rows. Rows that repeat the doc_id and text are one document and are marked alike.
-An empty table gives an empty result; columns besides doc_id and text are not read.
+An empty table gives an empty result; columns besides doc_id and text are not read. A very long text is
+hashed and compared whole; no list of texts is ever made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import new_path, stored, table
+from quarryline.llm.common import lookup, new_path, stored, table
 from quarryline.llm.sqltext import SQL_FOLD, fold
 
-SLOT_BITS, CAPACITY = 16, 20_000
+BUCKET_BYTES, ENTRY_BYTES = 1 << 20, 128
+CAPACITY = BUCKET_BYTES // ENTRY_BYTES
+#: Leading bits of a key that the directory's levels look at.
+WIDTHS = (16, 24, 32, 40, 48, 56, 64)
+
 
+def directory(keys: DataFrame, capacity: int = CAPACITY, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """width, place (the leading width bits of a key), depth and deeper of all places in use, from one row (key) for each text.
 
-def directory(keys: DataFrame, capacity: int = CAPACITY, bits: int = SLOT_BITS) -> DataFrame:
-    """slot, depth, bucket (its first slot) for the slots in use, from one row (key) for each text; 2**bits rows at most."""
-    slots = stored(keys.groupBy(_slot(bits).alias("slot")).agg(F.count("*").alias("n")), "slots")
-    levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("depth"))
-    levels = levels.withColumn("prefix", F.expr(f"shiftright(slot, {bits} - depth)"))
-    split = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > capacity).select("depth", "prefix")
-    deep = levels.join(split, ["depth", "prefix"], "left_semi").groupBy("slot").agg(F.count("*").cast("int").alias("depth"))
-    return slots.join(deep, "slot", "left").select("slot", F.coalesce("depth", F.lit(0)).alias("depth")).withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {bits} - depth), {bits} - depth)"))
+    A place with deeper is overfull at this width: its keys are found at the next one. Otherwise depth leading bits are its bucket.
+    """
+    done, base = None, 0
+    for width in widths:
+        counts = stored(keys.groupBy(_leading(width).alias("place")).agg(F.count("*").alias("n")), "places")
+        levels = counts.select("place", "n", F.explode(F.sequence(F.lit(base), F.lit(width - 1))).alias("d")).withColumn("prefix", F.expr(f"shiftrightunsigned(place, {width} - d)"))
+        split = levels.groupBy("d", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > capacity).select("d", "prefix")
+        depth = levels.join(split, ["d", "prefix"], "left_semi").groupBy("place").agg(F.count("*").cast("int").alias("more"))
+        full = (F.col("n") > capacity) & F.lit(width < widths[-1])
+        own = counts.join(depth, "place", "left").select(F.lit(width).alias("width"), "place", (F.lit(base) + F.coalesce("more", F.lit(0))).cast("int").alias("depth"), full.alias("deeper"))
+        own = stored(own, "directory")
+        done = own if done is None else done.unionByName(own)
+        over = own.where("deeper").select("place")
+        if width == widths[-1] or over.isEmpty():
+            return done
+        keys, base = keys.withColumn("place", _leading(width)).join(over, "place", "left_semi").select("key"), width
+    raise AssertionError("no widths")
 
 
-def _slot(bits: int):
-    return F.shiftrightunsigned("key", 64 - bits).cast("int")
+def _leading(width: int) -> Column:
+    return F.shiftrightunsigned("key", 64 - width)
 
 
-def build_index(entries: DataFrame, folder: str, capacity: int = CAPACITY, bits: int = SLOT_BITS) -> DataFrame:
-    """Write directory and buckets of entries (key, text_sha256, keep_id, group_size: one for each text) and return the buckets."""
+def build_index(entries: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
+    """Write directory and buckets of entries (key, text_sha256, part, keep_id, group_size: one for each text) and return the buckets, with bucket (its smallest key), depth and chain."""
     spark = entries.sparkSession
-    directory(entries.select("key"), capacity, bits).write.parquet(f"{folder}/directory")
-    owners = F.broadcast(spark.read.parquet(f"{folder}/directory"))  # 2**bits rows at most
+    directory(entries.select("key"), capacity).write.parquet(f"{folder}/directory")
+    places = spark.read.parquet(f"{folder}/directory")
+    left, placed = entries, None
+    for (width,) in sorted(places.select("width").distinct().collect()):
+        own = places.where(F.col("width") == width).select("place", "depth", "deeper")
+        met = left.withColumn("place", _leading(width)).join(own, "place")
+        here = met.where("NOT deeper").withColumn("bucket", F.expr("CASE WHEN depth = 0 THEN 0 ELSE shiftleft(shiftrightunsigned(key, 64 - depth), 64 - depth) END"))
+        here = here.drop("place", "deeper")
+        placed = here if placed is None else placed.unionByName(here)
+        left = met.where("deeper").select(*entries.columns)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = entries.withColumn("slot", _slot(bits)).join(owners, "slot").drop("slot")
-    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256"))
+    if placed is None:
+        placed = entries.withColumns({"depth": F.lit(0), "bucket": F.lit(0).cast("long")})
+    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256", "part"))
     placed.repartitionByRange(n, "bucket", "key").withColumn("chain", chain).sortWithinPartitions("bucket", "key", "chain").write.parquet(f"{folder}/buckets")
     return spark.read.parquet(f"{folder}/buckets")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", folder: str | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs."""
-    spark = docs.sparkSession
+def exact_groups(
+    docs: DataFrame, text: str = "text", folder: str | None = None, capacity: int = CAPACITY,
+    key: Callable[[Column], Column] = F.xxhash64, digest: Callable[[Column], Column] = lambda t: F.sha2(t, 256),
+) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs.
+
+    key and digest only say where texts lie; groups are right for any function of the text.
+    """
     norm = docs.select("doc_id", fold(F.coalesce(F.col(text), F.lit(""))).alias("norm"))
-    distinct = norm.groupBy(F.xxhash64("norm").alias("key"), "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = stored(distinct.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "entries")
-    buckets = build_index(entries, folder or new_path(spark, "exact"))
-    rows = norm.select("doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"))
-    found = rows.join(buckets.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"])
+    named = norm.select("doc_id", key(F.col("norm")).alias("key"), digest(F.col("norm")).alias("text_sha256"), "norm")
+    rows = stored(named.drop("norm"), "rows")
+    counted = [F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")]
+    entries = stored(rows.groupBy("key", "text_sha256").agg(*counted), "entries")
+    # bytes are compared where an entry has several rows
+    several = entries.where("group_size > 1").select("key", "text_sha256")
+    fetched = named.select("key", "text_sha256", "norm").join(several, ["key", "text_sha256"], "left_semi")
+    differ = fetched.groupBy("key", "text_sha256").agg((F.min("norm") < F.max("norm")).alias("differ")).where("differ").select("key", "text_sha256")
+    differ = stored(differ, "differ")
+    whole = entries.withColumn("part", F.lit(None).cast("string"))
+    mixed = not differ.isEmpty()
+    if mixed:
+        apart = named.join(differ, ["key", "text_sha256"]).groupBy("key", "text_sha256", F.col("norm").alias("part")).agg(*counted)
+        whole = whole.join(differ, ["key", "text_sha256"], "left_anti").unionByName(apart)
+    buckets = build_index(whole, folder or new_path(docs.sparkSession, "exact"), capacity)
+    hits = lambda rows, on: lookup(rows, buckets.select(*on, "keep_id", "group_size"), on, "group_size")
+    if mixed:
+        one = buckets.where("part IS NULL")
+        found = lookup(rows.join(differ, ["key", "text_sha256"], "left_anti"), one.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"], "group_size").select("doc_id", "text_sha256", "keep_id", "group_size")
+        more = lookup(named.join(differ, ["key", "text_sha256"], "left_semi").withColumnRenamed("norm", "part"), buckets.where("part IS NOT NULL").select("key", "text_sha256", "part", "keep_id", "group_size"), ["key", "text_sha256", "part"], "group_size")
+        found = found.unionByName(more.select(*found.columns))
+    else:
+        found = hits(rows, ["key", "text_sha256"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -6,7 +6,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from quarryline.llm import exactdedup, linkgraph, mixing, simhash
+from quarryline.llm import common, exactdedup, linkgraph, mixing, simhash
 
 DOCS = "doc_id long, text string, source string, lang string, size long, key string"
 
@@ -46,7 +46,7 @@ def test_exact_groups_match_brute_force(spark):
 
 
 def test_index_splits_overfull_buckets(spark, tmp_path):
-    keys = spark.range(5000).select(F.xxhash64("id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("text_sha256"), F.col("id").alias("keep_id"), F.lit(1).alias("group_size"))
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("text_sha256"), F.col("id").alias("keep_id"), F.lit(1).alias("group_size"), F.lit(None).cast("string").alias("part"))
     collided = keys.limit(3).withColumn("key", F.lit(7).cast("long")).withColumn("text_sha256", F.concat(F.lit("z"), "text_sha256"))
     index = exactdedup.build_index(keys.unionByName(collided), f"file://{tmp_path}/index", capacity=300)
     assert index.count() == 5003
@@ -54,7 +54,33 @@ def test_index_splits_overfull_buckets(spark, tmp_path):
     assert max(r["count"] for r in sizes) <= 300 and len(sizes) >= 16
     assert sorted(r["chain"] for r in index.where("key = 7").collect()) == [1, 2, 3]
     for r in sizes:  # a bucket starts where its prefix does
-        assert r["bucket"] % (1 << (16 - r["depth"])) == 0
+        assert r["bucket"] % (1 << (64 - r["depth"])) == 0
+
+
+def test_directory_doubles_as_far_as_keys_differ(spark, tmp_path):
+    # the first 40 bits are equal, so only deeper levels can part them
+    keys = spark.range(600).select((F.lit(5 << 40) + F.col("id") * 1000).alias("key"), F.col("id").cast("string").alias("text_sha256"), F.col("id").alias("keep_id"), F.lit(1).alias("group_size"), F.lit(None).cast("string").alias("part"))
+    index = exactdedup.build_index(keys, f"file://{tmp_path}/deep", capacity=20)
+    sizes = index.groupBy("bucket", "depth").count().collect()
+    assert sum(r["count"] for r in sizes) == 600 and max(r["count"] for r in sizes) <= 20 and min(r["depth"] for r in sizes) > 40
+
+
+def test_bytes_decide_where_keys_and_digests_collide(spark):
+    rows = corpus(300)
+    want = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exactdedup.exact_groups(make_docs(spark, rows)).collect()}
+    one_key = exactdedup.exact_groups(make_docs(spark, rows), key=lambda t: F.lit(7).cast("long"), capacity=10)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in one_key.collect()} == want
+    one_digest = exactdedup.exact_groups(make_docs(spark, rows), key=lambda t: F.length(t).cast("long"), digest=lambda t: F.lit("same"))
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in one_digest.collect()]
+    assert set(got) == want and len(got) == len(rows)
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
+    rows = spark.range(1000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), "id")
+    found = rows.groupBy("k").agg(F.count("*").alias("n"))
+    got = common.lookup(rows, found, ["k"], "n")
+    assert sorted((r.id, r.k, r.n) for r in got.collect()) == sorted((r.id, r.k, r.n) for r in rows.join(found, "k").collect())
 
 
 def brute_fingerprint(text):
