@@ -9,12 +9,13 @@ the file; a reader that wants some documents fetches the tail, then only the fra
 Documents are dealt to shards by ranges of doc_id (ties by a hash of the text), so shard after
 shard the ids ascend. A null text counts as empty, an empty one is the end id alone. Null ids
 come first. Repeated rows are written again. A task writes under a name of its own and moves the
-file into place at the end, so a task that runs again after an executor is lost replaces it whole.
+file into place at the end, so a task that runs again after an executor is lost replaces it whole. There are as many
+shards as shuffle partitions, and more where they would take over SHARD_BYTES of input each. A very long document is one frame.
+Strings of special tokens in a text get those tokens' ids, as the library has it by default. An empty table gives no file and no row.
 """
 
 from __future__ import annotations
 
-import re
 import struct as packing
 import zlib
 
@@ -23,24 +24,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import LONG, STRING, give_back, new_path, pieces, stored, struct, table
+from quarryline.llm.common import LONG, STRING, give_back, map_in_arrow, new_path, pieces, stored, struct, table
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 FRAME_BYTES = 256 << 10
-#: Distinct pieces of text, and distinct words in them, whose ids a worker remembers; about 150 bytes each.
-CACHE = 350_000
+#: Input of a shard by Spark's statistics.
+SHARD_BYTES = 512 << 20
+#: In the document index: the bit of the number of ids that tells a null doc_id.
+NULL_ID = 1 << 31
+#: What a worker remembers: pieces of text and their ids. Pieces that are encoded as one text, and texts that are encoded together.
+CACHE_BYTES, TOGETHER, TEXTS = 24 << 20, 200, 1000
 SEEKABLE_MAGIC, TABLE_MAGIC, INDEX_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Bits of a piece's number of ids; pieces with so many characters are left to the library.
+_LONG = 20
 
 
 class Encoder:
     """ids(texts) as bytes of uint32, through the tokenizers library.
 
     A byte-level BPE never merges across a border between a visible character and a space
-    after it, so texts are cut there and each distinct piece is encoded once. Nor does it merge across the end of
-    a run of letters, so a piece of a word and marks is put together from both. New words are encoded together, as
-    one text; there the tokens that begin with a space are the first of each word.
+    after it, so texts are cut there, Arrow finds the distinct pieces of many texts, and each of those is encoded once. New pieces are
+    encoded many to a text; there the tokens that begin with a space are the first of each piece. The ids of all known pieces lie in one array, from
+    which those of a text are gathered. Texts with other white space beside a space, and those that hold a special token's
+    string, are left to the library whole.
     """
 
     def __init__(self, path: str):
@@ -52,12 +58,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.special = tuple(t.content for t in self.model.get_added_tokens_decoder().values())
         self.begins = np.zeros(self.model.get_vocab_size() + 1, bool)
         self.begins[[i for t, i in self.model.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}  # by piece
-        self.words: dict[str, bytes] = {}  # by word, with a space before it
-        self.marks: dict[str, bytes] = {}  # by what follows a word
+        self.clear()
+
+    def clear(self) -> None:
+        import numpy as np
+
+        # known pieces, and for each where its ids (with a space before it) begin in pool and how many they are
+        self.known, self.places = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -70,63 +81,83 @@ class Encoder:
             held[path] = cls(path)
         return held[path]
 
-    def _alone(self, text: str) -> bytes:
-        ids = self.model.encode(text, add_special_tokens=False).ids
-        return packing.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, new: list[str]) -> None:
-        """Pieces that follow a space and hold none."""
-        whole, made = [], []
-        for p in new:
-            m = _WORD.match(p)
-            n = m.end() if m else 0
-            if n and n < len(p) and not p[n].isalpha():
-                made.append((p, p[:n], p[n:]))
-            else:
-                whole.append(p)
-        self._encode(list({*whole, *[w for _, w, _ in made]}.difference(self.words)))
-        words, marks = self.words, self.marks
-        for p in whole:
-            self.known[p] = words[p]
-        for p, w, x in made:
-            if x not in marks:
-                marks[x] = self._alone(x)
-            self.known[p] = words[w] + marks[x]
-
-    def _encode(self, new: list[str]) -> None:
+    def _keep(self, ids) -> int:
         import numpy as np
 
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            ids = np.array(self.model.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn(self, new: list[str]):
+        """Places of pieces that follow a space and neither hold nor touch white space."""
+        import numpy as np
+
+        groups, out = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)], []
+        for some, made in zip(groups, self.model.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(made.ids, "<u4")
             first = np.flatnonzero(self.begins[ids])
             if len(first) != len(some):
-                self.words.update((p, self._alone(" " + p)) for p in some)
-                continue
-            raw, edges = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
-            self.words.update(zip(some, [raw[a:b] for a, b in zip(edges, edges[1:])]))
-
-    def ids(self, texts: list[str | None], end: int = END_ID) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known = {}
-        if len(self.words) + len(self.marks) > CACHE:
-            self.words, self.marks = {}, {}
-        cut = [t.split(" ") if t else [""] for t in texts]
-        new = set().union(*cut).difference(self.known)
-        # empty pieces and pieces with white space at an end don't stand between two visible characters
-        rough = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        if rough:
-            cut = [p if rough.isdisjoint(p) else _CUT.split(t) if t else p for p, t in zip(cut, texts)]
-            new = set().union(*cut).difference(self.known)
-            odd = {p for p in new if not p or " " in p or p[0].isspace() or p[-1].isspace()}
-            new -= odd
-        else:
-            odd = set()
-        self._learn(list(new))
-        known, tail = self.known.__getitem__, packing.pack("<I", end)
-        if not odd:
-            return [b"".join([self._alone(p[0]), *map(known, p[1:]), tail]) for p in cut]
-        return [b"".join([self._alone(p[0]), *[self._alone(" " + x) if x in odd else known(x) for x in p[1:]], tail]) for p in cut]
+                each = [self.model.encode(" " + p, add_special_tokens=False).ids for p in some]
+                ids = np.array([i for x in each for i in x], "<u4")
+                first = np.cumsum([0, *map(len, each)])[:-1]
+            out.append((self._keep(ids) + first) << _LONG | np.diff(first, append=len(ids)))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def _whole(self, texts: list[str], end: int) -> list[bytes]:
+        made = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        return [packing.pack(f"<{len(x.ids) + 1}I", *x.ids, end) for x in made]
+
+    def ids(self, texts, end: int = END_ID) -> list[bytes]:
+        """texts: a list or an Arrow array of strings and nulls."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        n = len(texts)
+        if self.known.nbytes + self.places.nbytes + 4 * self.used > CACHE_BYTES:
+            self.clear()
+        lists = pc.split_pattern(texts, " ")
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        found, code = pc.index_in(coded.dictionary, value_set=self.known), coded.indices.to_numpy()
+        fresh = found.is_null().to_numpy(zero_copy_only=False)
+        place = np.full(len(found), -1, np.int64)
+        place[~fresh] = self.places[found.drop_null().to_numpy()]
+        unknown = coded.dictionary.filter(pa.array(fresh))
+        new = unknown.to_pylist()
+        good = np.array([bool(p) and not p[0].isspace() and not p[-1].isspace() and len(p) < 1 << _LONG for p in new], bool)
+        if not good.all():
+            fresh[fresh] = good
+            unknown = unknown.filter(pa.array(good))
+            new = unknown.to_pylist()
+        place[fresh] = learned = self._learn(new)
+        self.known, self.places = pa.concat_arrays([self.known, unknown]), np.concatenate([self.places, learned])
+        alone = np.zeros(n, bool)
+        if not good.all():
+            alone[np.searchsorted(edges, np.flatnonzero(place[code] < 0), "right") - 1] = True
+        for x in self.special:
+            alone |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        # the first piece of a text has no space before it; it and the end id are written behind the pool for now
+        place[place < 0] = 0
+        segments, used = place[code], self.used
+        heads = self.model.encode_batch_fast(coded.take(edges[:-1]).cast(pa.string()).to_pylist(), add_special_tokens=False)
+        many = np.array([len(h.ids) for h in heads], np.int64)
+        base = self._keep([i for h in heads for i in h.ids])
+        segments[edges[:-1]] = (base + np.cumsum(many) - many) << _LONG | many
+        segments = np.insert(segments, edges[1:], self._keep([end]) << _LONG | 1)
+        length, start = segments & (1 << _LONG) - 1, segments >> _LONG
+        stop = np.cumsum(length)
+        ids = self.pool[np.repeat(start - (stop - length), length) + np.arange(stop[-1] if n else 0)]
+        self.used = used
+        bounds = [0, *stop[edges[1:] + np.arange(n)].tolist()]
+        out = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        if alone.any():
+            rows = np.flatnonzero(alone).tolist()
+            for i, made in zip(rows, self._whole([texts[i].as_py() for i in rows], end)):
+                out[i] = made
+        return out
 
 
 class ShardWriter:
@@ -143,7 +174,7 @@ class ShardWriter:
         self.size = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((-(2**63) if doc_id is None else doc_id, len(ids) // 4))
+        self.docs.append((0, len(ids) // 4 | NULL_ID) if doc_id is None else (doc_id, len(ids) // 4))
         self.held.append(ids)
         self.size += len(ids)
         if self.size >= self.limit:
@@ -188,8 +219,8 @@ class ShardReader:
         docs, size = packing.unpack("<II", self._at(at - 8 - 8, 8))
         self.docs, start = [], 0
         for doc_id, tokens in packing.iter_unpack("<qI", self.unzip.decompress(self._at(at - 16 - size, size), max_output_size=12 * docs)) if docs else ():
-            self.docs.append((None if doc_id == -(2**63) else doc_id, start, tokens))
-            start += tokens
+            self.docs.append((None if tokens & NULL_ID else doc_id, start, tokens & ~NULL_ID))
+            start += tokens & ~NULL_ID
         self.opened: tuple[int, bytes] = (-1, b"")
 
     def _at(self, place: int, size: int) -> bytes:
@@ -233,7 +264,10 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     vocabulary: path of a tokenizers file on every executor; the installed byte_bpe_50k.json by default.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        known = size // SHARD_BYTES if size < 1 << 60 else 0  # Spark puts 8 EiB where it can't tell
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), known)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = dealt.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
@@ -246,7 +280,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         encoder, writer = None, None
         n_docs = n_tokens = 0
         for batch in batches:
-            for part in pieces(batch, 1):
+            for part in pieces(batch, 1, TEXTS):
                 if writer is None:
                     import public_tokenizers
 
@@ -256,7 +290,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
                     own, name = f"{base}/.{shard:06d}-{attempt}", f"{base}/{shard:06d}.ids.zst"
                     file = store.open_output_stream(own)
                     writer = ShardWriter(file)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist(), end)):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1), end)):
                     writer.add(doc_id, ids)
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4
         if writer is not None:
@@ -267,7 +301,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{shard:06d}.ids.zst", "n_docs": n_docs, "n_tokens": n_tokens}])
 
     # one row a shard: small enough for one window
-    manifest = stored(dealt.mapInArrow(run, MANIFEST), "manifest")
+    manifest = stored(map_in_arrow(dealt, run, MANIFEST), "manifest")
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("start", F.coalesce(before, F.lit(0)))
 
@@ -283,12 +317,12 @@ def read_digests(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 with open_shard(row["path"]) as file:
                     reader = ShardReader(file)
-                    rows = [{"doc_id": d, "start": row["start"] + start, "n_tokens": n, "ids_crc32": zlib.crc32(reader.ids(k))} for k, (d, start, n) in enumerate(reader.docs)]
-                for k in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], schema=pa.schema([(c, pa.int64()) for c in DIGEST.names]))
+                    for k in range(0, len(reader.docs), 10_000):
+                        rows = [(d, row["start"] + start, n, zlib.crc32(reader.ids(k + i))) for i, (d, start, n) in enumerate(reader.docs[k : k + 10_000])]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=DIGEST.names)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(n, "shard").mapInArrow(run, DIGEST)
+    return map_in_arrow(manifest.repartition(n, "shard"), run, DIGEST)
 
 
 def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
