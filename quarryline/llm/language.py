@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import DOUBLE, STRING, annotate, only, struct, table
+from quarryline.llm.common import DOUBLE, STRING, annotate, give_back, map_in_arrow, only, pieces, struct, table
 from quarryline.llm.features import bounded_sample, gram_counts, held_out, learning, unit
 
 FAMILIES = {
@@ -133,7 +133,12 @@ def fit(docs: DataFrame, most: int = SAMPLE, seed: int = SEED) -> LanguageModel
     xb = np.ones((len(found), BINS + 1), np.float32)
     for i, r in enumerate(found):
         xb[i, :BINS] = np.frombuffer(r["x"], np.float16)
-    return LanguageModel(xb, [r["lang"] for r in found])
+    langs = [r["lang"] for r in found]
+    found = r = None
+    model = LanguageModel(xb, langs)
+    xb = None
+    give_back()
+    return model
 
 
 def _predictor(model: LanguageModel | None):
@@ -157,48 +162,82 @@ def _letter_grams(texts: list[str | None]) -> np.ndarray:
 
 
 class Familiarity:
-    """How far texts are from the learned languages: deviations(texts) from the nearest one's median, negative below it."""
-
-    def __init__(self, learned: list[tuple[str, np.ndarray]], withheld: list[tuple[str, np.ndarray]]):
-        self.langs = sorted({v for v, _ in learned})
-        shares = [np.mean([c / max(1.0, c.sum()) for v, c in learned if v == lang], 0) for lang in self.langs]
-        self.logs = np.log((1 - SMOOTH) * np.array(shares).T + SMOOTH / BINS)
-        self.middle, self.fixed, self.falling = np.zeros(len(self.langs)), 0.0, 0.0
-        rest = []
+    """How far texts are from the learned languages: deviations(texts) from the nearest one's median, negative below it.
+
+    Made from the languages' mean shares of n-grams; measure() takes (lang, n-grams, scores) of texts that tell the spread.
+    """
+
+    def __init__(self, langs: list[str], shares: np.ndarray):
+        self.langs, self.logs = langs, np.log((1 - SMOOTH) * shares.T + SMOOTH / BINS)
+        self.middle, self.fixed, self.falling = np.zeros(len(langs)), 0.0, 0.0
+
+    def measure(self, rows: list[tuple[str, float, list[float]]]) -> Familiarity:
+        found = []
         for k, lang in enumerate(self.langs):
-            own = np.array([c for v, c in (withheld or learned) if v == lang] or [c for v, c in learned if v == lang])
-            n, score = self._scores(own)
-            self.middle[k] = np.median(score[:, k])
-            rest += zip(n, (score[:, k] - self.middle[k]) ** 2)
-        n, squares = np.array(rest).T
+            own = np.array([(n, score[k]) for v, n, score in rows if v == lang]).reshape(-1, 2)
+            if len(own):
+                self.middle[k] = np.median(own[:, 1])
+                found.append(np.stack([own[:, 0], (own[:, 1] - self.middle[k]) ** 2]))
+        n, squares = np.concatenate(found, 1)
         long = n >= np.median(n)
         # one row of 200 lies further than three deviations, so junk among the rows does not widen them
         tail = lambda x: float(np.quantile(x, 0.995)) / 9
         self.fixed, self.falling = tail(squares[long]), tail((squares * n)[~long] if (~long).any() else squares * n)
+        return self
 
-    def _scores(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        counts = _letter_grams(texts)
         n = counts.sum(1)
         return n, counts @ self.logs / np.maximum(n, 1)[:, None]
 
     def deviations(self, texts: list[str | None]) -> np.ndarray:
-        n, score = self._scores(_letter_grams(texts))
+        n, score = self.scores(texts)
         spread = np.sqrt(self.fixed + self.falling / np.maximum(n, 1)) + 1e-9
         return (score - self.middle).max(1) / spread
 
 
 def familiarity(docs: DataFrame, most: int = SAMPLE, seed: int = SEED) -> Familiarity | None:
-    """From the rows that may be learned from and as many withheld ones, or None without any."""
+    """From about half of most rows that may be learned from and as many withheld ones, or None without any.
+
+    Only sums by task and language, and a few numbers for each withheld row, reach the driver.
+    """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\\\p{L}'")
+    sample = lambda which: bounded_sample(rows.where(which).select("doc_id", "text", "lang"), "lang", most // 2, seed)
+
+    def sums(batches):
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part in pieces(batch, 1):
+                counts = _letter_grams(part.column(1).to_pylist())
+                shares = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+                for lang in set(langs := part.column(0).to_pylist()):
+                    own = shares[[v == lang for v in langs]]
+                    held[lang] = held.get(lang, 0) + np.append(own.sum(0), len(own))
+        for lang, total in sorted(held.items()):
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], names=["lang", "total"])
+
+    learned = sample(learning()).select("lang", "text")
+    totals: dict[str, np.ndarray] = {}
+    for r in map_in_arrow(learned, sums, struct(lang=STRING, total=T.BinaryType())).collect():
+        totals[r.lang] = totals.get(r.lang, 0) + np.frombuffer(r.total, np.float64)
+    if not totals:
+        return None
+    known = Familiarity(sorted(totals), np.array([totals[v][:-1] / totals[v][-1] for v in sorted(totals)]))
 
     def make():
-        return lambda texts: [pa.array([r.tobytes() for r in _letter_grams(texts).astype(np.float32)])]
+        def work(texts: list) -> list:
+            n, score = known.scores(texts)
+            return [pa.array(n, pa.float64()), score.tolist()]
+
+        return work
 
-    def sample(which):
-        found = annotate(bounded_sample(rows.where(which).select("doc_id", "text", "lang"), "lang", most // 2, seed), make, struct(c=T.BinaryType()), carry=("lang",)).collect()
-        return sorted(((r["lang"], np.frombuffer(r["c"], np.float32)) for r in found), key=lambda r: (r[0], r[1].tobytes()))
+    def measured(which) -> list:
+        return [(r.lang, r.n, r.score) for r in annotate(sample(which), make, struct(n=DOUBLE, score=T.ArrayType(DOUBLE)), carry=("lang",)).collect()]
 
-    learned = sample(learning())
-    return Familiarity(learned, sample(held_out())) if learned else None
+    withheld = [r for r in measured(held_out()) if r[0] in totals]
+    missing = set(known.langs) - {v for v, *_ in withheld}
+    # a language without withheld rows is measured on those that it was learned from
+    return known.measure(withheld + ([r for r in measured(learning()) if r[0] in missing] if missing else []))
 
 
 def accepted(docs: DataFrame, model: LanguageModel | None, far: float = FAR) -> DataFrame:
