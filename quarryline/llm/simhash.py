@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import LONG, annotate, discard, stored, struct, table
+from quarryline.llm.common import LONG, annotate, discard, map_in_arrow, stored, struct, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Segments of a fingerprint as (lowest bit, bits).
@@ -113,7 +113,7 @@ def _keys(fps: DataFrame) -> DataFrame:
                     out.append((np.repeat(fp[far], 5), 1, (base[far, None] | others >> 11).ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([o[0] for o in out], [np.full(len(o[0]), o[1], np.int64) for o in out], [o[2] for o in out])], names=KEYS.names)
 
-    return fps.mapInArrow(run, KEYS)
+    return map_in_arrow(fps, run, KEYS)
 
 
 def _finer(rows: DataFrame) -> DataFrame:
