@@ -139,6 +139,22 @@ def named_files(files: DataFrame, names: tuple[str, ...] = RUNTIME_FILES) -> Dat
     return visible(files).where(F.element_at(F.split("path", "/"), -1).isin(*names)).select("path")
 
 
+def called_names(uses: DataFrame) -> DataFrame:
+    """path, name_calls (local names that are called) and symbol_calls (callers with the symbols that they call), all sorted, from resolved_uses()."""
+    calls = uses.where("kind = 'call'")
+    names = calls.groupBy("path").agg(F.array_sort(F.collect_set("local_name")).alias("name_calls"))
+    by_caller = calls.where("caller IS NOT NULL").groupBy("path", "caller").agg(F.array_sort(F.collect_set("target_symbol")).alias("symbols"))
+    return names.join(by_caller.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("caller", "symbols"))).alias("symbol_calls")), "path", "left")
+
+
+def summary(files: DataFrame) -> DataFrame:
+    """place, language, files: languages by their files, the one whose first path comes first where there are as many."""
+    rows = visible(files).select("path", X.language(F.col("path")).alias("language")).where("language IS NOT NULL")
+    counted = rows.groupBy("language").agg(F.count("*").alias("files"), F.min("path").alias("first"))
+    # one row for each language
+    return counted.select(F.row_number().over(Window.orderBy(F.desc("files"), "first")).cast("long").alias("place"), "language", "files")
+
+
 def language_counts(files: DataFrame) -> DataFrame:
     return visible(files).select(X.language(F.col("path")).alias("language")).where("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("files"))
 

@@ -53,6 +53,35 @@ def aggregate(results: DataFrame, metrics: list[str], by: str | None = None) ->
     return results.groupingSets([[by], []], by).agg(*measures)
 
 
+def model_means(results: DataFrame, metrics: list[str], by: str | None = None) -> DataFrame:
+    """Means over the cases in which the model's answer was used (completed without a fallback), how many those are, and how many fell back for each reason's sake.
+
+    results: completed, fallback (a reason, or null) and metrics.
+    """
+    used = F.col("completed") & F.col("fallback").isNull()
+    measures = [F.count_if(used).alias("model_cases"), F.count_if(F.col("completed") & F.col("fallback").isNotNull()).alias("fallback_cases"), *[F.round(F.avg(F.when(used, F.col(m))), 4).alias(f"model_{m}") for m in metrics]]
+    return results.agg(*measures) if by is None else results.groupingSets([[by], []], by).agg(*measures)
+
+
+def outcomes(cases: DataFrame, results: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Every case once, with its result or as a failed one, so that what gave no result stays in the denominator; an error where wanted names a case that isn't there."""
+    if wanted is not None:
+        if missing := unknown_cases(wanted, cases).first():
+            raise ValueError(f"unknown case: {missing['case_id']}")
+        cases = cases.join(wanted.select("case_id").distinct(), "case_id", "left_semi")
+    joined = cases.join(results.withColumn("_has", F.lit(True)), "case_id", "left")
+    done = F.col("completed") if "completed" in results.columns else F.lit(True)
+    return joined.withColumn("completed", F.coalesce(F.col("_has") & done, F.lit(False))).drop("_has")
+
+
+def round_trip(held: DataFrame, saved: DataFrame, key: str) -> DataFrame:
+    """key and problem ('missing', 'unexpected' or 'changed') of the rows that a store gave back otherwise than they were: none if persistence is exact."""
+    own = [c for c in held.columns if c != key]
+    digest = lambda df, name: df.select(key, F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256).alias(name))
+    both = digest(held, "h").join(digest(saved, "s"), key, "full_outer")
+    return both.where("NOT (h <=> s)").select(key, F.expr("CASE WHEN s IS NULL THEN 'missing' WHEN h IS NULL THEN 'unexpected' ELSE 'changed' END").alias("problem"))
+
+
 def histogram(results: DataFrame, column: str) -> DataFrame:
     """column, n for its values that aren't null."""
     return results.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))

@@ -117,9 +117,26 @@ def locate(signals: DataFrame, files: DataFrame, index: dict[str, DataFrame], li
     return out.select("issue_id", "rank", F.col("file_id").alias("path"), "symbol", F.when(F.col("line").isNotNull(), F.concat_ws("-", F.col("line").cast("string"), F.coalesce("end_line", "line").cast("string"))).alias("lines"), X.confidence(F.col("final")).alias("confidence"), F.concat("evidence", told).alias("evidence"))
 
 
-def investigate(candidates: DataFrame, runtime_files: DataFrame) -> DataFrame:
-    """issue_id, hypotheses (H1 to H3 of the first three candidates, or one that says there is none) and facts."""
-    top = candidates.where("rank <= 3").groupBy("issue_id").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "symbol", "confidence"))).alias("c"))
-    say = lambda x, i: F.concat(F.lit("H"), (i + 1).cast("string"), F.lit(": "), x.path, F.coalesce(F.concat(F.lit("::"), x.symbol), F.lit("")))
-    plan = runtime_files.agg(F.array_sort(F.collect_list("path")).alias("runtime_files"))
-    return top.select("issue_id", F.when(F.size("c") > 0, F.transform("c", say)).otherwise(F.array(F.lit("H1: no candidate"))).alias("hypotheses"), F.size("c").alias("candidates")).join(F.broadcast(plan))
+#: What is said where no file is found.
+NO_CANDIDATE = "The issue does not map strongly to indexed repository symbols"
+
+
+def investigate(issues: DataFrame, candidates: DataFrame) -> DataFrame:
+    """issue_id, hypothesis (H1 to H3), description and confidence: one of each of an issue's first three candidates (issue_id, rank, path, symbol, confidence), or one that says there is none."""
+    top = candidates.where("rank <= 3").select("issue_id", "rank", "path", "symbol", "confidence")
+    place = F.coalesce(F.row_number().over(Window.partitionBy("issue_id").orderBy("rank")), F.lit(1))
+    rows = issues.select("issue_id").join(top, "issue_id", "left").withColumn("place", place)
+    where = F.concat(F.lit("The failure path may originate in "), F.concat_ws("::", "path", "symbol"))
+    return rows.select("issue_id", F.concat(F.lit("H"), F.col("place").cast("string")).alias("hypothesis"), F.when(F.col("path").isNull(), NO_CANDIDATE).otherwise(where).alias("description"), F.coalesce("confidence", F.lit(0.2)).alias("confidence"))
+
+
+def reproduction_plan(languages: DataFrame, runtime_files: DataFrame) -> DataFrame:
+    """One row: runtime, setup_command and baseline_command for a repository's languages (language) and runtime files (path)."""
+    python = languages.agg(F.coalesce(F.bool_or(F.col("language") == "Python"), F.lit(False)).alias("python"))
+    project = runtime_files.agg(F.coalesce(F.bool_or(F.element_at(F.split("path", "/"), -1) == "pyproject.toml"), F.lit(False)).alias("project"))
+    # two single rows
+    return python.join(project, F.lit(True)).select(
+        F.when(F.col("python"), "Python 3.11").otherwise("Repository-defined runtime").alias("runtime"),
+        F.when(F.col("project"), "uv sync --frozen --extra dev").otherwise("Install dependencies using repository documentation").alias("setup_command"),
+        F.when(F.col("project"), "uv run pytest -q").alias("baseline_command"),
+    )

@@ -51,45 +51,49 @@ def _kernel(edges: list[Edge], most: int) -> list[Edge]:
 
 
 def options(edges: list[Edge], most: int, reserve: int) -> dict[tuple[int, int, int], tuple[int, tuple[str, ...]]]:
-    """For (cases, multi-file cases, reserve capacity) of one repository the least sum of ranks and the ids that give it.
+    """For (cases, multi-file cases, reserve capacity) of one repository the least sum of ranks and the ids that give it, without options that another one
+    of as many cases and multi-file cases beats in cost and capacity: no plan needs those.
 
-    The capacity is what a maximum matching of the edges that a choice leaves untouched still holds, at most reserve. A case takes an issue and a pull
-    request away, each of which lowers a matching by one at most; so where the whole matching exceeds reserve by twice the cases, the capacity is
-    reserve whatever is chosen, and choices are searched among few edges with a bound on their cost. Else all choices are tried.
+    The capacity is what a maximum matching of the edges that a choice leaves untouched still holds, at most reserve; each case that is added lowers that
+    matching by one at least (else the case would enlarge it). So a choice is left where all that it can grow into costs more than known options of the capacity then possible. A case takes an issue and a pull
+    request away, each of which lowers a matching by one at most; where the whole matching exceeds reserve by twice the cases, the capacity is
+    reserve whatever is chosen, and a few edges are enough to choose from.
     """
     edges = sorted(edges, key=lambda e: e[3])
     ample = matching_size(edges) >= reserve + 2 * most
     pool = _kernel(edges, most) if ample else edges
-    best: dict[tuple[int, int, int], tuple[int, tuple[str, ...]]] = {}
+    best: dict[tuple[int, int], dict[int, tuple[int, tuple[str, ...]]]] = {}
     # costs of the next cheapest edges of either sort from each place on
     after = {sort: [[e[3] for e in pool[at:] if e[2] == sort][:most] for at in range(len(pool) + 1)] for sort in (True, False)}
 
-    def promising(at: int, cases: int, multi: int, cost: int) -> bool:
+    def beaten(cases: int, multi: int, capacity: int, cost: int) -> bool:
+        return any(c >= capacity and known[0] < cost for c, known in best.get((cases, multi), {}).items())
+
+    def promising(at: int, cases: int, multi: int, left: int, cost: int) -> bool:
         for more in range(1, most - cases + 1):
             for several in range(more + 1):
                 rest = after[True][at][:several] + after[False][at][: more - several]
-                if len(rest) == more and (old := best.get((cases + more, multi + several, reserve))) is not None and cost + sum(rest) > old[0]:
-                    continue
-                if len(rest) == more:
+                if len(rest) == more and not beaten(cases + more, multi + several, reserve if ample else min(reserve, left - more), cost + sum(rest)):
                     return True
         return False
 
-    todo = [(0, (), 0, 0)]
+    todo: list[tuple[int, tuple[Edge, ...], int, int]] = [(0, (), 0, 0)]
     while todo:
         at, chosen, multi, cost = todo.pop()
         issues, pulls = {c[0] for c in chosen}, {c[1] for c in chosen}
-        capacity = reserve if ample else min(reserve, matching_size(e for e in edges if e[0] not in issues and e[1] not in pulls))
-        key, value = (len(chosen), multi, capacity), (cost, tuple(c[4] for c in chosen))
-        if key not in best or value < best[key]:
-            best[key] = value
-        if len(chosen) == most or (ample and not promising(at, len(chosen), multi, cost)):
+        left = reserve if ample else matching_size(e for e in edges if e[0] not in issues and e[1] not in pulls)
+        capacity = min(reserve, left)
+        if not beaten(len(chosen), multi, capacity, cost):
+            known, value = best.setdefault((len(chosen), multi), {}), (cost, tuple(c[4] for c in chosen))
+            known[capacity] = min(known.get(capacity, value), value)
+        if len(chosen) == most or not promising(at, len(chosen), multi, left, cost):
             continue
         # the cheapest next edge is taken up first, so bounds are good early
         for k in range(len(pool) - 1, at - 1, -1):
             e = pool[k]
             if e[0] not in issues and e[1] not in pulls:
                 todo.append((k + 1, (*chosen, e), multi + e[2], cost + e[3]))
-    return best
+    return {(*key, capacity): value for key, known in best.items() for capacity, value in known.items() if not any(c > capacity and o[0] < value[0] for c, o in known.items())}
 
 
 def repository_options(edges: DataFrame, most: int = 5, reserve: int = 30) -> DataFrame:

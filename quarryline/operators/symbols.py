@@ -108,3 +108,35 @@ def select_symbols(features: DataFrame, unique: DataFrame, positions: DataFrame
     direct = F.col("qualified_match") | (F.col("exact_match") & F.coalesce("unique_name", F.lit(False)) & (F.length("name") >= 5)) | at["frame"] | at["source_line"] | at["snippet"] | at["constructor"]
     keys = [direct, at["frame"], F.coalesce("frame", F.lit(-1)), at["source_line"], first("source_line"), at["snippet"], first("snippet"), F.col("qualified_match"), at["constructor"], first("constructor"), F.col("mentions"), F.col("explicit_match"), F.col("title_strength"), F.col("primary_match"), F.col("local_overlap"), ~F.col("name").startswith("_"), -F.col("line")]
     return best(rows.where(direct | F.col("primary_match") | (F.col("overlap") > 0)), ["issue_id", "path"], keys)
+
+
+def strongest_titles(matches: DataFrame) -> DataFrame:
+    """matches (issue_id, symbol_id, title_strength) that alone have their issue's greatest strength over 0; issues with several such ones have none."""
+    best = matches.where("title_strength > 0").groupBy("issue_id").agg(F.max(F.struct("title_strength", "symbol_id")).alias("x"), F.min(F.struct(-F.col("title_strength"), "symbol_id")).alias("y"))
+    # of the strongest ones the last and the first by id: the same where there is one
+    return best.where("x.symbol_id = y.symbol_id").select("issue_id", "x.symbol_id", "x.title_strength")
+
+
+def shared_callers(external: DataFrame, relations: DataFrame) -> DataFrame:
+    """issue_id, file_id, caller: the one function of a file with the qualified calls (file_id, caller, target) that relate it to an issue (issue_id, file_id, target); none where there are several."""
+    met = relations.join(external.where("caller IS NOT NULL"), ["file_id", "target"])
+    found = met.groupBy("issue_id", "file_id").agg(F.min("caller").alias("caller"), F.max("caller").alias("last"))
+    return found.where("caller = last").drop("last")
+
+
+def evidence() -> Column:
+    """What is said of a chosen symbol, in order; columns label, name, overlap, qualified_match, exact_match, unscoped_match, constructor, title_match, frame, source_line, snippet, primary_match, component_match and callers."""
+    known = lambda flag, words: F.when(flag, F.concat(F.lit(words), F.col("label")))
+    listed = lambda start, items: F.when(F.size(items) > 0, F.concat(start, F.array_join(F.array_sort(items), ", ")))
+    return F.array_compact(F.array(
+        listed(F.concat(F.lit("Symbol "), F.col("label"), F.lit(" matches: ")), "overlap"),
+        known(F.col("qualified_match") | (F.col("exact_match") & ~F.col("unscoped_match")), "Issue references symbol "),
+        known(F.col("constructor").isNotNull(), "Issue title and code call constructor "),
+        known(F.col("title_match"), "Issue title matches owner and method "),
+        known(F.col("frame").isNotNull(), "Traceback frame points to symbol "),
+        known(F.col("source_line").isNotNull(), "Issue source line points to symbol "),
+        known(F.col("snippet").isNotNull(), "Issue source snippet matches symbol "),
+        known(F.col("primary_match"), "Issue title strongly matches symbol "),
+        F.when(F.col("component_match"), F.concat(F.lit("Issue references owning symbol "), F.regexp_replace("label", r"\.[^.]*$", ""))),
+        listed(F.concat(F.lit("Issue-matching symbols call "), F.col("name"), F.lit(": ")), "callers"),
+    ))

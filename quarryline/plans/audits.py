@@ -118,14 +118,14 @@ def primary_options(spark, sf_dir):
 
 
 def primary_selection(spark, sf_dir):
-    """The plan for 60 cases, five of a repository at most, of which 20 have several files, with 30 in reserve."""
-    cost, ids = planning.select_primary(ranked_edges(spark, sf_dir), 60, 20, 5, 30)
+    """The plan for 60 cases, five of a repository at most, of which 10 have several files, with 30 in reserve."""
+    cost, ids = planning.select_primary(ranked_edges(spark, sf_dir), 60, 10, 5, 30)
     return spark.createDataFrame([(cost, i) for i in ids], "cost long, candidate_id string")
 
 
 def review_queue(spark, sf_dir):
-    """A queue that brings a manifest of 140 cases, 40 of them of several files, to 200, with 30 in reserve."""
-    return planning.review_queue(ranked_edges(spark, sf_dir), 140, 40)
+    """A queue that brings a manifest of 140 cases, 50 of them of several files, to 200, with 30 in reserve."""
+    return planning.review_queue(ranked_edges(spark, sf_dir), 140, 50)
 
 
 QUERIES = {f.__name__: f for f in (audit_checks, audit_status, advisory_score, blocking_failures, reviewable_edges, discovery_early_stop, repeated_pull_requests, review_queue_entry, curate_manifest, classified_files, linked_pull_requests, pre_fix_source, edge_ranks, max_matching, primary_options, primary_selection, review_queue)}

@@ -41,8 +41,8 @@ def evidence_numbered_lines(spark, sf_dir):
 
 
 def evidence_budget(spark, sf_dir):
-    """Sixteen documents an issue under a budget of 4000 characters; blanks are made visible first, so that no cut is stripped."""
-    docs = doc_lines(spark, sf_dir).select((F.floor(F.col("number") / 16)).alias("issue_id"), F.col("number").alias("rank"), F.regexp_replace("body", r"\s", "_").alias("content"))
+    """Sixteen documents an issue under a budget of 4000 characters; a cut loses the blanks at its end, which leaves room for what follows."""
+    docs = doc_lines(spark, sf_dir).select((F.floor(F.col("number") / 16)).alias("issue_id"), F.col("number").alias("rank"), F.col("body").alias("content"))
     found = E.budgeted(docs, "issue_id", "rank", "content", 4000)
     return found.select("issue_id", F.explode("evidence").alias("e")).select("issue_id", "e.id", F.col("e.place").alias("rank"), F.length("e.content").cast("long").alias("chars"))
 
@@ -93,8 +93,10 @@ ORACLE = {
     "snapshot_order": with_views("SELECT run_id, id, node_name, row_number() OVER (PARTITION BY run_id ORDER BY id) AS place, CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k FROM traces WHERE status = 'completed'", "traces"),
     "evidence_numbered_lines": with_views("""WITH s AS (SELECT number, string_split(body, chr(10)) AS x, number % 40 AS a FROM docs WHERE body <> ''), f AS (SELECT *, least(greatest(1, a - 2), len(x)) AS first FROM s), w AS (SELECT *, least(least(greatest(first, a + 5), len(x)), first + 5) AS last FROM f)
       SELECT number, first, last, md5(array_to_string(list_transform(range(first, last + 1), lambda i: i || ': ' || x[i]), chr(10))) AS md5 FROM w""", "docs"),
-    "evidence_budget": with_views("""WITH s AS (SELECT number // 16 AS issue_id, number AS rank, length(body) AS n FROM docs WHERE body <> ''), c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY issue_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s)
-      SELECT issue_id, 'E' || row_number() OVER (PARTITION BY issue_id ORDER BY rank) AS id, rank, CAST(least(n, 4000 - used) AS BIGINT) AS chars FROM c WHERE used < 4000""", "docs"),
+    "evidence_budget": "WITH RECURSIVE docs AS (" + VIEWS["docs"] + """), s AS (SELECT number // 16 AS issue_id, row_number() OVER (PARTITION BY number // 16 ORDER BY number) AS k, number AS rank, body AS content FROM docs WHERE body <> ''),
+      f AS (SELECT DISTINCT issue_id, 0::BIGINT AS k, 0::BIGINT AS rank, 4000::BIGINT AS room, 0::BIGINT AS used FROM s
+        UNION ALL SELECT issue_id, k, rank, room - u, u FROM (SELECT s.issue_id, s.k, s.rank, f.room, CASE WHEN f.room <= 0 THEN 0 WHEN length(content) > f.room THEN length(rtrim(left(content, f.room), chr(32) || chr(9) || chr(13) || chr(10))) ELSE length(content) END::BIGINT AS u FROM f JOIN s ON s.issue_id = f.issue_id AND s.k = f.k + 1) q)
+      SELECT issue_id, 'E' || row_number() OVER (PARTITION BY issue_id ORDER BY rank) AS id, rank, used AS chars FROM f WHERE used > 0""",
     "evidence_coverage": with_views("SELECT page_id, CASE WHEN NOT (page_id % 5 = 2 OR (page_id % 5 >= 3 AND page_id % 7 = 2)) THEN 'evidence_observation_coverage' END AS problem FROM urls", "urls"),
     "alignment_contradictions": "SELECT conv_id, coalesce(string_agg('E' || turn || ': ' || role, '|' ORDER BY turn) FILTER (length(text) % 3 = 0), '') AS contradictions FROM conversations GROUP BY conv_id",
     "unique_symbol_names": with_views("SELECT 'fn_' || (symbol_id * file_id % 90001) AS name FROM symbols GROUP BY 1 HAVING count(*) = 1", "symbols"),

@@ -44,8 +44,8 @@ def stem_terms(spark, sf_dir):
 
 
 def title_bigrams(spark, sf_dir):
-    first = F.split("body", r"\.").getItem(0)
-    return _docs(spark, sf_dir).where("body IS NOT NULL").select("number", _JOIN(X.bigrams(X.semantic_sequence(first))).alias("bigrams"))
+    """Neighbouring stems of every whole text, as of a title."""
+    return _docs(spark, sf_dir).where("body IS NOT NULL").select("number", F.md5(_JOIN(X.bigrams(X.semantic_sequence(F.col("body")))).cast("binary")).alias("bigrams_md5"))
 
 
 def path_normalize(spark, sf_dir):
@@ -128,9 +128,9 @@ ORACLE = {
       SELECT page_id, array_to_string(list_sort(list_distinct(list_filter([low, CASE WHEN contains(low, '.') THEN string_split(low, '.')[-1] END, array_to_string(w, '_'), array_to_string(w, '')], lambda x: length(x) >= 3))), '|') AS variants,
         array_to_string(list_sort(list_distinct(list_filter([f, CASE WHEN f LIKE '%s' AND length(f) > 4 THEN left(f, length(f) - 1) END], lambda x: length(x) >= 4))), '|') AS compact FROM p""", "urls"),
     "stem_terms": with_views(f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(body), '[a-z][a-z0-9]+')) AS word FROM docs), s AS (SELECT word, {_STEM0('word')} AS s FROM w) SELECT word, {_E('s')} AS stem FROM s", "docs"),
-    "title_bigrams": with_views(f"""WITH w AS (SELECT number, list_transform(regexp_extract_all(lower({_CAMEL("string_split(body, '.')[1]")}), '[a-z][a-z0-9]+'), lambda x: {_STEM0('x')}) AS s0 FROM docs WHERE body IS NOT NULL),
+    "title_bigrams": with_views(f"""WITH w AS (SELECT number, list_transform(regexp_extract_all(lower({_CAMEL("body")}), '[a-z][a-z0-9]+'), lambda x: {_STEM0('x')}) AS s0 FROM docs WHERE body IS NOT NULL),
       s AS (SELECT number, list_transform(s0, lambda x: {_E('x')}) AS s FROM w)
-      SELECT number, CASE WHEN len(s) < 2 THEN '' ELSE array_to_string(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1]), '|') END AS bigrams FROM s""", "docs"),
+      SELECT number, md5(CASE WHEN len(s) < 2 THEN '' ELSE array_to_string(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1]), '|') END) AS bigrams_md5 FROM s""", "docs"),
     "path_normalize": with_views("SELECT file_id, lower(path) AS path FROM files", "files"),
     "path_suffix_scope": with_views("SELECT string_split(path, '/')[-1] AS reference, min(file_id) AS file_id FROM files GROUP BY 1 HAVING count(*) = 1", "files"),
     "test_path_flag": with_views("WITH p AS (SELECT file_id, string_split(lower(path), '/') AS s FROM files) SELECT file_id, len(list_intersect(s[:-2], ['t', 'test', 'testing', 'tests'])) > 0 OR s[-1] = 'conftest.py' OR starts_with(s[-1], 'test_') OR ends_with(s[-1], '_test.py') AS is_test FROM p", "files"),
