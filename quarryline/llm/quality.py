@@ -82,8 +82,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = SEED
         return lambda texts: [pa.array([r.tobytes() for r in terms(texts).astype(np.float16)])]
 
     picked = bounded_sample(marks.select(F.col("label_id").alias("doc_id"), F.lit("").alias("text"), "quality"), "quality", most, seed).select(F.col("doc_id").alias("label_id"), "quality")
-    # a few thousand ids: SAMPLE bounds them
-    rows = docs.where("text <> ''").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
+    # a few thousand ids: SAMPLE bounds them; an id of several texts gives the least one
+    rows = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     found = annotate(rows, make, struct(x=T.BinaryType()), carry=("doc_id", "quality")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["x"]))
     if len({r["quality"] for r in found}) < 2:

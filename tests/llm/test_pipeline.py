@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
-from quarryline.llm import decontaminate, mixing, simhash
+from pyspark.sql import functions as F
+
+from quarryline.llm import decontaminate, mixing, nearcopies
 from quarryline.llm.common import stored
 
 
@@ -17,7 +19,8 @@ def test_stages_take_effect(spark, tmp_path):
         rows.append((i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang, f"s{i % 3}", 1))
     rows += [(500, rows[7][1].upper(), "en", "s1", 1), (501, item, "en", "s1", 1), (502, "12 34", None, "s1", 1), (503, None, "en", None, None), (504, "", "en", "s2", 0)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/documents.parquet")
+    clash = {c: F.lit(c) for c in ("copy", "c0", "rid", "key", "order", "shard", "place", "ids", "fp")}
+    spark.createDataFrame(rows, schema).withColumns(clash).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([("1", item)], "item_id string, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     docs, sf_dir = spark.read.parquet(f"file://{tmp_path}/documents.parquet"), f"file://{tmp_path}"
     columns, kept = docs.columns, []
@@ -39,4 +42,4 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_stage_functions_are_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
-    assert simhash.first_of_each and decontaminate.clean and mixing.repeated
+    assert nearcopies.first_of_each and decontaminate.clean and mixing.repeated

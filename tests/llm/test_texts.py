@@ -180,6 +180,32 @@ def test_quality_by_held_out_rows(spark):
     assert quality.fit(docs, labels.where("quality = 1")) == 1.0 and quality.fit(docs.limit(0), labels.limit(0)) == 0.5
 
 
+def test_learned_operators_take_clashing_columns_and_empty_tables(spark):
+    docs, marks = labelled(spark, 120)
+    more = docs.withColumns({c: F.lit("clash") for c in ("quality", "label_id", "x", "place", "lang_pred", "spans", "found")})
+    plain, clashing = (sorted(map(tuple, quality.score(d, quality.fit(d, marks)).collect()), key=str) for d in (docs, more))
+    assert plain == clashing and len(plain) == docs.count()
+    assert language.identify(more, language.fit(more)).count() == docs.count() and pii.find(more, pii.fit(more)).count() == docs.count()
+    none = more.limit(0)
+    assert quality.score(none, quality.fit(none, marks)).count() == 0 and quality.fit(more, marks.limit(0)) == 0.5
+    assert language.fit(none) is None and language.identify(none, None).count() == 0 and pii.fit(none) is None
+    assert decontaminate.overlaps(none, spark.createDataFrame([("1", "a b")], "item_id string, text string")).count() == 0
+
+
+def test_votes_equal_a_plain_loop(spark):
+    docs, marks = labelled(spark, 200)
+    model = quality.fit(docs, marks)
+    texts = [r.text for r in docs.limit(40).collect() if r.text]
+    x = quality.terms(texts)
+    latent, got = model._latent(x).astype(np.float64), model.scores(texts)
+    for i in range(len(texts)):
+        near = [int(np.rint(float(latent[i].astype(np.float32) @ model.vectors[:, j]) * 1e4)) for j in range(model.vectors.shape[1])]
+        top = sorted(range(len(near)), key=lambda j: (-near[j], j))[: quality.NEIGHBOURS]
+        weight = [(max(near[j], 0) / 1e4) ** quality.SHARPNESS * model.votes[j] for j in top]
+        want = sum(w * model.labels[j] for w, j in zip(weight, top)) / sum(weight) if sum(weight) > 0 else got[i]
+        assert abs(got[i] - want) < 0.02
+
+
 def test_features_do_not_depend_on_neighbours():
     from quarryline.llm.features import gram_counts
 
