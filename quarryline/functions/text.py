@@ -175,3 +175,14 @@ def rank_line(answer: Column, known: Column, most: int = 3) -> Column:
 
 def parse_instant(text: Column) -> Column:
     return F.try_to_timestamp(text)
+
+
+def api_repository(url: Column) -> Column:
+    """owner/name after the first /repos/ of an address, or null; either may be empty."""
+    parts = F.split(F.get(F.split(url, "/repos/", 2), F.lit(1)), "/")
+    return F.when(F.size(parts) >= 2, F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))))
+
+
+def pull_number(url: Column) -> Column:
+    """The number after /pull/ or /pulls/ in an address, or null."""
+    return F.regexp_extract(url, r"/(?:pull|pulls)/([0-9]+)(?:$|[/?#])", 1).try_cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import closing_reference, excluded_path_reason
+from quarryline.functions.text import api_repository, closing_reference, excluded_path_reason, pull_number
 
 # Fixed values of the audit rules.
 REQUIRED = ("bounded_source_files", "issue_precedes_fix", "merged_pull_request", "pre_fix_outside_pull_commits", "pre_fix_sha_identified", "production_source_files", "pull_commit_history", "same_repository")
@@ -15,15 +15,15 @@ DIAGNOSTIC_TERMS = ("actual behavior", "expected behavior", "exception", "reprod
 
 
 def linked_pull_requests(events: DataFrame) -> DataFrame:
-    """issue_key, pull_requests: distinct numbers of the same repository from timeline events (issue_key, repository, source_repository, number, url), sorted.
+    """issue_key, pull_requests: distinct numbers of the same repository that timeline events name, sorted.
 
-    A number counts if it names the issue's repository; one in a url unless the url names another.
+    events: issue_key, repository, of the issue that an event comes from source_is_pull, source_repository_url and source_number, and the addresses subject_url, subject_html_url and event_url.
+    A source counts if it is a pull request of the repository; a number in an address unless that names another repository.
     """
-    of_url = F.nullif(F.regexp_extract("url", r"/repos/([^/]+/[^/]+)(?:/|$)", 1), F.lit(""))
     here = F.lower("repository")
-    named = F.when((F.lower("source_repository") == here) & (F.col("number") > 0), F.col("number"))
-    linked = F.when(F.coalesce(F.lower(of_url), here) == here, F.regexp_extract("url", r"/(?:pull|pulls)/([0-9]+)(?:$|[/?#])", 1).try_cast("long"))
-    return events.select("issue_key", F.explode_outer(F.array(named, linked)).alias("n")).groupBy("issue_key").agg(F.array_sort(F.collect_set("n")).alias("pull_requests"))
+    source = F.when(F.col("source_is_pull") & (F.lower(api_repository(F.col("source_repository_url"))) == here) & (F.col("source_number") > 0), F.col("source_number"))
+    named = [F.when(F.coalesce(F.lower(api_repository(F.col(c))), here) == here, pull_number(F.col(c))) for c in ("subject_url", "subject_html_url", "event_url")]
+    return events.select("issue_key", F.explode_outer(F.array(source, *named)).alias("n")).groupBy("issue_key").agg(F.array_sort(F.collect_set("n")).alias("pull_requests"))
 
 
 def classify_files(files: DataFrame) -> DataFrame:

@@ -80,13 +80,16 @@ def classified_files(spark, sf_dir):
 
 
 def linked_pull_requests(spark, sf_dir):
+    """Events with a pull request or an issue as their source, addresses of this and of another repository, and pages of the web site, which name no repository in that form."""
+    n = F.col("pr_number")
+    api = lambda repository, kind, number: F.concat(F.lit("https://api.host/repos/"), repository, F.lit(f"/{kind}/"), number.cast("string"))
     events = adapter(spark, sf_dir, "audit_edges").select(
-        F.col("issue_number").alias("issue_key"),
-        "repository",
-        F.when(F.col("pr_number") % 3 == 0, F.upper("repository")).when(F.col("pr_number") % 3 == 1, "other/repo").alias("source_repository"),
-        F.when(F.col("pr_number") % 2 == 0, F.col("pr_number")).alias("number"),
-        F.concat(F.lit("https://api.host/repos/"), F.when(F.col("pr_number") % 5 == 0, "other/repo").otherwise(F.col("repository")), F.lit("/pulls/"), F.col("pr_number").cast("string")).alias("url"),
-    )
+        F.col("issue_number").alias("issue_key"), "repository", (n % 4 != 0).alias("source_is_pull"),
+        F.concat(F.lit("https://api.host/repos/"), F.when(n % 3 == 0, F.upper("repository")).otherwise(F.lit("other/repo"))).alias("source_repository_url"), F.when(n % 2 == 0, n).alias("source_number"),
+        F.when(n % 7 == 0, api(F.col("repository"), "pulls", n + 1)).alias("subject_url"),
+        F.when(n % 11 == 0, F.concat(F.lit("https://host/owner/any/pull/"), (n + 2).cast("string"), F.lit("?x=1"))).alias("subject_html_url"),
+        api(F.when(n % 5 == 0, F.lit("other/repo")).otherwise(F.col("repository")), "pulls", n + 3).alias("event_url"),
+    )
     return A.linked_pull_requests(events).withColumn("pull_requests", F.array_join("pull_requests", ","))
 
 
@@ -166,7 +169,9 @@ ORACLE = {
     "curate_manifest": with_views(f"SELECT repository || '-' || issue_number || '-' || pr_number AS case_id, {_K} FROM audit_edges WHERE merged UNION ALL SELECT 'new-' || repository || '/' || issue_number || '/' || pr_number, {_K} FROM audit_edges WHERE NOT merged", "audit_edges"),
     "classified_files": with_views("""WITH s AS (SELECT path, ['modified', 'added', 'renamed', 'copied'][weight % 4 + 1] AS status, weight, CASE WHEN starts_with(path, 'tests/') OR starts_with(path, 'docs/') THEN 'test, documentation, example, generated, or vendored path' WHEN path LIKE '%.md' THEN 'unsupported source suffix' END AS r FROM files)
       SELECT path, status, coalesce(r, [NULL, 'file does not exist at the pre-fix commit', 'renamed file requires manual ground-truth review', 'unsupported pull-request file status: copied'][weight % 4 + 1]) AS reason, coalesce(r, [NULL, 'file does not exist at the pre-fix commit', 'renamed file requires manual ground-truth review', 'unsupported pull-request file status: copied'][weight % 4 + 1]) IS NULL AS eligible FROM s""", "files"),
-    "linked_pull_requests": with_views("SELECT issue_number AS issue_key, coalesce(string_agg(CAST(pr_number AS VARCHAR), ',' ORDER BY pr_number) FILTER (pr_number % 5 <> 0 OR (pr_number % 6 = 0 AND pr_number > 0)), '') AS pull_requests FROM audit_edges GROUP BY issue_number", "audit_edges"),
+    "linked_pull_requests": with_views("""WITH p AS (SELECT issue_number AS k, pr_number AS n FROM audit_edges),
+      f AS (SELECT k, n FROM p WHERE n % 3 = 0 AND n % 2 = 0 AND n % 4 <> 0 UNION SELECT k, n + 1 FROM p WHERE n % 7 = 0 UNION SELECT k, n + 2 FROM p WHERE n % 11 = 0 UNION SELECT k, n + 3 FROM p WHERE n % 5 <> 0)
+      SELECT i.k AS issue_key, coalesce(string_agg(CAST(f.n AS VARCHAR), ',' ORDER BY f.n), '') AS pull_requests FROM (SELECT DISTINCT k FROM p) i LEFT JOIN f ON f.k = i.k GROUP BY i.k""", "audit_edges"),
     "pre_fix_source": with_views(f"""SELECT {_K}, CASE WHEN pr_number % 5 = 0 THEN 's' || pr_number % 11 WHEN pr_number % 4 = 0 AND pr_number % 3 <= 1 THEN 's' || (pr_number + pr_number % 3) WHEN pr_number % 4 = 1 AND (pr_number % 3 = 1 OR pr_number % 2 = 1) THEN 's' || pr_number END AS sha,
       CASE WHEN pr_number % 5 = 0 THEN 'first_pull_commit_parent' WHEN pr_number % 4 = 0 AND pr_number % 3 <= 1 THEN 'merge_base_parent' WHEN pr_number % 4 = 1 AND pr_number % 3 = 1 THEN 'single_commit_parent' WHEN pr_number % 4 = 1 AND pr_number % 2 = 1 THEN 'squash_commit_parent' END AS source FROM audit_edges""", "audit_edges"),
 }

@@ -81,13 +81,21 @@ def closing_reference(spark, sf_dir):
     return _urls(spark, sf_dir).select("page_id", X.closing_reference(body, F.col("page_id")).alias("closes"))
 
 
+def _api(spark, sf_dir):
+    """Addresses of an interface: with a repository, with half of one, with /repos/ twice, and of something else."""
+    n = F.col("page_id")
+    path = F.concat(F.lit("Own"), (n % 9).cast("string"), F.lit("/name-"), n.cast("string"))
+    ends = F.when(n % 3 == 0, F.concat(F.lit("/pulls/"), n.cast("string"), F.lit("?x"))).when(n % 3 == 1, F.concat(F.lit("/pull/"), n.cast("string"))).otherwise(F.concat(F.lit("/issues/"), n.cast("string")))
+    url = F.when(n % 5 == 1, F.lit("https://api.host/repos/alone")).when(n % 5 == 2, F.concat(F.lit("https://api.host/repos/"), path, F.lit("/repos/x/y"), ends)).when(n % 5 == 3, F.concat(F.lit("https://host/"), path, ends)).otherwise(F.concat(F.lit("https://api.host/repos/"), path, ends))
+    return _urls(spark, sf_dir).select("page_id", url.alias("url"))
+
+
 def api_url_repository(spark, sf_dir):
-    parts = F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")
-    return _urls(spark, sf_dir).select("page_id", F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("repository"))
+    return _api(spark, sf_dir).select("page_id", X.api_repository(F.col("url")).alias("repository"))
 
 
 def url_number(spark, sf_dir):
-    return _urls(spark, sf_dir).select("page_id", F.regexp_extract("url", "/([0-9]+)($|[/?#])", 1).alias("number"))
+    return _api(spark, sf_dir).select("page_id", X.pull_number(F.col("url")).alias("number"))
 
 
 def case_slug(spark, sf_dir):
@@ -137,8 +145,8 @@ ORACLE = {
     "excluded_path_reason": with_views("SELECT file_id, CASE WHEN starts_with(path, 'tests/') OR starts_with(path, 'docs/') THEN 'test, documentation, example, generated, or vendored path' WHEN path LIKE '%.md' THEN 'unsupported source suffix' END AS reason FROM files", "files"),
     "path_term_df": with_views(f"WITH t AS (SELECT file_id, unnest(list_distinct({_TERMS('path')})) AS term FROM files) SELECT term, count(*) AS files, count(*) <= 3 AS specific FROM t GROUP BY term", "files"),
     "closing_reference": with_views("SELECT page_id, page_id % 4 <> 2 AND page_id % 3 = 0 AS closes FROM urls", "urls"),
-    "api_url_repository": with_views("SELECT page_id, array_to_string(string_split(regexp_replace(url, '^[a-z]+://', ''), '/')[:2], '/') AS repository FROM urls", "urls"),
-    "url_number": with_views("SELECT page_id, regexp_extract(url, '/([0-9]+)($|[/?#])', 1) AS number FROM urls", "urls"),
+    "api_url_repository": with_views("SELECT page_id, CASE WHEN page_id % 5 NOT IN (1, 3) THEN 'Own' || page_id % 9 || '/name-' || page_id END AS repository FROM urls", "urls"),
+    "url_number": with_views("SELECT page_id, CASE WHEN page_id % 5 <> 1 AND page_id % 3 < 2 THEN page_id END AS number FROM urls", "urls"),
     "case_slug": with_views("SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM urls", "urls"),
     "file_confidence": with_views("SELECT file_id, round(least(0.98::DOUBLE, 0.2::DOUBLE + weight * 0.7::DOUBLE / 30), 2) AS confidence FROM files", "files"),
     "language_counts": with_views("SELECT CASE WHEN path LIKE '%.py' THEN 'Python' ELSE 'TypeScript' END AS language, count(*) AS files FROM files WHERE path LIKE '%.py' OR path LIKE '%.ts' GROUP BY 1", "files"),
