@@ -145,3 +145,27 @@ def duplicate_degrees(issues: DataFrame, threshold: float = THRESHOLD, text: Col
     after = F.sum(F.when(F.col("kind") == F.col("late"), 1).otherwise(0)).over(line.rowsBetween(1, Window.unboundedFollowing))
     ordered = ends.select("number", F.coalesce(F.when(F.col("kind") == F.col("early"), after).otherwise(before), F.lit(0)).alias("degree"))
     return counted.unionByName(ordered).groupBy("number").agg(F.sum("degree").alias("degree"))
+
+
+def duplicate_kinds(issues: DataFrame, threshold: float = THRESHOLD, text: Column | None = None) -> DataFrame:
+    """The pairs of detect_duplicates() without those of copies: left_number, right_number (the first issue of two kinds of equal tokens and titles, the earlier one left), how many
+    members each kind has, similarity and reverse_similarity (with the left or the right title first; one of them is at or over the threshold) and shared_terms. A kind of several members is also paired with itself."""
+    from quarryline.operators.scoring import issue_text
+
+    least = jaccard_bound(threshold)
+    if least <= 0:
+        raise ValueError(f"at {threshold} titles alone make pairs, so that kinds can't be found by their tokens")
+    rows = issues.select("number", F.lower("title").alias("title"), "ord", tokens(issue_text() if text is None else text).alias("tokens")).where(F.size("tokens") > 0)
+    first = F.min(F.struct("ord", "number"))
+    kinds = rows.withColumn("set_id", F.xxhash64("tokens")).groupBy("set_id", "title", "tokens").agg(first.alias("first"), F.count("*").alias("members"))
+    near = class_pairs(token_classes(rows.select("ord", "tokens")), least)
+    near = near.unionByName(kinds.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct())
+    side = lambda p: kinds.select(F.col("set_id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("title", "tokens", "first", "members")])
+    met = near.join(side("a"), "a").join(side("b"), "b").where("a <> b OR a_first.ord < b_first.ord OR (a_first = b_first AND a_members > 1)")
+    early = F.col("a_first.ord") <= F.col("b_first.ord")
+    pick = lambda c, one: F.when(early, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")) if one else F.when(early, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))
+    sides = met.select("jaccard", *[pick(c, one).alias(f"{name}_{c}") for name, one in (("left", True), ("right", False)) for c in ("title", "tokens", "first", "members")])
+    blend = lambda x, y: F.round(JACCARD_WEIGHT * F.col("jaccard") + TITLE_WEIGHT * title_ratio(x, y), 4)
+    scored = sides.withColumns({"similarity": blend("left_title", "right_title"), "reverse_similarity": blend("right_title", "left_title")})
+    kept = scored.where(F.greatest("similarity", "reverse_similarity") >= threshold)
+    return kept.select(F.col("left_first.number").alias("left_number"), F.col("right_first.number").alias("right_number"), "left_members", "right_members", "similarity", "reverse_similarity", shared_terms(F.col("left_tokens"), F.col("right_tokens")).alias("shared_terms"))

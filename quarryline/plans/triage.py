@@ -87,11 +87,11 @@ def duplicate_shared_terms(spark, sf_dir):
 
 
 def duplicate_pairs(spark, sf_dir):
-    """The blended score over all pages: titles are the pages' titles, the text is the url's words."""
-    pages = adapter(spark, sf_dir, "urls").join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
+    """The blended score at 0.55 over all pages: titles are the pages' titles, the text is the title and all words of the page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    rows = pages.select(F.col("page_id").alias("number"), title.alias("title"), F.concat_ws(" ", title, F.regexp_replace("url", "[/.:]+", " ")).alias("_t"), F.col("page_id").alias("ord"))
-    return similarity.detect_duplicates(rows, 0.75, F.col("_t")).withColumn("shared_terms", F.array_join("shared_terms", "|"))
+    rows = pages.select(F.col("page_id").alias("number"), title.alias("title"), F.concat_ws(" ", title, F.regexp_replace("html", "<[^>]*>", " ")).alias("_t"), F.col("page_id").alias("ord"))
+    return similarity.duplicate_kinds(rows, text=F.col("_t")).withColumn("shared_terms", F.array_join("shared_terms", "|"))
 
 
 QUERIES = {f.__name__: f for f in (priority_score, priority_factors, priority_reasons, needs_information, priority_rank, similar_issue_counts, top_k_issues, duplicate_jaccard, duplicate_degree, duplicate_shared_terms, duplicate_pairs)}
