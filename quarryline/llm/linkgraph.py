@@ -2,14 +2,14 @@
 
 Rules (host, path) fit their host and all subdomains where the url's path starts with theirs; the
 longest wins. Urls without a rule are judged by their host. Host edges are the absolute links of
-the pages to other hosts, as many as there are, and one from each host to the domain it is part of. Hosts are seeds
+the pages to other hosts, as many as there are, and one from each host to the domain it is part of (not to a public suffix). Hosts are seeds
 of trust by the share of their pages that rules allow, and of distrust by the share that rules block. Personalised
 PageRank carries trust along the edges and distrust against them (who links to blocked hosts is suspect) with DAMPING, until no further host is reached and
 three rounds add TOLERANCE of the mass at most;
 what reaches a host without edges stops there. A host is blocked where its distrust is over RATIO times its trust.
 
 Null urls and urls without :// have empty host and path, no rule, and are allowed. Each row of pages is judged, repeated ones
-alike. Without any rule that fits all is allowed. The graph has one row for each pair of hosts; counts are combined before the shuffle.
+alike. Very long pages are searched for links whole; an empty table gives an empty result; columns besides page_id, url and html are not read. Without any rule that fits all is allowed. The graph has one row for each pair of hosts; counts are combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import discard, stored, table
+from quarryline.llm.common import discard, lookup, stored, table
 from quarryline.llm.sqltext import LOWER, UPPER
 
 #: (verdict, host, path), fixed values of the contract.
@@ -29,10 +29,14 @@ RULES = (
     ("block", "org", "/es/"),
 )
 #: ROUNDS are those of OP2_SQL; propagate() has no fixed number.
-ROUNDS, DAMPING, RATIO, TOLERANCE = 10, 0.85, 1.0, 1e-10
+ROUNDS, DAMPING, RATIO, TOLERANCE, DIGITS = 10, 0.85, 1.0, 1e-10, 12
 LINK = r"""(?i)href\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
 
 
+#: Hosts that are not part of another one: addresses, and names right under a public suffix of two parts (fixed values: what such suffixes begin with).
+NO_PARENT = "^[0-9.]+$|^[^.]+[.](?:ac|co|com|edu|go|gov|ne|net|or|org)[.][a-z][a-z]$"
+
+
 def host(url: Column) -> Column:
     return F.coalesce(F.translate(F.regexp_extract(url, "://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
 
@@ -52,7 +56,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, n: links between different hosts, from pages (host, html), and each host's link to its parent domain."""
     linked = pages.where("host <> '' AND html IS NOT NULL").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
     linked = linked.withColumn("dst", F.regexp_replace(F.translate("dst", UPPER, LOWER), "^[^@]*@", ""))
-    parents = pages.where("host RLIKE '^[^.]+[.][^.]+[.]'").select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst")).distinct()
+    parents = pages.where(f"host RLIKE '^[^.]+[.][^.]+[.]' AND NOT host RLIKE '{NO_PARENT}'").select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst")).distinct()
     return linked.unionByName(parents).where("src <> dst AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -83,18 +87,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule and verdict, with trust and distrust of the host, for pages (page_id, url, html)."""
+    """page_id, host, path, rule and verdict for pages (page_id, url, html)."""
     parsed = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html")
     ruled = parsed.withColumn("hit", rule(F.col("host"), F.col("path"), rules))
     share = lambda v: F.avg(F.when(F.col("hit.verdict") == v, 1.0).otherwise(0.0))
-    shares = stored(ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("t"), share("block").alias("d")), "shares")
+    hosts = stored(ruled.groupBy("host").agg(share("allow").alias("t"), share("block").alias("d"), F.count("*").alias("n")), "hosts")
+    shares = hosts.where("host <> ''")
     t, d = (x or 0.0 for x in shares.agg(F.sum("t"), F.sum("d")).first())
     seeds = shares.select("host", (F.col("t") / (t or 1.0)).alias("trust"), (F.col("d") / (d or 1.0)).alias("distrust"))
     # far fewer than the pages
-    ranks = stored(propagate(stored(host_edges(parsed), "edges"), seeds), "ranks")
-    found = ruled.drop("html").join(ranks, "host", "left")
-    blocked = F.coalesce("distrust", F.lit(0.0)) > RATIO * F.coalesce("trust", F.lit(0.0))
-    return found.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), F.when(blocked, "block").otherwise("allow")).alias("verdict"))
+    ranks = propagate(stored(host_edges(parsed), "edges"), seeds)
+    # sums differ in their last digits from run to run, so equal ones are rounded to be equal
+    level = lambda c: F.round(F.coalesce(c, F.lit(0.0)), DIGITS)
+    judged = stored(hosts.select("host", "n").join(ranks, "host", "left").select("host", "n", (level("distrust") > RATIO * level("trust")).alias("blocked")), "judged")
+    found = lookup(ruled.drop("html"), judged, ["host"], "n")
+    return found.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op2_url_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +116,7 @@ WITH p AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '://([^/
 r AS (SELECT *, CASE {fits} END AS hit FROM p),
 s AS (SELECT host, avg(CASE WHEN hit LIKE '%:allow' THEN 1.0 ELSE 0.0 END) AS t, avg(CASE WHEN hit LIKE '%:block' THEN 1.0 ELSE 0.0 END) AS d FROM r WHERE host <> '' GROUP BY host),
 links AS (SELECT host AS src, regexp_replace(translate(unnest(regexp_extract_all(html, '{link}', 1, 'i')), '{UPPER}', '{LOWER}'), '^[^@]*@', '') AS dst FROM p WHERE host <> ''
-  UNION ALL SELECT DISTINCT host, substr(host, instr(host, '.') + 1) FROM p WHERE regexp_matches(host, '^[^.]+[.][^.]+[.]')),
+  UNION ALL SELECT DISTINCT host, substr(host, instr(host, '.') + 1) FROM p WHERE regexp_matches(host, '^[^.]+[.][^.]+[.]') AND NOT regexp_matches(host, '{NO_PARENT}')),
 e AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND dst <> '' GROUP BY ALL),
 b AS (SELECT 't' AS kind, src, dst, n FROM e UNION ALL SELECT 'd', dst, src, n FROM e),
 w AS (SELECT kind, src, dst, {DAMPING} * n / sum(n) OVER (PARTITION BY kind, src) AS p FROM b),
@@ -117,7 +124,7 @@ r0 AS (SELECT 't' AS kind, host, {1 - DAMPING} * t / (SELECT sum(t) FROM s) AS v
     rounds = "".join(f",\nr{k} AS MATERIALIZED (SELECT kind, host, sum(v) AS v FROM (SELECT w.kind, w.dst AS host, r{k - 1}.v * w.p AS v FROM r{k - 1} JOIN w ON w.kind = r{k - 1}.kind AND w.src = r{k - 1}.host UNION ALL SELECT * FROM r0) GROUP BY ALL)" for k in range(1, ROUNDS + 1))
     return f"""{head}{rounds},
 h AS (SELECT host, sum(CASE WHEN kind = 't' THEN v ELSE 0 END) AS t, sum(CASE WHEN kind = 'd' THEN v ELSE 0 END) AS d FROM r{ROUNDS} GROUP BY host)
-SELECT page_id, r.host, path, split_part(hit, ':', 1) AS rule, coalesce(split_part(hit, ':', 2), CASE WHEN coalesce(h.d, 0) > {RATIO} * coalesce(h.t, 0) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, r.host, path, split_part(hit, ':', 1) AS rule, coalesce(split_part(hit, ':', 2), CASE WHEN round(coalesce(h.d, 0), {DIGITS}) > {RATIO} * round(coalesce(h.t, 0), {DIGITS}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN h USING (host)"""
 
 
