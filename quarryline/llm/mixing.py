@@ -7,13 +7,14 @@ to the others by weight until none is above.
 Blocks: the mix is cut in blocks of equal words (2048, or fewer so that there are at least
 BLOCKS of them). Blocks go one by one to the source with the highest quotient target / (2k - 1); the
 result is found from the rounded shares and a few quotients around them (apportion). A source's words lie in
-shards of about equal size, dealt by a seeded hash of doc_id, and its blocks are apportioned
+shards of about equal size, dealt by a seeded hash of doc_id and text, and its blocks are apportioned
 to the shards in the same way, which gives each an integer quota. In a shard the documents stand in seeded order; its quota takes
 whole rounds of the shard and then the first blocks of that order. The word interval of a document in
 that order says how many of its words the rest takes, so no document gives over EPOCHS times its size.
 
-The result depends on ids, sizes and seed alone, not on partitions. Null and empty texts have size 0 and
-give nothing. Null doc_ids share a place in the order; repeated rows are documents of their own.
+The result depends on ids, texts and seed alone, not on partitions. Null and empty texts have size 0 and
+give nothing. Rows of one doc_id (or none) and one text share a place in the order; repeated rows are documents of their own.
+An empty table gives an empty result; very long texts are counted whole; columns besides doc_id, source and text are only carried along.
 """
 
 from __future__ import annotations
@@ -76,7 +77,8 @@ def _key():
 
 
 def _order(seed: int):
-    return F.xxhash64(F.lit(seed), "doc_id")
+    """A row's place: by its id and text, so that rows without an id, or with one that others have too, lie in different shards."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
 
 
 def _shard():
