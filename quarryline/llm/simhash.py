@@ -18,7 +18,7 @@ ten rows with three exact parts each.
 
 Copies meet in their fingerprint first, so only distinct fingerprints are searched. Components are
 found by large-star and small-star rounds over the verified links, each round a table in the shared folder.
-Rows with a null doc_id take part; component_id ignores null ids. Repeated rows get equal results.
+An empty table gives an empty result; very long texts are hashed in pieces; columns besides doc_id and text are not read. Rows with a null doc_id take part; component_id ignores null ids. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import LONG, annotate, discard, map_in_arrow, stored, struct, table
+from quarryline.llm.common import LONG, annotate, discard, lookup, map_in_arrow, stored, struct, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Segments of a fingerprint as (lowest bit, bits).
@@ -178,23 +178,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fp (signed long), component_id for every document."""
     rows = stored(fingerprints(docs, text), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fp")))
     # fingerprints without links are their own component
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(placed.join(linked, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their component, with all their columns; those without doc_id stay.
-
-    The others are far fewer than those that stay, so their ids are what the documents are compared with.
-    """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = stored(gone, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    linked = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    named = stored(lookup(placed, linked, ["root"], "prints").select("fp", "n", "component_id"), "named")
+    # all empty documents, and all copies of one, have one fingerprint
+    return lookup(rows, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
