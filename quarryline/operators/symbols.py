@@ -97,7 +97,11 @@ def symbol_features(issue_terms: DataFrame, symbols: DataFrame) -> DataFrame:
 def select_symbols(features: DataFrame, unique: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     """For each issue and path the function to show: those that the issue points at by place (all_positions() of the same symbols) first, then
     directly named ones, then those whose terms meet the issue."""
-    rows = features.where("kind = 'function'").join(unique.withColumn("unique_name", F.lit(True)), "name", "left")
+    # titles speak for the one symbol of a file that they match most, or for none
+    file = Window.partitionBy("issue_id", "path")
+    rows = features.where("kind = 'function'").withColumn("_most", F.max("title_strength").over(file)).withColumn("_ties", F.count_if(F.col("title_strength") == F.col("_most")).over(file))
+    rows = rows.withColumn("title_strength", F.when((F.col("title_strength") == F.col("_most")) & (F.col("_ties") == 1), F.col("title_strength")).otherwise(0.0)).drop("_most", "_ties")
+    rows = rows.join(unique.withColumn("unique_name", F.lit(True)), "name", "left")
     places = ("frame", "source_line", "snippet", "constructor")
     if positions is None:
         rows = rows.withColumns({k: F.lit(None).cast("int") for k in places})
