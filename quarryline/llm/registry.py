@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryline.llm import decontaminate, exactdedup, language, linkgraph, mixing, pii, quality, simhash, tokenfile, warc
+from quarryline.llm import decontaminate, erratatrie, exactdedup, language, linkgraph, mixing, pii, prefixfree, quality, simhash, tokenfile, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_exact_dedup": exactdedup.op8_exact_dedup,
         "op9_simhash_golay": simhash.op9_simhash_golay,
         "op10_mixing": mixing.op10_mixing,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_prefix_free": prefixfree.op12_prefix_free,
+        "op13_errata_trie": erratatrie.op13_errata_trie,
     }
 
 
