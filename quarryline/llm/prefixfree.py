@@ -11,7 +11,8 @@ one document and are judged on the input.
 * Dictionary suffixes: suffixes of phrases are over WIDTH - 1 bytes, which makes them prefix-free: their order decides that of the corpus up to WIDTH bytes, and what the parse adds is the
   document of each phrase. Of the suffixes only those are sorted that can have an equal: the GRAM-byte hash that is least among those within
   a string of WIDTH bytes is the same in every equal string, so strings whose least one occurs in a single document are single themselves. Others are
-  put in order, those of a piece first and then the pieces' sorted arrays, merged by ranges of a hash; neighbours that agree on WIDTH bytes
+  put in order, those of a piece first and then, in buckets, those of all pieces; a bucket has the suffixes of some least grams, so that strings that overlap travel together, but those of
+  a gram that over SPREAD pieces have are dealt out by their whole strings. Neighbours that agree on WIDTH bytes
   are one string, and the smallest document among their phrases is compared with each phrase's own. Strings are compared by their bytes; phrases
   are told apart by 128 bits of XXH3.
 
@@ -41,6 +42,8 @@ from quarryline.llm.common import BATCH_ROWS, INT, LONG, STRING, give_back, map_
 WIDTH, GRAM, TRIGGER = 50, 24, 512
 #: Bytes of a piece, of text for each bucket, and positions hashed at once and suffixes sorted at once.
 PIECE, BUCKET, CHUNK, BLOCK = 2 << 20, 16 << 20, 1 << 18, 1 << 20
+#: Pieces that may hold a least gram whose suffixes go to one bucket.
+SPREAD = 64
 BINARY = T.BinaryType()
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _powers: list[np.ndarray] = []
@@ -159,23 +162,27 @@ class Keys:
         at = np.flatnonzero(new)
         self.inverse = np.empty(len(keys), np.int64)
         self.inverse[order] = np.cumsum(new) - 1
-        self.keys = ordered[at]
+        self.keys, self.occurs = ordered[at], order[at]
         self.least = np.minimum.reduceat(numbers[order], at) if len(at) else numbers[:0]
         self.most = np.maximum.reduceat(numbers[order], at) if len(at) else numbers[:0]
 
-    def places(self, buckets: int) -> list[tuple[int, np.ndarray]]:
-        """(bucket, the distinct keys that go there, by place)."""
-        if not len(self.keys):
-            return []
-        raw = np.ascontiguousarray(self.keys).view(np.uint8).reshape(len(self.keys), -1)
+    def hashes(self) -> np.ndarray:
+        """A hash of each distinct key."""
+        raw = np.ascontiguousarray(self.keys).view(np.uint8).reshape(len(self.keys), self.keys.dtype.itemsize)
         wide = np.zeros((len(raw), -(-raw.shape[1] // 8) * 8), np.uint8)
         wide[:, : raw.shape[1]] = raw
         h = np.zeros(len(raw), np.uint64)
         for column in wide.view(np.uint64).T:
             h = (h ^ column) * _MIX
             h ^= h >> np.uint64(31)
-        to = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
+        return h
+
+    def places(self, buckets: int, hashes: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
+        """(bucket, the distinct keys that go there in order of occurrence)."""
+        if not len(self.keys):
+            return []
+        to = ((self.hashes() if hashes is None else hashes) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((self.occurs, to))
         cuts = np.flatnonzero(np.diff(to[order])) + 1
         return [(int(to[at[0]]), at) for at in np.split(order, cuts)]
 
@@ -183,7 +190,7 @@ class Keys:
 # --- the exchange of keys between pieces ---------------------------------------------------------------------------------------------------
 
 SENT = struct(bucket=INT, piece=LONG, block=INT, keys=BINARY, least=BINARY, most=BINARY)
-BACK = struct(bucket=INT, piece=LONG, block=INT, at=BINARY, smallest=BINARY)
+BACK = struct(bucket=INT, piece=LONG, block=INT, at=BINARY, told=BINARY)
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -198,46 +205,47 @@ def _unpacked(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
 
 
-def send(piece: int, block: int, keys: Keys, buckets: int) -> list[tuple]:
-    return [(bucket, piece, block, _packed(keys.keys[at]), _packed(keys.least[at]), _packed(keys.most[at])) for bucket, at in keys.places(buckets)]
+def send(piece: int, block: int, keys: Keys, buckets: int, hashes: np.ndarray | None = None) -> list[tuple]:
+    return [(bucket, piece, block, _packed(keys.keys[at]), _packed(keys.least[at]), _packed((keys.most - keys.least)[at])) for bucket, at in keys.places(buckets, hashes)]
 
 
-def elsewhere(sent: DataFrame, dtype: str, both: bool) -> DataFrame:
-    """piece and what it gets back: of its keys, those that have a smaller number somewhere than the greatest that it has sent (both: different numbers anywhere), with the smallest.
+def elsewhere(sent: DataFrame, dtype: str, holders: bool = False) -> DataFrame:
+    """piece and what it gets back: of its keys, those that have a smaller number somewhere than the greatest that it has sent, with the smallest; or (holders) those
+    that have different numbers anywhere, with how many pieces sent them.
 
     Numbers of a piece's keys are documents, or the piece itself where it matters only whether others have the key.
     """
 
     def run(_: tuple, group: pa.Table) -> pa.Table:
         rows = [dict(zip(group.column_names, r)) for r in zip(*[c.to_pylist() for c in group.columns])]
-        parts = [(_unpacked(r["keys"], dtype), _unpacked(r["least"], "<i8"), _unpacked(r["most"], "<i8")) for r in rows]
-        keys, least, most = (np.concatenate(x) for x in zip(*parts))
+        keys = np.concatenate([_unpacked(r["keys"], dtype) for r in rows])
+        least, more = (np.concatenate([_unpacked(r[c], "<i8") for r in rows]) for c in ("least", "most"))
+        sizes = [len(_unpacked(r["most"], "<i8")) for r in rows]
         whole = Keys(keys, least)
-        smallest = whole.least[whole.inverse]
-        greatest = most
-        if both:
-            top = np.full(len(whole.keys), np.iinfo(np.int64).min)
-            np.maximum.at(top, whole.inverse, most)
-            greatest = top[whole.inverse]
+        smallest, greatest = whole.least[whole.inverse], least + more
+        told = smallest
+        if holders:
+            greatest = Keys(whole.inverse, greatest).most[whole.inverse]
+            told = np.bincount(whole.inverse)[whole.inverse]
         out, low = [], 0
-        for r, (own, _, _) in zip(rows, parts):
-            at = np.flatnonzero(smallest[low : low + len(own)] < greatest[low : low + len(own)])
+        for r, n in zip(rows, sizes):
+            at = np.flatnonzero(smallest[low : low + n] < greatest[low : low + n])
             if len(at):
-                out.append((r["bucket"], r["piece"], r["block"], _packed(at.astype("<u4")), _packed(smallest[low : low + len(own)][at])))
-            low += len(own)
+                out.append((r["bucket"], r["piece"], r["block"], _packed(at.astype("<u4")), _packed(told[low : low + n][at].astype(np.int64))))
+            low += n
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=BACK.names)
 
     back = sent.groupBy("bucket").applyInArrow(run, BACK)
-    return back.groupBy("piece").agg(F.collect_list(F.struct("bucket", "block", "at", "smallest")).alias("found"))
+    return back.groupBy("piece").agg(F.collect_list(F.struct("bucket", "block", "at", "told")).alias("found"))
 
 
-def received(keys: Keys, found: list[dict] | None, block: int, buckets: int, default: np.ndarray) -> np.ndarray:
-    """For each distinct key the smallest number that came back, or the default."""
-    out, places = default.copy(), dict(keys.places(buckets))
+def received(keys: Keys, found: list[dict] | None, block: int, buckets: int, default: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    """For each distinct key the number that came back, or the default."""
+    out, places = default.copy(), dict(keys.places(buckets, hashes))
     for row in found or []:
         if row["block"] == block:
-            out[places[row["bucket"]][_unpacked(row["at"], "<u4")]] = _unpacked(row["smallest"], "<i8")
+            out[places[row["bucket"]][_unpacked(row["at"], "<u4")]] = _unpacked(row["told"], "<i8")
     return out
 
 
@@ -313,9 +321,10 @@ def _least_keys(number: int, piece: Piece, own: np.ndarray) -> tuple[Keys, np.nd
     return keys, runs, of
 
 
-def _suffixes(piece: Piece, own: np.ndarray, grams: Keys, runs: np.ndarray, of: np.ndarray, open_: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, Keys]]:
-    """(block, windows, their documents, the suffix array of their strings) of the windows in a piece's dictionary that can have an equal."""
-    kept = open_[grams.inverse]
+def _suffixes(piece: Piece, grams: Keys, runs: np.ndarray, of: np.ndarray, holders: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, Keys, np.ndarray]]:
+    """(block, windows, their documents, the suffix array of their strings, hashes that deal it out) of the windows in a piece's dictionary whose least gram others have too."""
+    kept = holders[grams.inverse] > 0
+    gram, spread = grams.hashes()[grams.inverse][kept], (holders > SPREAD)[grams.inverse][kept]
     low = np.maximum(piece.run_starts[runs[kept]], piece.first[of[kept]])
     after = np.append(piece.run_starts, np.int64(len(piece.bytes)))
     high = np.minimum(after[runs[kept] + 1], piece.last[of[kept]])
@@ -327,7 +336,9 @@ def _suffixes(piece: Piece, own: np.ndarray, grams: Keys, runs: np.ndarray, of:
         windows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[at:to], size)
         docs = np.repeat(piece.docs[of[kept][at:to]], size)
         strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(piece.bytes, WIDTH)[windows]).view(f"S{WIDTH}").ravel()
-        yield block, windows, docs, Keys(strings, docs)
+        keys = Keys(strings, docs)
+        run = np.repeat(np.arange(at, to), size)[keys.occurs]
+        yield block, windows, docs, keys, np.where(spread[run], keys.hashes(), gram[run])
         block, at = block + 1, to
 
 
@@ -342,7 +353,7 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
         rows = send(number, 0, piece.keys, buckets)
         return [rows] if rows else []
 
-    smallest = stored(elsewhere(_passed(pieces, [], phrases, SENT), "S16", False), "phrases")
+    smallest = stored(elsewhere(_passed(pieces, [], phrases, SENT), "S16"), "phrases")
 
     def dictionary(piece, found):
         return piece.dictionary(received(piece.keys, found, 0, buckets, piece.keys.least))
@@ -354,19 +365,17 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     shared = stored(elsewhere(_passed(pieces, [smallest], grams, SENT), "<u8", True), "grams")
 
     def sorted_suffixes(number, piece, found, common):
-        own = dictionary(piece, found)
-        keys, runs, of = _least_keys(number, piece, own)
-        none = np.full(len(keys.keys), np.iinfo(np.int64).min)
-        open_ = received(keys, common, 0, buckets, none) != none
-        return _suffixes(piece, own, keys, runs, of, open_)
+        keys, runs, of = _least_keys(number, piece, dictionary(piece, found))
+        holders = received(keys, common, 0, buckets, np.zeros(len(keys.keys), np.int64))
+        return _suffixes(piece, keys, runs, of, holders)
 
     def suffixes(number, piece, found, common):
-        for block, _, _, keys in sorted_suffixes(number, piece, found, common):
-            rows = send(number, block, keys, buckets)
+        for block, _, _, keys, hashes in sorted_suffixes(number, piece, found, common):
+            rows = send(number, block, keys, buckets, hashes)
             if rows:
                 yield rows
 
-    earlier = stored(elsewhere(_passed(pieces, [smallest, shared], suffixes, SENT), f"S{WIDTH}", False), "suffixes")
+    earlier = stored(elsewhere(_passed(pieces, [smallest, shared], suffixes, SENT), f"S{WIDTH}"), "suffixes")
     out = T.StructType([*struct(doc_id=LONG, n_bytes=LONG, n_removed=LONG, n_spans=LONG, kept_sha256=STRING).fields, T.StructField("spans", T.ArrayType(T.ArrayType(LONG)))])
 
     def judged(number, piece, found, common, before):
@@ -375,8 +384,8 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
         marked = np.zeros(n + 1, np.int8)
         for a, b in zip(*[x[piece.docs > least[piece.keys.inverse]].tolist() for x in (piece.first, piece.last)]):
             marked[a:b] = 1
-        for block, windows, ids, keys in sorted_suffixes(number, piece, found, common):
-            first = received(keys, before, block, buckets, keys.least)
+        for block, windows, ids, keys, hashes in sorted_suffixes(number, piece, found, common):
+            first = received(keys, before, block, buckets, keys.least, hashes)
             marked[windows[first[keys.inverse] < ids]] = 1
         # what one occurrence of a phrase has, the others in its document have too
         own = piece.dictionary(least)

@@ -66,7 +66,7 @@ def test_removed_bytes_equal_brute_force(spark, seed, monkeypatch):
 
 def test_blocks_and_chunks_make_no_difference(spark, monkeypatch):
     rows = corpus(4, "ab ", 40)
-    for name, value in (("BLOCK", 500), ("CHUNK", 700), ("TRIGGER", 40), ("PIECE", 4000)):
+    for name, value in (("BLOCK", 500), ("CHUNK", 700), ("TRIGGER", 40), ("PIECE", 4000), ("SPREAD", 2)):
         monkeypatch.setattr(prefixfree, name, value)
     monkeypatch.setattr(prefixfree, "_powers", [])
     assert got(prefixfree.repeated_passages(frame(spark, rows))) == brute(rows)
