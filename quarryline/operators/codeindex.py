@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline.functions import text as X
+from quarryline.operators.pyparse import parse
 
 # Folders that aren't indexed, files that start a program, imports that tell a framework.
 SKIPPED = (".git", ".venv", "venv", "node_modules", "dist", "build", "__pycache__", ".pytest_cache")
@@ -44,8 +45,6 @@ def parse_python(files: DataFrame) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        from quarryline.operators.pyparse import parse
-
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -121,6 +120,12 @@ def local_imports(parsed: DataFrame, modules_: DataFrame) -> DataFrame:
     return found.groupBy("path", "target_path").agg(F.array_sort(F.collect_set("imported_symbol")).alias("symbols"))
 
 
+def bound_symbols(parsed: DataFrame, modules_: DataFrame) -> DataFrame:
+    """path, target_path, symbol: names that a file's own from-imports bind for sure, with the one file that has them."""
+    rows = children(parsed, "bindings").select("path", "target", "symbol").distinct()
+    return resolve_imports(rows, modules_).where("paths = 1 AND imported_symbol = symbol AND target_path <> path").select("path", "target_path", "symbol").distinct()
+
+
 def frameworks(parsed: DataFrame) -> DataFrame:
     """framework, files: how many files import each known framework."""
     first = F.regexp_extract("value", "^([A-Za-z_0-9]+)", 1)
@@ -174,4 +179,7 @@ def repository_map(files: DataFrame) -> dict[str, DataFrame]:
         "runtime_files": named_files(files),
         "entrypoints": named_files(files, ENTRYPOINTS),
         "modules": own,
+        "bound": bound_symbols(parsed, own),
+        "names": children(parsed, "names"),
+        "imported": children(parsed, "imports"),
     }

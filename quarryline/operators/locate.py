@@ -1,6 +1,7 @@
-"""Candidate files of an issue: base scores from many signals, graph relations, and the constrained ranking.
+"""Candidate files of an issue: base scores from many signals, typed relations, the constrained ranking, and the symbol to show in each file.
 
-Issues and files meet on their repository, as every production file of it belongs to an issue's pool; symbols meet on shared terms. All tables carry repository.
+Every production file of a repository is in the pool of its issues, with the least score if nothing speaks for it. No pair of issues and files is made for that: a file
+enters where a signal's equi-join or a relation finds it, and the first files by path fill the list up. All tables carry repository.
 """
 
 from __future__ import annotations
@@ -9,112 +10,183 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
+from quarryline.operators import choice, content
 from quarryline.operators import graph as G
+from quarryline.operators import paths as R
 from quarryline.operators import positions as P
 from quarryline.operators import symbols as S
+from quarryline.operators.tables import stored
 
-AUXILIARY = ("docs", "docs_src", "examples", "scripts")
-SPECIFIC, MOST_CONTENT = 3, 1_000_000
+# Most files that a specific path word is in, the score of a production file, content words that are listed, lines and files that are blamed.
+SPECIFIC, PLAIN, LISTED, BLAME_LINES, BLAME_SEEDS = 3, 0.5, 8, 5, 2
 
 
-def file_table(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """repository, path, content, imports (lower-cased), auxiliary, path_terms, rare_terms: path terms of at most SPECIFIC files."""
-    parts = F.split("path", "/")
-    test = F.lower(F.element_at(parts, -1)).contains("test") | F.col("path").rlike("(?:^|/)tests?/")
-    rows = files.withColumns({"auxiliary": test | F.arrays_overlap(parts, F.array(*map(F.lit, AUXILIARY))), "path_terms": X.terms(F.col("path")), "language": X.language(F.col("path"))}).where("language IS NOT NULL")
-    rare = rows.select("repository", "path", F.explode("path_terms").alias("t")).withColumn("n", F.count("*").over(Window.partitionBy("repository", "t"))).where(F.col("n") <= SPECIFIC)
-    rare = rare.groupBy("repository", "path").agg(F.array_sort(F.collect_list("t")).alias("rare_terms"))
-    named = imports.groupBy("repository", "path").agg(F.array_sort(F.collect_set(F.lower("value"))).alias("imports"))
+def ending_alike(references: DataFrame, files: DataFrame) -> DataFrame:
+    """reference, path: one of the two, normalised, ends with the other. Met on all endings of four characters or more, which any source file's name has."""
+    endings = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 3)), lambda i: F.substring(c, i, F.length(c)))
+    asked = references.select("reference").distinct().withColumn("r", X.normalize_path(F.col("reference")))
+    held = files.select("path").distinct().withColumn("p", X.normalize_path(F.col("path")))
+    short = asked.join(held.select("path", F.explode(endings(F.col("p"))).alias("r")), "r")
+    long = asked.select("reference", F.explode(endings(F.col("r"))).alias("p")).join(held, "p")
+    return short.select("reference", "path").unionByName(long.select("reference", "path")).distinct()
+
+
+def file_signals(signals: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame:
+    """issue_id, path with exact_path and the sorted arrays path_identifiers, path_overlap, title_path and import_overlap: what issues share with paths and imports.
+
+    files: (repository, path), imports: (path, value), dotted names as written.
+    """
+    each = lambda c, name: signals.select("issue_id", "repository", F.explode(F.array_distinct(c)).alias(name))
+    named = files.select("repository", "path")
+    asked = each("paths", "reference")
+    exact = asked.join(ending_alike(asked, files), "reference").join(named, ["repository", "path"], "left_semi").select("issue_id", "path", F.lit("exact").alias("part"), F.lit("").alias("value"))
+    # words of paths
+    words = named.select("repository", "path", F.explode(X.terms(F.col("path"))).alias("word"))
+    rare = words.groupBy("repository", "word").agg(F.count("*").alias("n")).where(F.col("n") <= SPECIFIC).select("repository", "word")
+    overlap = each("terms", "word").join(words, ["repository", "word"]).select("issue_id", "path", F.lit("words").alias("part"), F.col("word").alias("value"))
+    title = each("primary_terms", "word").join(rare, ["repository", "word"], "left_semi").join(words, ["repository", "word"]).select("issue_id", "path", F.lit("title").alias("part"), F.col("word").alias("value"))
+    # identifiers within flat paths
+    flat = named.withColumn("text", F.regexp_replace(F.lower("path"), "[^a-z0-9]", ""))
+    spelled = each("primary_identifiers", "identifier").withColumn("needle", F.explode(X.compact_variants(F.col("identifier"))))
+    held = content.holding(spelled.select("needle").distinct(), flat.select("text").distinct())
+    identifiers = spelled.join(held, "needle").join(flat, ["repository", "text"]).select("issue_id", "path", F.lit("identifiers").alias("part"), F.col("identifier").alias("value"))
+    # words within imported names
+    texts = imports.select("path", F.lower("value").alias("text")).distinct()
+    needles = each("terms", "needle")
+    within = content.holding(needles.select("needle").distinct(), texts.select("text").distinct(), (2, 3, 4))
+    imported = needles.join(within, "needle").join(texts.join(named, "path"), ["repository", "text"]).select("issue_id", "path", F.lit("imports").alias("part"), F.col("needle").alias("value"))
+    rows = exact
+    for more in (overlap, title, identifiers, imported):
+        rows = rows.unionByName(more)
+    of = lambda part: F.array_sort(F.collect_set(F.when(F.col("part") == part, F.col("value"))))
+    return rows.groupBy("issue_id", "path").agg(F.bool_or(F.col("part") == "exact").alias("exact_path"), of("identifiers").alias("path_identifiers"), of("words").alias("path_overlap"), of("title").alias("title_path"), of("imports").alias("import_overlap"))
+
+
+def base_scores(found: DataFrame, hits: DataFrame, matched: DataFrame, marked: DataFrame) -> DataFrame:
+    """issue_id, file_id, score, auxiliary, protected, evidence, content_line of all files that a signal finds, if they score over 0.
+
+    found: file_signals(), hits: content_hits(), matched: choice.matches(), marked: paths.marks().
+    """
+    best = matched.groupBy("issue_id", "path").agg(F.max(F.struct(F.col("primary_match").alias("p"), F.col("local_match").alias("e"), F.size("local_overlap").alias("n"))).alias("b"))
+    rows = found.join(hits, ["issue_id", "path"], "full").join(best, ["issue_id", "path"], "full").join(marked.select("path", "auxiliary"), "path")
     none = F.array().cast("array<string>")
-    return rows.join(rare, ["repository", "path"], "left").join(named, ["repository", "path"], "left").withColumns({"rare_terms": F.coalesce("rare_terms", none), "imports": F.coalesce("imports", none)})
-
-
-def base_scores(signals: DataFrame, files: DataFrame, features: DataFrame) -> DataFrame:
-    """issue_id, file_id (path), score, auxiliary, protected and evidence parts of every file of an issue's pool (score over 0)."""
-    best = S.best(features.select("issue_id", "path", "primary_match", "exact_match", "local_overlap"), ["issue_id", "path"], [F.col("primary_match"), F.col("exact_match"), F.col("local_overlap")])
-    pairs = signals.join(files, "repository").join(best, ["issue_id", "path"], "left")
-    flat = F.regexp_replace(F.lower("path"), "[^a-z0-9]", "")
-    low = X.normalize_path(F.col("path"))
-    small = F.coalesce((F.length("content") <= MOST_CONTENT) & ~F.contains("content", F.lit("\x00")), F.lit(False))
-    text = F.when(small, F.coalesce("content", F.lit(""))).otherwise("")
-    lower = F.lower(text)
-    # an identifier stands in the source if no letter, digit or _ touches it
-    quote = lambda i: F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), i, F.lit(r"\E(?![\p{L}\p{N}_])"))
-    rows = pairs.withColumns({
-        "exact_path": F.exists("paths", lambda r: X.suffix_match(X.normalize_path(r), low)),
-        "path_identifiers": F.filter("primary_identifiers", lambda i: F.exists(X.compact_variants(i), lambda v: flat.contains(v))),
-        "path_overlap": F.array_intersect("terms", "path_terms"),
-        "title_path": F.array_intersect("primary_terms", "rare_terms"),
-        "import_overlap": F.filter("terms", lambda w: F.exists("imports", lambda i: i.contains(w))),
-        "content_identifiers": F.filter(F.array_union("explicit_identifiers", "primary_identifiers"), lambda i: (F.length(i) >= 3) & F.regexp_like(text, quote(i))),
-        "content_overlap": F.filter("content_terms", lambda w: (F.length(w) >= 4) & lower.contains(w)),
-        "primary_match": F.coalesce("primary_match", F.lit(False)),
-        "exact_match": F.coalesce("exact_match", F.lit(False)),
-    })
+    sets = ("path_identifiers", "path_overlap", "title_path", "import_overlap", "identifiers", "words")
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in sets})
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    primary, exact_symbol, exact_path = flag(F.col("b.p")), flag(F.col("b.e")), flag(F.col("exact_path"))
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     score = (
-        30.0 * one(F.col("exact_path"))
-        + 18.0 * one(F.col("primary_match"))
-        + 3.0 * one(F.col("exact_match") & ~F.col("primary_match"))
+        30.0 * one(exact_path)
+        + 18.0 * one(primary)
+        + 3.0 * one(exact_symbol & ~primary)
         + 5.0 * F.least(F.size("path_identifiers"), F.lit(2))
-        + 2.5 * F.coalesce("local_overlap", F.lit(0))
+        + 2.5 * F.coalesce("b.n", F.lit(0))
         + 4.0 * F.size("path_overlap")
         + 6.0 * F.size("title_path")
         + 0.7 * F.size("import_overlap")
-        + 3.0 * F.least(F.size("content_identifiers"), F.lit(4))
-        + 0.4 * F.least(F.size("content_overlap"), F.lit(8))
-        + F.when(F.col("auxiliary"), -2.0).otherwise(0.5)
+        + 3.0 * F.least(F.size("identifiers"), F.lit(4))
+        + 0.4 * F.least(F.size("words"), F.lit(8))
+        + F.when(F.col("auxiliary"), -2.0).otherwise(PLAIN)
     )
-    say = lambda words, c: F.when(F.size(c) > 0, F.concat(F.lit(words), F.array_join(F.array_sort(F.col(c)), ", ")))
+    say = lambda words, c: F.when(F.size(c) > 0, F.concat(F.lit(words), F.array_join(c, ", ")))
     evidence = F.array_compact(F.array(
-        F.when(F.col("exact_path"), "Issue references this exact source path"),
-        say("Path matches issue identifiers: ", "path_identifiers"),
-        say("Path matches issue terms: ", "path_overlap"),
-        say("Path matches issue title terms: ", "title_path"),
-        say("Imports match component terms: ", "import_overlap"),
-        say("Source contains issue identifiers: ", "content_identifiers"),
-        say("Source content matches issue terms: ", "content_overlap"),
+        F.when(exact_path, "Issue references this exact source path"),
+        say("Path matches issue identifiers: ", F.col("path_identifiers")),
+        say("Path matches issue terms: ", F.col("path_overlap")),
+        say("Path matches issue title terms: ", F.col("title_path")),
+        say("Imports match component terms: ", F.col("import_overlap")),
+        say("Source contains issue identifiers: ", F.col("identifiers")),
+        say("Source content matches issue terms: ", F.slice("words", 1, LISTED)),
     ))
-    guarded = F.col("exact_path") | (F.size("path_identifiers") > 0) | (F.size("title_path") > 0) | F.col("primary_match")
-    return rows.select("issue_id", "repository", F.col("path").alias("file_id"), score.alias("score"), "auxiliary", guarded.alias("protected"), evidence.alias("evidence")).where("score > 0")
+    guarded = exact_path | (F.size("path_identifiers") > 0) | (F.size("title_path") > 0) | primary
+    return rows.select("issue_id", F.col("path").alias("file_id"), F.round(score, 6).alias("score"), "auxiliary", guarded.alias("protected"), evidence.alias("evidence"), F.col("line").alias("content_line")).where("score > 0")
 
 
-def relations(scores: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
-    """All relations of the index tables (uses, external; one repository or paths that tell them apart) to an issue's pool."""
-    seeds = G.graph_seeds(scores)
-    calls = index["uses"].where("kind = 'call' AND caller IS NOT NULL").select(F.col("path").alias("file_id"), "caller", F.col("target_file").alias("target_file_id"), "target_symbol", "function_local")
-    external = index["external"].select(F.col("path").alias("file_id"), "target")
-    return G.one_hop(seeds, calls, scores).unionByName(G.two_hop(seeds, calls, scores)).unionByName(G.shared_calls(seeds, external, scores))
+def unscored(pairs: DataFrame, scores: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows of base_scores() for production files (issue_id, file_id) of the pool that no signal has found."""
+    code = marked.where("NOT auxiliary").select(F.col("path").alias("file_id"))
+    new = pairs.select("issue_id", "file_id").distinct().join(code, "file_id", "left_semi").join(scores, ["issue_id", "file_id"], "left_anti")
+    return new.select("issue_id", "file_id", F.lit(PLAIN).alias("score"), F.lit(False).alias("auxiliary"), F.lit(False).alias("protected"), F.array().cast("array<string>").alias("evidence"), F.lit(None).cast("int").alias("content_line"))
 
 
-def locate(signals: DataFrame, files: DataFrame, index: dict[str, DataFrame], limit: int = 20, commits: DataFrame | None = None, revisions: DataFrame | None = None) -> DataFrame:
-    """issue_id, rank, path, symbol, lines, confidence, evidence: the first limit files of each issue.
+def first_files(signals: DataFrame, files: DataFrame, marked: DataFrame, most: int) -> DataFrame:
+    """issue_id, file_id: the first production files of an issue's repository by path. Twice as many as are shown fill any list up."""
+    code = files.select("repository", "path").join(marked.where("NOT auxiliary"), "path", "left_semi")
+    early = code.withColumn("n", F.row_number().over(Window.partitionBy("repository").orderBy("path"))).where(F.col("n") <= most)
+    return signals.select("issue_id", "repository").join(early, "repository").select("issue_id", F.col("path").alias("file_id"))
 
-    Pool, features and relations are read several times and kept (memory, then disk) for the session's cleaner to drop.
 
-    signals: issue_signals(); files: (repository, path, content); index: repository_map() of the same paths; commits: (commit_ord, file_id) and
-    revisions: (revision, path, content) if there is a history.
+def blamed_lines(seeds: DataFrame, scores: DataFrame, matched: DataFrame, counts: DataFrame, unique: DataFrame, referenced: DataFrame, blamed: DataFrame) -> DataFrame:
+    """issue_id, file_id, commit_ord: commits (blamed: path, line, commit_ord) of the first lines of the symbol that words alone choose in the first seeds, or of the line with a name."""
+    plain = matched.withColumns({**{k: F.lit(None).cast("int") for k in choice.PLACES}, "title_strength": F.lit(0.0)})
+    few = seeds.where(F.col("seed") <= BLAME_SEEDS).select("issue_id", "file_id")
+    inside = plain.join(few.select("issue_id", F.col("file_id").alias("path")), ["issue_id", "path"], "left_semi")
+    related = inside.select("issue_id", "path", "identity").limit(0).withColumns({"callers": F.array().cast("array<string>"), "relation_score": F.lit(0).cast("long")})
+    chosen = choice.choose(choice.in_scope(inside, unique, referenced), counts, related).select("issue_id", F.col("path").alias("file_id"), "line", "end_line")
+    span = few.join(chosen, ["issue_id", "file_id"], "left").join(scores.select("issue_id", "file_id", "content_line"), ["issue_id", "file_id"])
+    span = span.select("issue_id", "file_id", F.coalesce("line", "content_line").alias("a"), F.when(F.col("line").isNotNull(), F.coalesce("end_line", "line")).otherwise(F.col("content_line")).alias("b"))
+    rows = blamed.withColumnRenamed("path", "file_id").join(span, "file_id").where(F.col("line").between(F.col("a"), F.least("b", F.col("a") + BLAME_LINES - 1)))
+    return rows.select("issue_id", "file_id", "commit_ord").distinct()
+
+
+def locate(
+    signals: DataFrame, files: DataFrame, index: dict[str, DataFrame], limit: int = 20, commits: DataFrame | None = None, revisions: DataFrame | None = None, blamed: DataFrame | None = None,
+) -> DataFrame:
+    """issue_id, rank, path, symbol, lines, confidence, evidence: the first limit files of each issue.
+
+    signals: issue_signals(); files: (repository, path, content); index: repository_map() of the same paths; commits: (commit_ord, file_id),
+    revisions: (revision, path, content) and blamed: (path, line, commit_ord) if there is a history. Tables that are read several times are stored.
     """
-    index = {k: v.persist() if k in ("symbols", "uses", "external", "imports") else v for k, v in index.items()}
-    signals = signals.persist()
-    symbols = index["symbols"].join(files.select("repository", "path"), "path")
-    features = S.symbol_features(signals.select("issue_id", "terms", "primary_identifiers", "identifiers", "explicit_identifiers", "mentions", "title_terms", "title_sequence"), symbols).persist()
-    imports = index["imports"].select("path", F.explode(F.array(F.col("target_path"))).alias("value")).join(files.select("repository", "path"), "path")
-    scores = base_scores(signals, file_table(files, imports), features).persist()
-    found = relations(scores, index)
+    signals = stored(signals, "signals")
+    index = {k: stored(v, k) if k in ("symbols", "uses", "external", "imports", "bound", "names", "files") else v for k, v in index.items()}
+    own = files.join(index["files"].select("path"), "path", "left_semi")
+    marked = stored(R.marks(index["files"]), "marks")
+    symbols, unique = index["symbols"], choice.unique_in_files(index["symbols"])
+    referenced = stored(R.referenced_paths(signals, files), "referenced")
+    places = P.all_positions(signals, files.select("path", "content"), symbols, revisions)
+    # symbols and issues meet within a repository
+    ours = symbols.join(own.select("path", "repository"), "path")
+    matched = choice.matches(signals, ours.drop("repository"), places).join(signals.select("issue_id", "repository"), "issue_id")
+    matched = stored(matched.join(own.select("path", "repository"), ["path", "repository"], "left_semi").drop("repository"), "matched")
+    imported = index["imported"].select("path", "value")
+    scores = stored(base_scores(file_signals(signals, own.select("repository", "path"), imported), content.content_hits(signals, own), matched, marked), "scores")
+    seeds = stored(G.graph_seeds(scores), "seeds")
+    found = R.relations(seeds, signals, index, marked, referenced).withColumn("text", R.evidence(F.col("kind"), F.col("via")))
     if commits is not None:
-        found = found.unionByName(G.history(G.graph_seeds(scores), commits, scores).withColumn("via", F.col("via").cast("string")))
-    found = found.persist()
-    final = G.final_scores(scores, G.relation_bonus(found)).persist()
+        changed = G.history(seeds, commits, None).join(marked.where("NOT auxiliary").select(F.col("path").alias("file_id")), "file_id", "left_semi")
+        text = F.concat(F.lit("Changed with lexical seed files in "), (F.col("bonus") - 5).cast("int").cast("string"), F.lit(" prior commits (latest "), F.col("via").cast("string"), F.lit(")"))
+        found = found.unionByName(changed.withColumn("via", F.col("via").cast("string")).withColumn("text", text).select(*found.columns))
+    # of the pool: production files, and auxiliary ones that score
+    pool = marked.where("NOT auxiliary").select(F.col("path").alias("file_id"), F.lit(True).alias("code"))
+    found = found.join(pool, "file_id", "left").join(scores.select("issue_id", "file_id", F.lit(True).alias("scored")), ["issue_id", "file_id"], "left").where("code OR scored").drop("code", "scored")
+    found = stored(found, "relations")
+    every = scores.unionByName(unscored(found.select("issue_id", "file_id").unionByName(first_files(signals, own, marked, 2 * limit)), scores, marked))
+    facades = found.where("kind = 'reexport'").select("issue_id", "file_id").distinct().withColumn("facade", F.lit(True))
+    every = every.join(facades, ["issue_id", "file_id"], "left").withColumn("protected", F.col("protected") | (F.coalesce("facade", F.lit(False)) & ~F.col("auxiliary"))).drop("facade")
+    final = stored(G.final_scores(every, G.relation_bonus(found)), "final")
     short = G.reserved(G.base_order(final), limit)
-    ranked = G.merged(G.banded(short), G.expansions(final, short), limit)
-    places = P.all_positions(signals, files.select("path", "content"), index["symbols"], revisions)
-    chosen = S.select_symbols(features, S.unique_names(index["symbols"].where("kind = 'function'")), places).select("issue_id", F.col("path").alias("file_id"), F.col("identity").alias("symbol"), "line")
-    spans = index["symbols"].select(F.col("path").alias("file_id"), F.col("qualified_name").alias("symbol"), "line", "end_line")
-    shown = found.groupBy("issue_id", "file_id").agg(F.slice(F.sort_array(F.collect_set(F.struct("bonus", "kind", "via")), asc=False), 1, 2).alias("r"))
-    out = ranked.join(final.select("issue_id", "file_id", "final", "evidence"), ["issue_id", "file_id"]).join(chosen, ["issue_id", "file_id"], "left").join(spans, ["file_id", "symbol", "line"], "left").join(shown, ["issue_id", "file_id"], "left")
-    told = F.coalesce(F.transform("r", lambda x: F.concat(x.kind, F.lit(" relation with "), x.via.cast("string"))), F.array().cast("array<string>"))
-    return out.select("issue_id", "rank", F.col("file_id").alias("path"), "symbol", F.when(F.col("line").isNotNull(), F.concat_ws("-", F.col("line").cast("string"), F.coalesce("end_line", "line").cast("string"))).alias("lines"), X.confidence(F.col("final")).alias("confidence"), F.concat("evidence", told).alias("evidence"))
+    ranked = stored(G.merged(G.banded(short), G.expansions(final, short), limit), "ranked")
+    # symbols once more: names may be unique among the files that are shown
+    shown = ranked.select("issue_id", F.col("file_id").alias("path"))
+    counts = choice.word_counts(symbols)
+    inside = matched.join(shown, ["issue_id", "path"], "left_semi")
+    told = choice.explained(choice.choose(choice.in_scope(inside, choice.unique_in_files(symbols, shown), referenced), counts, choice.callers(inside, index["uses"])))
+    calling = S.shared_callers(index["external"].select(F.col("path").alias("file_id"), "caller", "target"), found.where("kind = 'shared_call'").select("issue_id", "file_id", F.substring_index("via", " with ", 1).alias("target")).distinct())
+    spans = symbols.groupBy(F.col("path").alias("file_id"), F.coalesce("qualified_name", "name").alias("caller")).agg(F.min(F.struct("line", "end_line")).alias("at"))
+    calling = calling.join(spans, ["file_id", "caller"]).select("issue_id", "file_id", "caller", "at")
+    out = ranked.join(final.select("issue_id", "file_id", "final", "evidence", "content_line"), ["issue_id", "file_id"]).join(told.withColumnRenamed("path", "file_id"), ["issue_id", "file_id"], "left").join(calling, ["issue_id", "file_id"], "left")
+    out = out.join(G.displayed(found), ["issue_id", "file_id"], "left")
+    other = F.col("caller").isNotNull() & ~F.coalesce("pointed", F.lit(False)) & ~F.col("caller").eqNullSafe(F.col("identity"))
+    none = F.array().cast("array<string>")
+    out = out.withColumns({"symbol": F.when(other, F.col("caller")).otherwise(F.col("identity")), "a": F.when(other, F.col("at.line")).otherwise(F.col("line")), "b": F.when(other, F.col("at.end_line")).otherwise(F.col("end_line")), "said": F.when(other, none).otherwise(F.coalesce("said", none))})
+    evidence = F.concat("evidence", F.coalesce("shown", none), "said")
+    if blamed is not None and commits is not None:
+        lines = blamed_lines(seeds, scores, matched, counts, unique, referenced, blamed)
+        first = G.blame(lines, commits, None).join(marked.where("NOT auxiliary").select(F.col("path").alias("file_id")), "file_id", "left_semi").groupBy("issue_id", "file_id").agg(F.min("via").alias("blame"))
+        out = out.join(first, ["issue_id", "file_id"], "left")
+        evidence = F.concat(evidence, F.when(F.col("blame").isNotNull(), F.array(F.concat(F.lit("Blame-selected seed line changed with this file in prior commit "), F.col("blame").cast("string")))).otherwise(none))
+    at = F.when(F.col("a").isNotNull(), F.concat_ws("-", F.col("a").cast("string"), F.coalesce("b", "a").cast("string"))).when(F.col("content_line").isNotNull(), F.concat_ws("-", F.col("content_line").cast("string"), F.col("content_line").cast("string")))
+    return out.select("issue_id", "rank", F.col("file_id").alias("path"), "symbol", at.alias("lines"), X.confidence(F.col("final")).alias("confidence"), evidence.alias("evidence"))
 
 
 #: What is said where no file is found.

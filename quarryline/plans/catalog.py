@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarryline.plans import audits, code, graphs, operations, pointers, retrieval, textual, triage
+from quarryline.plans import audits, code, graphs, location, operations, pointers, retrieval, textual, triage
 
-_PARTS = (triage, retrieval, textual, graphs, audits, operations, code, pointers)
+_PARTS = (triage, retrieval, textual, graphs, audits, operations, code, pointers, location)
 
 
 def queries() -> dict:

@@ -47,7 +47,8 @@ def test_the_named_file_comes_first(found):
     assert first.path == "src/demo/parser.py" and first.symbol == "parse_header" and first.lines == "3-5"
     assert "Issue references this exact source path" in first.evidence
     rank = {r.path: r["rank"] for r in found.where("issue_id = 1").collect()}
-    assert rank["src/demo/util.py"] == 20  # by its relation, from outside the shortlist
+    assert rank["src/demo/util.py"] == 10  # from outside the shortlist: the strong chain server -> parse_header -> clean takes the first band's last place
+    assert "Two-hop source call chain via parse_header reaches clean, defined here: src/demo/parser.py" in found.where("issue_id = 1 AND rank = 10").first().evidence
     assert rank["src/demo/server.py"] < 10
 
 
