@@ -5,8 +5,9 @@ longest wins. Urls without a rule are judged by their host. Host edges are the a
 the pages to other hosts, as many as there are, and one from each host to the domain it is part of (not to a public suffix). Hosts are seeds
 of trust by the share of their pages that rules allow, and of distrust by the share that rules block. Personalised
 PageRank carries trust along the edges and distrust against them (who links to blocked hosts is suspect) with DAMPING, until no further host is reached and
-three rounds add TOLERANCE of the mass at most;
-what reaches a host without edges stops there. A host is blocked where its distrust is over RATIO times its trust.
+three rounds add to no host more than TOLERANCE of what it has;
+what reaches a host without edges stops there. A host is blocked where its distrust is over RATIO times its trust and MARGIN of that, as sums differ in their last digits from run to run.
+Both rules compare a host's values with each other, so neither depends on how many hosts share the ranks.
 
 Null urls and urls without :// have empty host and path, no rule, and are allowed. Each row of pages is judged, repeated ones
 alike. Very long pages are searched for links whole; an empty table gives an empty result; columns besides page_id, url and html are not read. Without any rule that fits all is allowed. The graph has one row for each pair of hosts; counts are combined before the shuffle.
@@ -29,7 +30,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 #: ROUNDS are those of OP2_SQL; propagate() has no fixed number.
-ROUNDS, DAMPING, RATIO, TOLERANCE, DIGITS = 10, 0.85, 1.0, 1e-10, 12
+ROUNDS, DAMPING, RATIO, TOLERANCE, MARGIN = 10, 0.85, 1.0, 1e-9, 1e-7
 LINK = r"""(?i)href\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
 
 
@@ -67,21 +68,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     steps = stored(both.join(out, ["kind", "src"]).select(F.col("kind").alias("way"), "src", "dst", (F.lit(damping) * F.col("n") / F.col("all")).alias("p")), "steps")
     start = seeds.selectExpr("stack(2, 'trust', trust, 'distrust', distrust) AS (kind, value)", "host").where("value > 0")
     start = stored(start.select("kind", "host", ((1 - damping) * F.col("value")).alias("value")), "seeds")
-    # values only grow from round to round, so their sum tells how much one adds
-    held = lambda ranks: tuple(ranks.agg(F.count("*"), F.coalesce(F.sum("value"), F.lit(0.0))).first())
-    now, before = start, held(start)
-    while before[0]:
+    # values only grow from round to round; a host that is reached first has grown by all it has
+    growth = lambda ranks, old: ranks.join(old.select("kind", "host", F.col("value").alias("old")), ["kind", "host"], "left").agg(F.max(1 - F.coalesce("old", F.lit(0.0)) / F.col("value"))).first()[0] or 0.0
+    now, grown = start, 1.0
+    while grown > tolerance:
         last = now
         for _ in range(3):  # a lost executor costs three rounds at most
             sent = now.join(steps, F.expr("kind = way AND host = src")).select("kind", F.col("dst").alias("host"), (F.col("value") * F.col("p")).alias("value"))
             now = sent.unionByName(start).groupBy("kind", "host").agg(F.sum("value").alias("value"))
         now = stored(now, "ranks")
-        after = held(now)
+        grown = growth(now, last)
         if last is not start:
             discard(last)
-        if after[0] == before[0] and after[1] - before[1] <= tolerance:
-            break
-        before = after
     value = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("value")).otherwise(0.0))
     return now.groupBy("host").agg(value("trust").alias("trust"), value("distrust").alias("distrust"))
 
@@ -97,9 +95,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     seeds = shares.select("host", (F.col("t") / (t or 1.0)).alias("trust"), (F.col("d") / (d or 1.0)).alias("distrust"))
     # far fewer than the pages
     ranks = propagate(stored(host_edges(parsed), "edges"), seeds)
-    # sums differ in their last digits from run to run, so equal ones are rounded to be equal
-    level = lambda c: F.round(F.coalesce(c, F.lit(0.0)), DIGITS)
-    judged = stored(hosts.select("host", "n").join(ranks, "host", "left").select("host", "n", (level("distrust") > RATIO * level("trust")).alias("blocked")), "judged")
+    level = lambda c: F.coalesce(c, F.lit(0.0))
+    judged = stored(hosts.select("host", "n").join(ranks, "host", "left").select("host", "n", (level("distrust") > RATIO * (1 + MARGIN) * level("trust")).alias("blocked")), "judged")
     found = lookup(ruled.drop("html"), judged, ["host"], "n")
     return found.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
 
@@ -124,7 +121,7 @@ r0 AS (SELECT 't' AS kind, host, {1 - DAMPING} * t / (SELECT sum(t) FROM s) AS v
     rounds = "".join(f",\nr{k} AS MATERIALIZED (SELECT kind, host, sum(v) AS v FROM (SELECT w.kind, w.dst AS host, r{k - 1}.v * w.p AS v FROM r{k - 1} JOIN w ON w.kind = r{k - 1}.kind AND w.src = r{k - 1}.host UNION ALL SELECT * FROM r0) GROUP BY ALL)" for k in range(1, ROUNDS + 1))
     return f"""{head}{rounds},
 h AS (SELECT host, sum(CASE WHEN kind = 't' THEN v ELSE 0 END) AS t, sum(CASE WHEN kind = 'd' THEN v ELSE 0 END) AS d FROM r{ROUNDS} GROUP BY host)
-SELECT page_id, r.host, path, split_part(hit, ':', 1) AS rule, coalesce(split_part(hit, ':', 2), CASE WHEN round(coalesce(h.d, 0), {DIGITS}) > {RATIO} * round(coalesce(h.t, 0), {DIGITS}) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, r.host, path, split_part(hit, ':', 1) AS rule, coalesce(split_part(hit, ':', 2), CASE WHEN coalesce(h.d, 0) > {RATIO * (1 + MARGIN)} * coalesce(h.t, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN h USING (host)"""
 
 

@@ -14,6 +14,18 @@ def test_distrust_goes_up_a_long_chain(spark, hosts):
     assert got == {i: "block" for i in range(hosts + 1)} | {1000: "block", 1001: "allow", 1002: "allow"}
 
 
+@pytest.mark.parametrize("others", [10, 2_500_000])
+def test_verdicts_do_not_depend_on_how_many_hosts_share_the_ranks(spark, others):
+    # one of `others` equal shares of distrust reaches 30,000 linkers, one of which is as much trusted
+    linkers = 30_000
+    edges = spark.range(linkers).selectExpr("concat('l', id) AS src", "'bad' AS dst", "1L AS n").unionByName(spark.createDataFrame([("good", "l0", 1)], "src string, dst string, n long"))
+    share = 1.0 / others
+    seeds = spark.createDataFrame([("bad", 0.0, share), ("rest", 0.0, 1 - share), ("good", 100 * share / linkers, 0.0), ("far", 1 - 100 * share / linkers, 0.0)], "host string, trust double, distrust double")
+    ranks = {r.host: (r.trust, r.distrust) for r in linkgraph.propagate(edges, seeds).collect()}
+    blocked = {h for h, (t, d) in ranks.items() if d > linkgraph.RATIO * (1 + linkgraph.MARGIN) * t}
+    assert blocked == {f"l{i}" for i in range(1, linkers)} | {"bad", "rest"}
+
+
 def test_ranks_of_a_cycle_reach_the_limit(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
     seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
