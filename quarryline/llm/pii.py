@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 _AT = re.compile(r"(?i)\s?(?:@|\(at\)|\[at\]|\{at\}|(?<=[\w])\sat(?=\s))\s?")
-_HOSTLIKE = re.compile(r"(?i)[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot(?=\s))\s?[A-Za-z0-9-]{1,63}){0,6}")
+_HOSTLIKE = re.compile(r"(?i)[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot(?=\s))\s?[A-Za-z0-9-]{1,63})*")
 _GENERATORS = (
     ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|\[dot\]|,|\s\.\s)[0-9]{1,3}){3}(?![\w])")),
     ("card", re.compile(r"(?<![\w.])[0-9](?:[ ./_-]{0,2}[0-9]){12,18}(?![\w])")),
@@ -94,11 +94,11 @@ _GENERATORS = (
     ("id", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", re.compile(r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\w])")),
 )
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,200}+={0,2}(?![A-Za-z0-9+/_-])")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_-])")
 _SIX = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})?(?![\w:])|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:)*:(?:[0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4}(?![\w:])")
 _SIGN = re.compile("[=:]")
 _NAMED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|(?:api|access|auth|private|client|secret|signing)[ _-]?(?:key|id|secret)?|bearer|kennwort|passwort|contraseña|mot de passe|clave)[\"'\]]{0,2}\s{0,2}$")
-_VALUE = re.compile(r"[=>]?\s{0,2}(?:[Bb]earer )?([\"'`]?)([^\s\"'`<>,;]{6,200})")
+_VALUE = re.compile(r"[=>]?\s{0,2}(?:[Bb]earer )?([\"'`]?)([^\s\"'`<>,;]{6,})")
 _BLOCK = "-----BEGIN "
 
 
@@ -124,9 +124,9 @@ def candidates(text: str) -> list[Span]:
             out.append(("secret", v.start(2), v.start(2) + len(v[2].rstrip(".)]}"))))
     if text.count(":") > 1:
         out += [("ip", *m.span()) for m in _SIX.finditer(text) if m[0].count(":") > 1 and _DIGIT.search(m[0])]
-    at = text.find(_BLOCK)
-    while at >= 0:
-        end = text.find("-----END ", at, at + 20_000)
+    at, end = text.find(_BLOCK), 0
+    while at >= 0 and end >= 0:
+        end = end if end > at else text.find("-----END ", at)
         close = text.find("-----", end + 9, end + 100) if end >= 0 else -1
         if "PRIVATE KEY" in text[at : at + 60] and close >= 0:
             out.append(("secret", at, close + 5))

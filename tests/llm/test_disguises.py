@@ -73,3 +73,29 @@ def test_many_spans_are_chosen_in_linear_time(spark):
         model.more(text, [])
         took.append(time.process_time() - began)
     assert took[1] < 20 * took[0]
+
+
+@pytest.mark.parametrize("n", [300, 2_000, 50_000])
+def test_long_values_are_proposed_whole(n):
+    value = ("a1B2c3D4e5" * (n // 10 + 1))[:n]
+    text = f"x api_key = {value} y"
+    at = text.index(value)
+    assert ("secret", at, at + n) in pii.candidates(text)
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIE\n" * (n // 5) + "-----END RSA PRIVATE KEY-----"
+    assert ("secret", 2, 2 + len(key)) in pii.candidates(f"a {key} b")
+    host = ".".join(["mail"] * (n // 5)) + ".org"
+    text = f"write bob (at) {host} now"
+    assert any(kind == "email" and b == text.index(host) + len(host) for kind, _, b in pii.candidates(text))
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    def took(n):
+        text = "-----BEGIN PRIVATE KEY-----\n" * n + "token = " + "aB3" * n + " x@" + "y." * n + " at " * n
+        began = time.perf_counter()
+        pii.candidates(text)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(16_000) < 40 * max(took(1_000), 0.01)
