@@ -4,13 +4,12 @@ Target of a source: all words are shared by weight (1, 2, 3, repeating, over the
 point, null last); a source that would get over EPOCHS times its words gets just that, and the excess goes
 to the others by weight until none is above.
 
-Blocks: the mix is cut in blocks of equal words (2048, or fewer so that there are at least
-BLOCKS of them). Blocks go one by one to the source with the highest quotient target / (2k - 1); the
+Blocks: the mix is cut in blocks of BLOCK_WORDS words. Blocks go one by one to the source with the highest quotient target / (2k - 1); the
 result is found from the rounded shares and a few quotients around them (apportion). A source's words lie in
 shards of about equal size, dealt by a seeded hash of doc_id and text, and its blocks are apportioned
-to the shards in the same way, which gives each an integer quota. In a shard the documents stand in seeded order; its quota takes
-whole rounds of the shard and then the first blocks of that order. The word interval of a document in
-that order says how many of its words the rest takes, so no document gives over EPOCHS times its size.
+to the shards in the same way, which gives each an integer quota. In a shard the documents stand in seeded order, and their words in a line that is cut in blocks; its quota takes
+whole rounds of the shard, and for the rest a seeded selection of blocks: of n blocks r, evenly spaced from a seeded place on (block b is selected where (b * r + place) DIV n
+steps up). The word interval of a document in that line says how many of its words lie in selected blocks, so no document gives over EPOCHS times its size.
 
 The result depends on ids, texts and seed alone, not on partitions. Null and empty texts have size 0 and
 give nothing. Rows of one doc_id (or none) and one text share a place in the order; repeated rows are documents of their own.
@@ -26,9 +25,9 @@ from quarryline.llm.common import stored, table
 from quarryline.llm.sqltext import n_words
 
 WEIGHTS, EPOCHS, SEED = (1, 2, 3), 3, 20_240_607
-BLOCK_WORDS, BLOCKS = 2048, 100_000
-#: Words of a shard: few enough to sort in a task, with at most SHARDS shards of average size.
-SHARD_WORDS, SHARDS = 250_000, 1_000_000
+BLOCK_WORDS = 8
+#: Words of a shard: few enough to sort in a task.
+SHARD_WORDS = 500_000
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -86,28 +85,36 @@ def _shard():
     return F.pmod(F.xxhash64("order"), "shards")
 
 
-def _placed(docs: DataFrame, seed: int, block_words: int | None) -> tuple[DataFrame, DataFrame]:
-    """Every row of docs with its place in the mix (doc_id, size, key, shard, order, source_size, target, rounds, rest), and the sources (key, shards)."""
+def _selected(at: str, block: int) -> str:
+    """Words in selected blocks among the first `at` words of a shard: SQL over chosen, blocks and place."""
+    steps = lambda b: f"(({b}) * chosen + place) DIV blocks"
+    first = f"({at}) DIV {block}"
+    return f"({block} * ({steps(first)}) + (({at}) % {block}) * ({steps(first + ' + 1')} - {steps(first)}))"
+
+
+def _placed(docs: DataFrame, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Every row of docs with its place in the mix, and the sources (key, shards). The place: doc_id, size, key, shard, order, source_size, target, rounds (whole ones of the shard), rest
+    (the document's words in selected blocks) and first (its words among as many first words of the shard's line)."""
     sized = stored(docs.select("doc_id", "source", _key().alias("key"), n_words(F.col("text")).alias("size"), _order(seed).alias("order")), "sizes")
     sources = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goals = stored(targets(sources).withColumn("key", _key()), "targets")
     total = goals.agg(F.sum("source_size")).first()[0] or 0
-    block = block_words or max(1, min(BLOCK_WORDS, total // BLOCKS))
-    room = max(SHARD_WORDS, -(-total // SHARDS))
     quotas = apportion(goals.withColumn("all", F.lit(0)).withColumn("seats", F.lit(total // block)), ["all"], ["key"], "target", "seats")
-    quotas = stored(quotas.select("key", "source_size", "target", F.col("quota").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / room)).alias("shards")), "quotas")
+    quotas = stored(quotas.select("key", "source_size", "target", F.col("quota").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).alias("shards")), "quotas")
     dealt = sized.join(quotas.select("key", "shards"), "key").withColumn("shard", _shard()).drop("shards", "source")
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size")).join(quotas, "key")
     shards = apportion(shards, ["key"], ["shard"], "shard_size", "blocks")
     shards = shards.select("key", "shard", "shard_size", "source_size", "target", F.least(F.col("quota") * block, EPOCHS * F.col("shard_size")).alias("words"))
+    shards = shards.where("shard_size > 0").withColumns({"rounds": F.expr("words DIV shard_size"), "over": F.expr("words % shard_size"), "blocks": F.ceil(F.col("shard_size") / block)})
+    shards = shards.withColumns({"chosen": F.least("blocks", F.floor(F.col("over") / block + 0.5)), "place": F.pmod(F.xxhash64(F.lit(seed), "key", "shard"), "blocks")})
     line = Window.partitionBy("key", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.withColumn("end", F.sum("size").over(line)).join(shards, ["key", "shard"])
-    rest = F.expr("CASE WHEN shard_size = 0 THEN 0 ELSE least(greatest(words % shard_size - (end - size), 0), size) END")
-    rounds = F.expr("CASE WHEN shard_size = 0 THEN 0 ELSE words DIV shard_size END")
-    return placed.select("doc_id", "size", "key", "shard", "order", "source_size", "target", rounds.alias("rounds"), rest.alias("rest")), quotas.select("key", "shards")
+    placed = dealt.withColumn("end", F.sum("size").over(line)).join(shards.drop("source_size", "target"), ["key", "shard"], "left").join(quotas.select("key", "source_size", "target"), "key")
+    rest = F.expr(f"coalesce({_selected('end', block)} - {_selected('end - size', block)}, 0)")
+    first = F.expr("coalesce(least(greatest(over - (end - size), 0), size), 0)")
+    return placed.select("doc_id", "size", "key", "shard", "order", "source_size", "target", F.coalesce("rounds", F.lit(0)).alias("rounds"), rest.alias("rest"), first.alias("first")), quotas.select("key", "shards")
 
 
-def mix(docs: DataFrame, seed: int = SEED, block_words: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of docs (doc_id, source, text)."""
     placed, _ = _placed(docs, seed, block_words)
     return placed.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("rest")).alias("taken"))
@@ -116,12 +123,12 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int | None = None) -> Da
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Whole rows of docs, all their columns, each as often as the mix takes its words (to the nearest whole number, halves up).
 
-    In a shard the mix takes all documents the same number of rounds and then a first part of the seeded order, so a count and the last place taken
+    Whole documents can't be taken in blocks, so here the rest of a shard's quota is a first part of its seeded order: the number of rounds and the last place taken
     for each shard say it all, and the documents meet that short table instead of one as long as theirs. Documents with one place in the order go
     together, and empty ones go with their place.
     """
-    placed, sources = _placed(docs, seed, None)
-    last = F.max(F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), F.col("order")))
+    placed, sources = _placed(docs, seed, BLOCK_WORDS)
+    last = F.max(F.when((F.col("first") > 0) & (2 * F.col("first") >= F.col("size")), F.col("order")))
     cuts = stored(placed.groupBy("key", "shard").agg(F.max("rounds").alias("rounds"), last.alias("last")), "cuts")
     own = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.select("*", _key(), _order(seed)).toDF(*own, "key", "order").join(sources, "key").withColumn("shard", _shard()).join(cuts, ["key", "shard"])
