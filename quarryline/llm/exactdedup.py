@@ -7,12 +7,11 @@ prefix is the sum of those below it, all splits within WIDTHS[0] bits are found
 the places that are overfull there are counted again by more bits, up to the whole key. Nothing ends the doubling but the
 key itself: texts of one key are one bucket and one chain, however many they are.
 
-What is dealt to the owners of buckets, by ranges of (bucket, key), is one entry for each key and SHA-256, with
-the count and the largest doc_id of its rows: 100 bytes, not the text. Entries of a key follow each other in
-its chain. Bytes are compared wherever an entry has more than one row: the texts of these alone are fetched, and each
-entry's least and greatest text must be the same bytes (copies are reduced to two texts in the task that reads them,
-so a large group sends no more than that). An entry of different texts is replaced by one for each of them. Directory and
-buckets are Parquet in the shared folder; documents get their group from the buckets.
+What is dealt to the owners of buckets, by ranges of (bucket, key), is up to SPLIT entries for each key and SHA-256, with
+the count and the largest doc_id of some of its rows: 100 bytes each, not the text. The owner puts the entries of a key in its chain and those of one text together; groups and the row that stays
+come from there, and each row finds them through the directory, its bucket and the chain. Bytes are compared wherever a text of a chain has more than one row: the texts of these alone are fetched, and their
+least and greatest must be the same bytes (copies are reduced to two texts in the task that reads them). For that join Spark exchanges the texts of all rows, unless the keys that it asks for are short
+enough to broadcast. A text that is several is replaced by one for each of them. Directory and buckets are Parquet in the shared folder.
 
 The row with the largest doc_id stays. Null ids count as less than all others; a group of null ids alone has
 keep_id null and keeps its rows. Rows that repeat the doc_id and text are one document and are marked alike.
@@ -32,6 +31,8 @@ from quarryline.llm.sqltext import SQL_FOLD, fold
 
 BUCKET_BYTES, ENTRY_BYTES = 1 << 20, 128
 CAPACITY = BUCKET_BYTES // ENTRY_BYTES
+#: Entries that the rows of one text are first counted in.
+SPLIT = 16
 #: Leading bits of a key that the directory's levels look at.
 WIDTHS = (16, 24, 32, 40, 48, 56, 64)
 
@@ -62,27 +63,39 @@ def _leading(width: int) -> Column:
     return F.shiftrightunsigned("key", 64 - width)
 
 
+def _placed(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """rows (key and more) with bucket and depth, from the directory's levels; places of a level that are few are broadcast, which those of the first always are."""
+    left, found, own = rows, None, rows.columns
+    for width, n in sorted((r.width, r["count"]) for r in places.groupBy("width").count().collect()):
+        level = places.where(F.col("width") == width).select("place", "depth", "deeper")
+        met = left.withColumn("place", _leading(width)).join(F.broadcast(level) if n <= 1 << WIDTHS[0] else level, "place")
+        bucket = F.expr("CASE WHEN depth = 0 THEN 0 ELSE shiftleft(shiftrightunsigned(key, 64 - depth), 64 - depth) END")
+        here = met.where("NOT deeper").select(*own, "depth", bucket.alias("bucket"))
+        found = here if found is None else found.unionByName(here)
+        left = met.where("deeper").select(*own)
+    return rows.withColumns({"depth": F.lit(0), "bucket": F.lit(0).cast("long")}) if found is None else found
+
+
 def build_index(entries: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
-    """Write directory and buckets of entries (key, text_sha256, part, keep_id, group_size: one for each text) and return the buckets, with bucket (its smallest key), depth and chain."""
+    """Write directory and buckets of entries (key, text_sha256, part, keep_id, group_size: some of a text's rows each) and return the buckets, with bucket (its smallest key), depth and chain.
+
+    The owner of a key range puts the entries of one text together: their rows are counted there, and the row that stays is found there.
+    """
     spark = entries.sparkSession
     directory(entries.select("key"), capacity).write.parquet(f"{folder}/directory")
-    places = spark.read.parquet(f"{folder}/directory")
-    left, placed = entries, None
-    for (width,) in sorted(places.select("width").distinct().collect()):
-        own = places.where(F.col("width") == width).select("place", "depth", "deeper")
-        met = left.withColumn("place", _leading(width)).join(own, "place")
-        here = met.where("NOT deeper").withColumn("bucket", F.expr("CASE WHEN depth = 0 THEN 0 ELSE shiftleft(shiftrightunsigned(key, 64 - depth), 64 - depth) END"))
-        here = here.drop("place", "deeper")
-        placed = here if placed is None else placed.unionByName(here)
-        left = met.where("deeper").select(*entries.columns)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if placed is None:
-        placed = entries.withColumns({"depth": F.lit(0), "bucket": F.lit(0).cast("long")})
+    owned = _placed(entries, spark.read.parquet(f"{folder}/directory")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "key")
+    # owners have all of a bucket's key, so this moves nothing further
+    texts = owned.groupBy("bucket", "key", "depth", "text_sha256", "part").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").cast("long").alias("group_size"))
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256", "part"))
-    placed.repartitionByRange(n, "bucket", "key").withColumn("chain", chain).sortWithinPartitions("bucket", "key", "chain").write.parquet(f"{folder}/buckets")
+    texts.withColumn("chain", chain).write.parquet(f"{folder}/buckets")
     return spark.read.parquet(f"{folder}/buckets")
 
 
+def _entries(rows: DataFrame, part: Column) -> DataFrame:
+    """Entries of rows (doc_id, key, text_sha256): up to SPLIT of them for a text, so that no task counts a large group alone."""
+    return rows.groupBy("key", "text_sha256", part.alias("part"), F.pmod(F.hash("doc_id"), F.lit(SPLIT)).alias("_split")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("_split")
+
+
 def exact_groups(
     docs: DataFrame, text: str = "text", folder: str | None = None, capacity: int = CAPACITY,
     key: Callable[[Column], Column] = F.xxhash64, digest: Callable[[Column], Column] = lambda t: F.sha2(t, 256),
@@ -91,30 +104,32 @@ def exact_groups(
 
     key and digest only say where texts lie; groups are right for any function of the text.
     """
+    spark, on = docs.sparkSession, ["key", "text_sha256"]
     norm = docs.select("doc_id", fold(F.coalesce(F.col(text), F.lit(""))).alias("norm"))
     named = norm.select("doc_id", key(F.col("norm")).alias("key"), digest(F.col("norm")).alias("text_sha256"), "norm")
-    rows = stored(named.drop("norm"), "rows")
-    counted = [F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")]
-    entries = stored(rows.groupBy("key", "text_sha256").agg(*counted), "entries")
-    # bytes are compared where an entry has several rows
-    several = entries.where("group_size > 1").select("key", "text_sha256")
-    fetched = named.select("key", "text_sha256", "norm").join(several, ["key", "text_sha256"], "left_semi")
-    differ = fetched.groupBy("key", "text_sha256").agg((F.min("norm") < F.max("norm")).alias("differ")).where("differ").select("key", "text_sha256")
-    differ = stored(differ, "differ")
-    whole = entries.withColumn("part", F.lit(None).cast("string"))
-    mixed = not differ.isEmpty()
-    if mixed:
-        apart = named.join(differ, ["key", "text_sha256"]).groupBy("key", "text_sha256", F.col("norm").alias("part")).agg(*counted)
-        whole = whole.join(differ, ["key", "text_sha256"], "left_anti").unionByName(apart)
-    buckets = build_index(whole, folder or new_path(docs.sparkSession, "exact"), capacity)
-    hits = lambda rows, on: lookup(rows, buckets.select(*on, "keep_id", "group_size"), on, "group_size")
-    if mixed:
-        one = buckets.where("part IS NULL")
-        found = lookup(rows.join(differ, ["key", "text_sha256"], "left_anti"), one.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"], "group_size").select("doc_id", "text_sha256", "keep_id", "group_size")
-        more = lookup(named.join(differ, ["key", "text_sha256"], "left_semi").withColumnRenamed("norm", "part"), buckets.where("part IS NOT NULL").select("key", "text_sha256", "part", "keep_id", "group_size"), ["key", "text_sha256", "part"], "group_size")
-        found = found.unionByName(more.select(*found.columns))
+    rows, none = stored(named.drop("norm"), "rows"), F.lit(None).cast("string")
+    folder = folder or new_path(spark, "exact")
+    entries = stored(_entries(rows, none), "entries")
+    buckets = build_index(entries, f"{folder}/digests", capacity)
+    # bytes are compared in chains whose texts have several rows
+    several = buckets.where("group_size > 1").select(*on)
+    fetched = named.select(*on, "norm").join(several, on, "left_semi")
+    differ = stored(fetched.groupBy(*on).agg((F.min("norm") < F.max("norm")).alias("differ")).where("differ").select(*on), "differ")
+    at = f"{folder}/digests"
+    if not differ.isEmpty():
+        # what differs is one text of the chain for each of its texts
+        apart = _entries(named.join(differ, on, "left_semi"), F.col("norm"))
+        at = f"{folder}/texts"
+        buckets = build_index(entries.join(differ, on, "left_anti").unionByName(apart), at, capacity)
+        alike = rows.join(differ, on, "left_anti").withColumn("part", none)
+        rows = alike.unionByName(named.join(differ, on, "left_semi").select(*rows.columns, F.col("norm").alias("part")))
     else:
-        found = hits(rows, ["key", "text_sha256"])
+        rows = rows.withColumn("part", none)
+    # every row goes through the directory to its bucket and there down the chain
+    part = F.coalesce("part", F.lit("")).alias("_part")
+    asked = _placed(rows, spark.read.parquet(f"{at}/directory")).select("doc_id", "bucket", *on, part, F.col("part").isNull().alias("_whole"))
+    chains = buckets.select("bucket", *on, part, F.col("part").isNull().alias("_whole"), "keep_id", "group_size")
+    found = lookup(asked, chains, ["bucket", *on, "_part", "_whole"], "group_size")
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -45,6 +46,26 @@ def test_exact_groups_match_brute_force(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_groups_come_from_the_index(spark, monkeypatch):
+    copies = make_docs(spark, [(i, "same text", "a") for i in range(60)] + [(100, "Same text", "b"), (101, "other", "b")])
+    (got,) = {(r.keep_id, r.group_size) for r in exactdedup.exact_groups(copies).where("doc_id < 100").collect()}
+    assert got == (100, 61)
+    # entries hold some of a text's rows each: without the owners' chains no group is whole
+    real = exactdedup.build_index
+    seen = []
+
+    def spy(entries, folder, capacity):
+        seen.append(max(r["group_size"] for r in entries.collect()))
+        return real(entries, folder, capacity)
+
+    monkeypatch.setattr(exactdedup, "build_index", spy)
+    exactdedup.exact_groups(copies).collect()
+    assert seen and max(seen) < 61
+    monkeypatch.setattr(exactdedup, "build_index", lambda entries, folder, capacity: entries)
+    with pytest.raises(Exception):
+        exactdedup.exact_groups(copies).collect()
+
+
 def test_index_splits_overfull_buckets(spark, tmp_path):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("text_sha256"), F.col("id").alias("keep_id"), F.lit(1).alias("group_size"), F.lit(None).cast("string").alias("part"))
     collided = keys.limit(3).withColumn("key", F.lit(7).cast("long")).withColumn("text_sha256", F.concat(F.lit("z"), "text_sha256"))
@@ -187,6 +208,41 @@ def test_mix_reaches_targets(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_taken_words_equal_blocks_selected_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1 << 40)  # a source is one shard
+    rng = random.Random(11)
+    rows = [(i, " ".join("w" * rng.randrange(0, 90)), rng.choice(["a", "b", "b", "b", "c", "d", None])) for i in range(160)] + [(500, None, "e"), (501, "x", "f")]
+    df = make_docs(spark, rows)
+    block = mixing.BLOCK_WORDS
+    place = {r.doc_id: r for r in df.select("doc_id", mixing._order(mixing.SEED).alias("o"), F.xxhash64(F.lit(mixing.SEED), mixing._key(), F.lit(0).cast("long")).alias("h")).collect()}
+    size = {d: len((t or "").split()) for d, t, _ in rows}
+    sizes = {}
+    for d, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + size[d]
+    goals, quota = brute_targets(sizes), dict.fromkeys(sizes, 0)
+    for _ in range(sum(sizes.values()) // block):
+        top = max(goals, key=lambda s: goals[s] / (2 * quota[s] + 1))
+        quota[top] += 1
+    want = {}
+    for s in sizes:
+        own = sorted((d for d, _, x in rows if x == s), key=lambda d: (place[d].o, d))
+        line = [d for d in own for _ in range(size[d])]
+        if not line:
+            want |= dict.fromkeys(own, 0)
+            continue
+        words = min(quota[s] * block, 3 * len(line))
+        blocks = [line[i : i + block] for i in range(0, len(line), block)]
+        n, r = len(blocks), min(len(blocks), int(words % len(line) / block + 0.5))
+        start = place[own[0]].h % n
+        taken = {d: words // len(line) * size[d] for d in own}
+        for b, held in enumerate(blocks):
+            if ((b + 1) * r + start) // n > (b * r + start) // n:
+                for d in held:
+                    taken[d] += 1
+        want |= taken
+    assert {r.doc_id: r.taken for r in mixing.mix(df).collect()} == want
+
+
 def test_apportionment_is_by_highest_quotients(spark):
     rng = random.Random(5)
     rows = [(g, f"u{i:03d}", float(rng.choice([0, 1, 3, 3, 7, 50, 1000 * rng.random()])), seats) for g, (n, seats) in enumerate([(1, 5), (7, 100), (40, 13), (60, 1000), (5, 0)]) for i in range(n)]
