@@ -8,18 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators.audit import kuhn, maximum_matching
+from quarryline.operators.tables import stored
 
 Edge = tuple[int, int, bool, int, str]  # issue, pull request, several files, rank, id
 
 
 def ranked(edges: DataFrame, order: list) -> DataFrame:
-    """edges with rank, by a distributed sort: a row's place in its range after the rows of all ranges before it."""
-    line = edges.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).persist()
+    """edges with rank, by a distributed sort: a row's place in its range after the rows of all ranges before it. The sorted line is stored before ranges are counted, so that a lost executor can't have it sorted into other ranges."""
+    line = stored(edges.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "line")
     sizes = line.groupBy("_range").agg(F.count("*").alias("n"))
     # one row for each range
     before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -107,27 +109,55 @@ def repository_options(edges: DataFrame, most: int = 5, reserve: int = 30) -> Da
     return narrow.groupBy("repository").applyInPandas(one, "repository string, cases long, multi long, capacity long, cost long, ids string")
 
 
+#: A cost that no plan has.
+NO_PLAN = np.iinfo(np.int64).max // 4
+
+
+def _advanced(cost: np.ndarray, origin: np.ndarray, axis: int, step: int, open_ended: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Both moved step places up an axis; open-ended ones gather all that moves past their last place there, of which the cheapest counts."""
+    cost, origin = np.moveaxis(cost, axis, 0), np.moveaxis(origin, axis, 0)
+    out, at, n = np.full_like(cost, NO_PLAN), np.zeros_like(origin), len(cost)
+    if step < n:
+        out[step:], at[step:] = cost[: n - step], origin[: n - step]
+    if open_ended:
+        low = max(0, n - 1 - step)
+        first = cost[low:].argmin(0)[None]
+        out[-1], at[-1] = (np.take_along_axis(x[low:], first, 0)[0] for x in (cost, origin))
+    return np.moveaxis(out, 0, axis), np.moveaxis(at, 0, axis)
+
+
 def plan(by_repository: Iterable[tuple[str, list[tuple[int, int, int, int, str]]]], repositories: int, size: int, multi: int, reserve: int) -> tuple[int, tuple[str, ...]]:
-    """The cheapest choice of one option (cases, multi, capacity, cost, ids) of each repository: size cases, multi of several files and reserve capacity in all.
+    """The cheapest choice of one option (cases, multi, capacity, cost, ids) of each repository: size cases, at least multi of several files and reserve capacity in all; of equally cheap ones that of the earlier options.
 
-    If there are no more repositories than cases, each gives one at least. Only the best choice for each state (cases, capped multi, capped capacity) is kept, so repositories may come one by one.
+    Min-plus sums over a dense table of least costs by cases, multi-file cases and capacity: an option moves the whole table, the two open-ended axes end at what is asked for, and the cell-wise least of the moved tables is the next one. For each
+    repository two small numbers a cell remember the way back. If there are no more repositories than cases, each gives one at least.
     """
-    least = 1 if size >= repositories else 0
-    states: dict[tuple[int, int, int], tuple[int, tuple[str, ...]]] = {(0, 0, 0): (0, ())}
+    shape = (size + 1, multi + 1, reserve + 1)
+    cost = np.full(shape, NO_PLAN)
+    cost[0, 0, 0] = 0
+    cells, ways = np.arange(cost.size, dtype=np.int32).reshape(shape), []
     for _, choices in by_repository:
-        reached: dict[tuple[int, int, int], tuple[int, tuple[str, ...]]] = {}
-        for cases, several, capacity, cost, ids in choices:
-            if cases < least:
+        best, option, before = np.full(shape, NO_PLAN), np.full(shape, -1, np.int16), np.zeros(shape, np.int32)
+        for k, (cases, several, capacity, spent, _) in enumerate(choices):
+            if cases == 0 and size >= repositories:
                 continue
-            names = tuple(ids.split(",")) if ids else ()
-            for (n, m, r), (spent, taken) in states.items():
-                key, value = (n + cases, min(multi, m + several), min(reserve, r + capacity)), (spent + cost, taken + names)
-                if key[0] <= size and (key not in reached or value < reached[key]):
-                    reached[key] = value
-        states = reached
-    if (size, multi, reserve) not in states:
-        raise ValueError("no plan meets the coverage, the cap for each repository, the multi-file quota and the reserve")
-    return states[size, multi, reserve]
+            moved, origin = cost, cells
+            for axis, step in enumerate((cases, several, capacity)):
+                moved, origin = _advanced(moved, origin, axis, step, axis > 0)
+            better = (moved < NO_PLAN) & (moved + spent < best)
+            best[better], option[better], before[better] = moved[better] + spent, k, origin[better]
+        cost = best
+        ways.append((option.ravel(), before.ravel(), [c[4] for c in choices]))
+    cell = cells[-1, -1, -1]
+    least = int(cost.ravel()[cell])
+    if least >= NO_PLAN:
+        raise ValueError(f"no plan has {size} cases with {multi} multi-file ones and {reserve} in reserve")
+    chosen: list[tuple[str, ...]] = []
+    for option, before, ids in reversed(ways):
+        names = ids[option[cell]]
+        chosen.append(tuple(names.split(",")) if names else ())
+        cell = before[cell]
+    return least, tuple(x for names in reversed(chosen) for x in names)
 
 
 def select_primary(edges: DataFrame, size: int, multi: int, most: int = 5, reserve: int = 30) -> tuple[int, tuple[str, ...]]:

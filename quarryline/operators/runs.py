@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import secrets
 import time
 from collections.abc import Callable
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUNS = "run_id string, status string, payload string, decision string, notes string, created_at timestamp, updated_at timestamp, version long"
 TRACES = "run_id string, id long, node_name string, attempt int, status string, elapsed_ms double, detail string, started_at timestamp"
@@ -48,10 +52,31 @@ class RunStore:
             raise KeyError(run_id)
         return row
 
+    def claim(self, run_id: str, version: int) -> bool:
+        """Claim the transition away from a version of a run: True for one caller alone. The claim is a file that is created only if it isn't there, which HDFS does in one step, and POSIX systems where they are asked for it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/{quote(run_id, safe='')}/{version}")
+        files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        files.mkdirs(path.getParent())
+        try:
+            if path.toUri().getScheme() in (None, "file"):
+                os.close(os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            else:
+                files.create(path, False).close()
+        except FileExistsError:
+            return False
+        except Py4JJavaError as failure:
+            if "FileAlreadyExistsException" in failure.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def review(self, run_id: str, decision: str, notes: str, now) -> None:
+        """Decide on a run that awaits review. Of several reviewers who all read the same version one claims it; the others fail, and so does a review of what has been decided since."""
         row = self.run(run_id)
         if row["status"] != "awaiting_review":
             raise ValueError(f"run {run_id} is {row['status']}")
+        if not self.claim(run_id, row["version"]):
+            raise ValueError(f"run {run_id} has been reviewed by someone else")
         self.save_run(run_id, decision, row["payload"], now, decision, notes)
 
     def append_trace(self, **row) -> None:
@@ -160,3 +185,54 @@ def parse_answer(payload: Column) -> Column:
     known = F.array(*[F.lit(k) for k in ("summary", "issue_type", "observations", "hypothesis")])
     problem = F.when(keys.isNull(), "not a JSON object").when(F.size(F.array_except(keys, known)) > 0, F.concat(F.lit("unknown: "), F.array_join(F.array_sort(F.array_except(keys, known)), ","))).when(F.size(F.array_except(known, keys)) > 0, F.concat(F.lit("missing: "), F.array_join(F.array_sort(F.array_except(known, keys)), ",")))
     return F.struct(answer.alias("answer"), problem.alias("problem"))
+
+
+# Classes of problems of an answer, and how many places of them are told.
+INVALID, UNKNOWN, MISSING, MISTYPED, TOLD = "invalid_json", "extra_forbidden", "missing", "type_error", 5
+_KINDS = {"string": "STRING", "bigint": "BIGINT", "int": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
+def schema_problems(rows: DataFrame, schema: T.StructType, payload: str = "payload") -> DataFrame:
+    """id, path, problem: where the JSON of rows (id, payload) departs from a schema: keys that it does not have, keys that are missing, values of another type (null is one unless the field is
+    nullable). Paths are dotted, with places of arrays as numbers; the whole has the path ''.
+
+    The text is parsed once to a VARIANT and walked as deep as the schema is: each of its nodes is a table of values, taken from those of the node above.
+    """
+    at = rows.select("id", F.try_parse_json(F.col(payload)).alias("v"))
+    out = [at.where("v IS NULL").select("id", F.lit("").alias("path"), F.lit(INVALID).alias("problem"))]
+    problem = lambda df, what, path="path": df.select("id", F.col(path).alias("path"), F.lit(what).alias("problem"))
+
+    def walk(values: DataFrame, kind: T.DataType) -> None:
+        """values: id, path, v (a value that is there) and s, its type."""
+        whole = lambda prefix: F.col("s").startswith(prefix)
+        if isinstance(kind, T.StructType):
+            out.append(problem(values.where(~whole("OBJECT")), MISTYPED))
+            objects = values.where(whole("OBJECT"))
+            keys = objects.withColumn("keys", F.json_object_keys(F.to_json("v")))
+            names = F.array(*[F.lit(f.name) for f in kind.fields])
+            dotted = lambda c: F.when(F.col("path") == "", c).otherwise(F.concat_ws(".", "path", c))
+            for what, these in ((UNKNOWN, F.array_except("keys", names)), (MISSING, F.array_except(names, F.col("keys")))):
+                out.append(problem(keys.withColumn("k", F.explode(these)).withColumn("path", dotted(F.col("k"))), what))
+            for field in kind.fields:
+                own = keys.where(F.array_contains("keys", field.name)).select("id", dotted(F.lit(field.name)).alias("path"), F.try_variant_get("v", F.lit(f"$['{field.name}']"), "variant").alias("v")).withColumn("s", F.schema_of_variant("v"))
+                walk(own.where("s <> 'VOID'") if field.nullable else own, field.dataType)
+        elif isinstance(kind, T.ArrayType):
+            out.append(problem(values.where(~whole("ARRAY")), MISTYPED))
+            items = values.where(whole("ARRAY")).withColumn("x", F.explode(F.expr("transform(try_variant_get(v, '$', 'array<variant>'), (x, i) -> struct(x AS v, i AS i))")))
+            walk(items.select("id", F.concat_ws(".", "path", F.col("x.i").cast("string")).alias("path"), F.col("x.v").alias("v")).withColumn("s", F.schema_of_variant("v")), kind.elementType)
+        else:
+            wanted = _KINDS[kind.simpleString()]
+            fits = whole("DOUBLE") | whole("DECIMAL") | whole("BIGINT") if wanted == "DOUBLE" else whole(wanted)
+            out.append(problem(values.where(~fits), MISTYPED))
+
+    walk(at.where("v IS NOT NULL").select("id", F.lit("").alias("path"), "v", F.schema_of_variant("v").alias("s")), schema)
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def validation_detail(rows: DataFrame, schema: T.StructType, payload: str = "payload") -> DataFrame:
+    """id, problems (how many), classes and fields of the answers that depart from the schema: the classes sorted, the first TOLD places in order."""
+    found = schema_problems(rows, schema, payload)
+    return found.groupBy("id").agg(F.count("*").alias("problems"), F.array_sort(F.collect_set("problem")).alias("classes"), F.slice(F.array_sort(F.collect_set("path")), 1, TOLD).alias("fields"))

@@ -3,7 +3,8 @@
 The blended score is 0.65 * Jaccard + 0.35 * title ratio, rounded to 4 places. As the ratio is at most 1, a pair at threshold t
 needs a Jaccard of (t - 0.35 - 0.00005) / 0.65 at least. That bound is used for an exact prefix-filtered join on integer
 tokens, rarest first; the title ratio (Ratcliff-Obershelp, which no built-in equals) is computed for survivors alone. Where
-the bound is not positive every pair can match on titles, and pairs of all rows are compared in blocks.
+the bound is not positive pairs match on titles as well: those without a common token need a title ratio of t / 0.35. A ratio is at most twice the common letters, repeats included, over
+all letters, so such pairs come from the same join on letters, and those with a common token from an index of tokens. Only at 0 or less do all pairs match.
 """
 
 from __future__ import annotations
@@ -95,6 +96,22 @@ def duplicate_classes(rows: DataFrame, threshold: float) -> DataFrame:
     return found.select(pick("rep", True).alias("left_number"), pick("rep", False).alias("right_number"), pick("n", True).alias("left_members"), pick("n", False).alias("right_members"), "jaccard")
 
 
+def sharing_pairs(rows: DataFrame) -> DataFrame:
+    """left_ord, right_ord of the pairs of rows (ord, tokens) with a common token."""
+    words = rows.select("ord", F.explode("tokens").alias("token"))
+    met = words.select(F.col("ord").alias("left_ord"), "token").join(words.select(F.col("ord").alias("right_ord"), "token"), "token").where("left_ord < right_ord")
+    return met.select("left_ord", "right_ord").distinct()
+
+
+def title_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """left_ord, right_ord of all pairs of rows (ord, title) whose title ratio can be least (> 0) or more: 2 * common / all letters, each letter's repeats numbered. Those shares are
+    Jaccard indices of letters, of least / (2 - least) or more. Empty titles have a letter of their own."""
+    letters = F.filter(F.split("title", ""), lambda c: c != "")
+    numbered = F.transform(F.sequence(F.lit(1), F.size(letters)), lambda i: F.concat(F.get(letters, i - 1), F.size(F.filter(F.slice(letters, F.lit(1), i), lambda c: c == F.get(letters, i - 1))).cast("string")))
+    sets = rows.select("ord", "title", F.when(F.col("title") == "", F.array(F.lit(""))).otherwise(numbered).alias("tokens"))
+    return jaccard_pairs(sets.select("ord", "tokens"), min(1.0, least / (2 - least))).select("left_ord", "right_ord")
+
+
 def detect_duplicates(issues: DataFrame, threshold: float = THRESHOLD, text: Column | None = None) -> DataFrame:
     """issue_number, candidate_issue_number, similarity and shared_terms of the pairs at or over the threshold, best first.
 
@@ -107,7 +124,11 @@ def detect_duplicates(issues: DataFrame, threshold: float = THRESHOLD, text: Col
     side = lambda p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns])
     if least > 0:
         pairs = jaccard_pairs(rows.select("ord", "tokens"), least).join(side("left"), "left_ord").join(side("right"), "right_ord")
+    elif threshold > 0:
+        met = sharing_pairs(rows).unionByName(title_pairs(rows, (threshold - 0.00005) / TITLE_WEIGHT)).distinct()
+        pairs = met.join(side("left"), "left_ord").join(side("right"), "right_ord").withColumn("jaccard", jaccard(F.col("left_tokens"), F.col("right_tokens")))
     else:
+        # the result is every pair
         pairs = side("left").join(side("right"), F.col("left_ord") < F.col("right_ord")).withColumn("jaccard", jaccard(F.col("left_tokens"), F.col("right_tokens")))
     scored = pairs.withColumn("similarity", F.round(JACCARD_WEIGHT * F.col("jaccard") + TITLE_WEIGHT * title_ratio("left_title", "right_title"), 4))
     return scored.where(F.col("similarity") >= threshold).select(F.col("left_number").alias("issue_number"), F.col("right_number").alias("candidate_issue_number"), "similarity", shared_terms(F.col("left_tokens"), F.col("right_tokens")).alias("shared_terms"), "left_ord", "right_ord").orderBy(F.desc("similarity"), "left_ord", "right_ord").drop("left_ord", "right_ord")

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarryline.operators import evidence as E
 from quarryline.operators import runs as R
 from quarryline.operators import symbols as S
 from quarryline.plans.adapters import VIEWS, adapter, with_views
 
+#: Answers with nested unknown, missing and mistyped keys, by what orders say; parts of the JSON are put together by number.
+VIEWS["answers"] = """
+SELECT o_orderkey AS id, o_custkey % 4 AS a, o_orderkey % 5 AS b, o_custkey % 3 AS c,
+       CASE WHEN o_orderkey % 17 = 0 THEN 'no json' ELSE concat('{"summary": ', CASE o_custkey % 4 WHEN 0 THEN '"s"' WHEN 1 THEN '7' WHEN 2 THEN 'null' ELSE '"t"' END,
+         CASE o_orderkey % 5 WHEN 0 THEN ', "extra": 1' WHEN 1 THEN ', "score": "x"' WHEN 2 THEN ', "score": 0.5' WHEN 3 THEN ', "score": null' ELSE '' END,
+         ', "items": [{"id": "i", "n": 1}, ', CASE o_custkey % 3 WHEN 0 THEN '{"id": 3, "m": 1}' WHEN 1 THEN '[]' ELSE '{"id": "j", "n": 2}' END, ']}') END AS payload FROM orders"""
+ANSWER_SCHEMA = T.StructType([
+    T.StructField("summary", T.StringType(), False), T.StructField("score", T.DoubleType(), True),
+    T.StructField("items", T.ArrayType(T.StructType([T.StructField("id", T.StringType(), False), T.StructField("n", T.LongType(), False)])), False),
+])
 VIEWS["versions"] = "SELECT user_id AS run_id, event_type AS status, value AS payload, ts AS created_at, ts AS updated_at, event_id AS version FROM events"
 
 
@@ -84,7 +95,12 @@ def related_callers(spark, sf_dir):
     return S.related_callers(adapter(spark, sf_dir, "fcalls").select("file_id", "caller", "target_symbol", (F.col("caller").cast("int") % 3 + 1).alias("overlap")))
 
 
-QUERIES = {f.__name__: f for f in (run_latest_state, trace_summary, trace_attempts, snapshot_order, evidence_numbered_lines, evidence_budget, evidence_coverage, alignment_contradictions, unique_symbol_names, enclosing_symbol, symbol_argmax, related_callers)}
+def answer_field_paths(spark, sf_dir):
+    found = R.validation_detail(adapter(spark, sf_dir, "answers").select("id", "payload"), ANSWER_SCHEMA)
+    return found.select("id", "problems", F.array_join("classes", ",").alias("classes"), F.array_join("fields", ",").alias("fields"))
+
+
+QUERIES = {f.__name__: f for f in (run_latest_state, trace_summary, trace_attempts, snapshot_order, evidence_numbered_lines, evidence_budget, evidence_coverage, alignment_contradictions, unique_symbol_names, enclosing_symbol, symbol_argmax, related_callers, answer_field_paths)}
 
 ORACLE = {
     "run_latest_state": with_views("SELECT run_id, arg_max(status, (updated_at, version)) AS status, arg_max(payload, (updated_at, version)) AS payload, min(created_at) AS created_at, arg_max(version, (updated_at, version)) AS version FROM versions GROUP BY run_id", "versions"),
@@ -103,4 +119,9 @@ ORACLE = {
     "enclosing_symbol": with_views("WITH e AS (SELECT file_id, symbol_id, end_line - line AS s FROM symbols WHERE 20 BETWEEN line AND end_line), m AS (SELECT file_id, min(s) AS s FROM e GROUP BY file_id) SELECT file_id, min(symbol_id) AS symbol_id FROM e JOIN m USING (file_id, s) GROUP BY file_id HAVING count(*) = 1", "symbols"),
     "symbol_argmax": with_views("SELECT file_id, symbol_id FROM symbols QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY end_line - line DESC, line, symbol_id) = 1", "symbols"),
     "related_callers": with_views("SELECT file_id, target_symbol, count(DISTINCT caller) AS callers, CAST(sum(o) AS BIGINT) AS relation_score FROM (SELECT DISTINCT file_id, caller, target_symbol, CAST(caller AS INT) % 3 + 1 AS o FROM fcalls WHERE caller <> target_symbol AND CAST(caller AS INT) % 3 + 1 >= 2) GROUP BY ALL HAVING count(DISTINCT caller) >= 2", "fcalls"),
+    "answer_field_paths": with_views("""WITH p AS (SELECT id, unnest(CASE WHEN id % 17 = 0 THEN [{'f': '', 'k': 'invalid_json'}] ELSE list_filter([
+        CASE WHEN a IN (1, 2) THEN {'f': 'summary', 'k': 'type_error'} END, CASE b WHEN 0 THEN {'f': 'extra', 'k': 'extra_forbidden'} WHEN 1 THEN {'f': 'score', 'k': 'type_error'} WHEN 4 THEN {'f': 'score', 'k': 'missing'} END,
+        CASE WHEN b = 0 THEN {'f': 'score', 'k': 'missing'} END, CASE c WHEN 0 THEN {'f': 'items.1.id', 'k': 'type_error'} WHEN 1 THEN {'f': 'items.1', 'k': 'type_error'} END,
+        CASE WHEN c = 0 THEN {'f': 'items.1.m', 'k': 'extra_forbidden'} END, CASE WHEN c = 0 THEN {'f': 'items.1.n', 'k': 'missing'} END], lambda x: x IS NOT NULL) END) AS x FROM answers)
+      SELECT id, count(*) AS problems, string_agg(DISTINCT x.k, ',' ORDER BY x.k) AS classes, array_to_string(list_sort(list(DISTINCT x.f))[:5], ',') AS fields FROM p GROUP BY id""", "answers"),
 }
