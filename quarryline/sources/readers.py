@@ -133,7 +133,7 @@ def write_index(index: dict[str, DataFrame], folder: str, mode: str = "errorifex
 
 
 def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    names = ("files", "symbols", "uses", "external", "imports", "frameworks", "languages", "test_directories", "runtime_files", "entrypoints", "modules")
+    names = ("files", "symbols", "uses", "external", "imports", "frameworks", "languages", "test_directories", "runtime_files", "entrypoints", "modules", "bound", "names", "imported")
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
