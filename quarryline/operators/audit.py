@@ -162,6 +162,49 @@ def curate(manifest: DataFrame, selections: DataFrame, candidates: DataFrame) ->
     return manifest.unionByName(added)
 
 
+def selection_problems(cases: DataFrame, selections: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidate_id, case_id, problem: everything that keeps selections from becoming cases, all rows at once.
+
+    cases: (case_id, repository, issue_number, pr_number); selections: (candidate_id, case_id, tier); candidates: (candidate_id, repository, issue_number, pr_number, pre_fix_sha, expected_files,
+    suggested_tier, failed_checks). Repositories are compared in lower case; an issue or pull request may be in the manifest once, and among the selected once.
+    """
+    low = F.lower("repository").alias("repository")
+    times = lambda rows, *keys: F.count("*").over(Window.partitionBy(*keys))
+    asked = selections.withColumns({"_chosen": times(selections, "candidate_id"), "_named": times(selections, "case_id")})
+    known = candidates.select("candidate_id", low, "issue_number", "pr_number", "pre_fix_sha", "expected_files", "suggested_tier", "failed_checks")
+    known = known.withColumn("_same", times(known, "candidate_id")).dropDuplicates(["candidate_id"])
+    rows = asked.join(known.withColumn("_known", F.lit(True)), "candidate_id", "left")
+    there = lambda name, *keys: cases.select("case_id", low, "issue_number", "pr_number").select(*keys).distinct().withColumn(name, F.lit(True))
+    rows = rows.join(there("_case", "case_id"), "case_id", "left").join(there("_issue", "repository", "issue_number"), ["repository", "issue_number"], "left").join(there("_pull", "repository", "pr_number"), ["repository", "pr_number"], "left")
+    # unknown candidates have no repository and are each alone
+    rows = rows.withColumn("_place", F.coalesce("repository", "candidate_id"))
+    rows = rows.withColumns({"_issues": times(rows, "_place", "issue_number"), "_pulls": times(rows, "_place", "pr_number")})
+    known_ = F.coalesce("_known", F.lit(False))
+    rules = F.array_compact(F.array(
+        F.when(F.col("_chosen") > 1, "selected twice"),
+        F.when(F.col("_named") > 1, "case id repeats"),
+        F.when(~known_, "unknown candidate"),
+        F.when(F.col("_same") > 1, "candidate id repeats"),
+        F.when(F.size("failed_checks") > 0, F.concat(F.lit("failed checks: "), F.array_join("failed_checks", ", "))),
+        F.when(known_ & (F.col("pre_fix_sha").isNull() | (F.coalesce(F.size("expected_files"), F.lit(0)) < 1)), "no ground truth"),
+        F.when(known_ & F.coalesce("tier", "suggested_tier").isNull(), "no tier"),
+        F.when(F.col("_case"), "case exists"),
+        F.when(F.col("_issue") | (known_ & (F.col("_issues") > 1) & (F.col("_chosen") == 1)), "issue exists"),
+        F.when(F.col("_pull") | (known_ & (F.col("_pulls") > 1) & (F.col("_chosen") == 1)), "pull request exists"),
+    ))
+    return rows.select("candidate_id", "case_id", F.explode(rules).alias("problem")).distinct()
+
+
+def expanded(manifest: DataFrame, selections: DataFrame, candidates: DataFrame, name: str | None = None) -> DataFrame:
+    """The next version of a manifest (manifest, version, case_id, tier, repository, issue_number, pr_number, pre_fix_sha, expected_files), with the selected candidates as cases; fails with the first of selection_problems(), by candidate."""
+    if found := selection_problems(manifest, selections, candidates).orderBy("candidate_id", "problem").first():
+        raise ValueError(f"{found.candidate_id}: {found.problem}")
+    added = selections.join(candidates, "candidate_id").select("case_id", F.coalesce("tier", "suggested_tier").alias("tier"), "repository", "issue_number", "pr_number", "pre_fix_sha", "expected_files")
+    every = manifest.select(*added.columns).unionByName(added)
+    head = manifest.agg(F.max("manifest").alias("manifest"), (F.max("version") + 1).alias("version"))  # one row
+    return every.join(F.broadcast(head), F.lit(True)).select(F.lit(name).alias("manifest") if name else "manifest", "version", *added.columns)
+
+
 def kuhn(edges: list[tuple], order: list) -> dict:
     """Maximum matching right -> left of edges (left, right) tried in order; lefts are tried in order."""
     options: dict = {}

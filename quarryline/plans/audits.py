@@ -131,7 +131,21 @@ def review_queue(spark, sf_dir):
     return planning.review_queue(ranked_edges(spark, sf_dir), 140, 50)
 
 
-QUERIES = {f.__name__: f for f in (audit_checks, audit_status, advisory_score, blocking_failures, reviewable_edges, discovery_early_stop, repeated_pull_requests, review_queue_entry, curate_manifest, classified_files, linked_pull_requests, pre_fix_source, edge_ranks, max_matching, primary_options, primary_selection, review_queue)}
+VIEWS["manifest_cases"] = "SELECT concat('case-', CAST(o_orderkey AS VARCHAR(20))) AS case_id, concat('Own/R', CAST(o_custkey % 50 AS VARCHAR(9))) AS repository, o_orderkey AS issue_number, o_orderkey + 7 AS pr_number FROM orders WHERE o_orderkey % 5 = 0"
+VIEWS["pool"] = """
+SELECT concat('k', CAST(o_orderkey AS VARCHAR(20))) AS candidate_id, concat('own/r', CAST(o_custkey % 50 AS VARCHAR(9))) AS repository, CASE WHEN o_custkey % 6 = 0 THEN 1 ELSE o_orderkey END AS issue_number, o_orderkey + 7 AS pr_number,
+       CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE 'a' END AS pre_fix_sha, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE 'x' END AS file, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE 'easy' END AS suggested_tier, o_custkey % 8 AS f, o_orderkey AS o FROM orders"""
+VIEWS["chosen"] = """
+SELECT concat('k', CAST(CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey * 1000000 ELSE o_orderkey END AS VARCHAR(30))) AS candidate_id, concat('case-', CAST(CASE WHEN o_orderkey % 9 = 0 THEN 3 ELSE o_orderkey END AS VARCHAR(20))) AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'hard' ELSE NULL END AS tier FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT concat('k', CAST(o_orderkey AS VARCHAR(20))), concat('again-', CAST(o_orderkey AS VARCHAR(20))), 'hard' FROM orders WHERE o_orderkey % 33 = 0"""
+
+
+def selection_problems(spark, sf_dir):
+    pool = adapter(spark, sf_dir, "pool").withColumns({"expected_files": F.when(F.col("file").isNotNull(), F.array("file")), "failed_checks": F.when(F.col("f") == 0, F.array(F.lit("closes"), F.lit("merged"))).otherwise(F.array().cast("array<string>"))})
+    return A.selection_problems(adapter(spark, sf_dir, "manifest_cases"), adapter(spark, sf_dir, "chosen"), pool)
+
+
+QUERIES = {f.__name__: f for f in (audit_checks, audit_status, advisory_score, blocking_failures, reviewable_edges, discovery_early_stop, repeated_pull_requests, review_queue_entry, curate_manifest, classified_files, linked_pull_requests, pre_fix_source, edge_ranks, max_matching, primary_options, primary_selection, review_queue, selection_problems)}
 
 _C = """c AS (SELECT *, lower(issue_title || chr(10) || issue_body) AS t FROM candidates),
 k AS (SELECT *, lower(base_repository) = lower(repository) AS same_repository, merged_at IS NOT NULL AS merged_pull_request, coalesce(issue_created_at <= merged_at, false) AS issue_precedes_fix, pre_fix_sha IS NOT NULL AS pre_fix_sha_identified, true AS pull_commit_history,
@@ -174,4 +188,11 @@ ORACLE = {
       SELECT i.k AS issue_key, coalesce(string_agg(CAST(f.n AS VARCHAR), ',' ORDER BY f.n), '') AS pull_requests FROM (SELECT DISTINCT k FROM p) i LEFT JOIN f ON f.k = i.k GROUP BY i.k""", "audit_edges"),
     "pre_fix_source": with_views(f"""SELECT {_K}, CASE WHEN pr_number % 5 = 0 THEN 's' || pr_number % 11 WHEN pr_number % 4 = 0 AND pr_number % 3 <= 1 THEN 's' || (pr_number + pr_number % 3) WHEN pr_number % 4 = 1 AND (pr_number % 3 = 1 OR pr_number % 2 = 1) THEN 's' || pr_number END AS sha,
       CASE WHEN pr_number % 5 = 0 THEN 'first_pull_commit_parent' WHEN pr_number % 4 = 0 AND pr_number % 3 <= 1 THEN 'merge_base_parent' WHEN pr_number % 4 = 1 AND pr_number % 3 = 1 THEN 'single_commit_parent' WHEN pr_number % 4 = 1 AND pr_number % 2 = 1 THEN 'squash_commit_parent' END AS source FROM audit_edges""", "audit_edges"),
+    "selection_problems": with_views("""WITH s AS (SELECT *, count(*) OVER (PARTITION BY candidate_id) AS a, count(*) OVER (PARTITION BY case_id) AS b FROM chosen),
+      r AS (SELECT s.*, p.* EXCLUDE (candidate_id), p.candidate_id IS NOT NULL AS known, (SELECT count(*) FROM chosen x JOIN pool y USING (candidate_id) WHERE y.repository = p.repository AND y.issue_number = p.issue_number) AS ni FROM s LEFT JOIN pool p USING (candidate_id)),
+      m AS (SELECT lower(repository) AS repository, issue_number, pr_number, case_id FROM manifest_cases),
+      q AS (SELECT r.*, (repository, issue_number) IN (SELECT (repository, issue_number) FROM m) AS mi, (repository, pr_number) IN (SELECT (repository, pr_number) FROM m) AS mp FROM r)
+      SELECT DISTINCT candidate_id, case_id, unnest(list_filter([CASE WHEN a > 1 THEN 'selected twice' END, CASE WHEN b > 1 THEN 'case id repeats' END, CASE WHEN NOT known THEN 'unknown candidate' END, CASE WHEN known AND f = 0 THEN 'failed checks: closes, merged' END,
+        CASE WHEN known AND (pre_fix_sha IS NULL OR file IS NULL) THEN 'no ground truth' END, CASE WHEN known AND coalesce(tier, suggested_tier) IS NULL THEN 'no tier' END, CASE WHEN case_id IN (SELECT case_id FROM manifest_cases) THEN 'case exists' END,
+        CASE WHEN known AND (mi OR (ni > 1 AND a = 1)) THEN 'issue exists' END, CASE WHEN known AND mp THEN 'pull request exists' END], lambda x: x IS NOT NULL)) AS problem FROM q""", "manifest_cases", "pool", "chosen"),
 }

@@ -56,6 +56,17 @@ def _fields(schema: str) -> list[str]:
     return [x.strip() for x in out]
 
 
+SELECTION = "name string, version int, manifest_name string, selections array<struct<candidate_id:string,case_id:string,tier:string,review_notes:string,expected_symbols:array<struct<file:string,symbol:string>>>>"
+
+
+def read_selection(spark: SparkSession, path: str) -> DataFrame:
+    """One row a selection of {name, version, manifest_name, selections: [...]}: name, version, manifest_name and what it says of a candidate. Malformed files, and selections without an id, are an error."""
+    rows = spark.read.schema(SELECTION).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    flat = rows.select("name", "version", "manifest_name", F.explode("selections").alias("s")).select("name", "version", "manifest_name", "s.*")
+    named = lambda c: F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.col(c)).otherwise(F.raise_error(F.lit(f"a selection has no {c}")))
+    return flat.withColumns({"candidate_id": named("candidate_id"), "case_id": named("case_id")})
+
+
 def manifest_problems(cases: DataFrame) -> DataFrame:
     """id and problem of cases that break a rule of the manifest; empty for a good one."""
     symbol_files = F.transform("expected_symbols", lambda s: s.file)

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.operators import planning, runs, similarity
+from quarryline.operators import audit, planning, runs, similarity
+from quarryline.sources import readers
 
 NOW = datetime.datetime(2024, 5, 1)
 
@@ -119,3 +120,19 @@ def test_low_thresholds_find_all_pairs_without_comparing_all(spark, threshold):
     assert {(r.issue_number, r.candidate_issue_number, r.similarity) for r in found.collect()} == want and want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_a_manifest_grows_to_its_next_version(spark, tmp_path):
+    file = tmp_path / "s.json"
+    file.write_text('{"name": "pick", "version": 1, "manifest_name": "next", "selections": [{"candidate_id": "k1", "case_id": "new-1", "tier": null, "review_notes": "ok", "expected_symbols": [{"file": "a.py", "symbol": "f"}]}]}')
+    picked = readers.read_selection(spark, f"file://{file}")
+    assert picked.first().expected_symbols[0].symbol == "f"
+    base = spark.createDataFrame([("m", 4, "c1", "easy", "Own/R", 1, 10, "a", ["x"])], "manifest string, version int, case_id string, tier string, repository string, issue_number long, pr_number long, pre_fix_sha string, expected_files array<string>")
+    pool = spark.createDataFrame([("k1", "own/r", 2, 20, "b", ["y"], "hard", []), ("k2", "own/R", 1, 30, "b", ["y"], "hard", [])], "candidate_id string, repository string, issue_number long, pr_number long, pre_fix_sha string, expected_files array<string>, suggested_tier string, failed_checks array<string>")
+    got = {(r.manifest, r.version, r.case_id, r.tier) for r in audit.expanded(base, picked, pool, "next").collect()}
+    assert got == {("next", 5, "c1", "easy"), ("next", 5, "new-1", "hard")}
+    with pytest.raises(ValueError, match="k2: issue exists"):
+        audit.expanded(base, spark.createDataFrame([("k2", "new-2", None)], "candidate_id string, case_id string, tier string"), pool)
+    file.write_text('{"name": "pick", "version": 1, "selections": [{"case_id": "new-1"}]}')
+    with pytest.raises(Exception, match="candidate_id"):
+        readers.read_selection(spark, f"file://{file}").collect()
