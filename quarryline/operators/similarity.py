@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryline.operators.tables import stored
+
 # Words that don't count.
 STOPWORDS = ("the", "a", "an", "and", "or", "to", "of", "in", "on", "is", "it", "for", "with", "when")
 JACCARD_WEIGHT, TITLE_WEIGHT, THRESHOLD, SHARED = 0.65, 0.35, 0.55, 8
@@ -63,7 +65,8 @@ def class_pairs(classes: DataFrame, least: float) -> DataFrame:
     words = classes.select("set_id", F.explode("tokens").alias("token"))
     counts = words.groupBy("token").agg(F.count("*").alias("df"))
     ordered = words.join(counts, "token").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h")))).alias("t"))
-    ordered = ordered.select("set_id", F.col("t.h").alias("t"), F.size("t").alias("n"))
+    # read three times below
+    ordered = stored(ordered.select("set_id", F.col("t.h").alias("t"), F.size("t").alias("n")), "ordered")
     prefix = ordered.select("set_id", "n", F.explode(F.slice("t", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("h"))
     side = lambda p: prefix.select(F.col("set_id").alias(p), F.col("n").alias(f"n{p}"), "h")
     near = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
