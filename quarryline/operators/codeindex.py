@@ -97,6 +97,8 @@ def prefixes(name: Column) -> Column:
 def resolve_imports(imports: DataFrame, modules_: DataFrame) -> DataFrame:
     """imports (path, target and more) with target_path and imported_symbol: the module with the longest prefix of the name, and the name's next part. A module of several files gives several rows (paths counts them)."""
     own = [c for c in imports.columns if c != "path"]
+    # "merge": a list of names made in a query looks short to the optimizer however many files there are, so that it would be broadcast
+    modules_ = modules_.hint("merge")
     keyed = imports.withColumn("_key", F.xxhash64("path", *own)).join(modules_.select("path", "package"), "path").withColumn("_name", absolute(F.col("target"), F.col("package"))).where("_name <> ''")
     tried = keyed.select("path", *own, "_key", F.explode(prefixes(F.col("_name"))).alias("p")).select("path", *own, "_key", "p.*")
     met = tried.join(modules_.where("module <> ''").select(F.col("module").alias("prefix"), F.col("path").alias("target_path")), "prefix")
