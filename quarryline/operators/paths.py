@@ -129,15 +129,20 @@ def title_scopes(issues: DataFrame, marked: DataFrame) -> DataFrame:
 
 def importers(issues: DataFrame, index: dict[str, DataFrame], marked: DataFrame) -> DataFrame:
     """One to three importers in a title's scope of a file in that scope, two functions of which share a further title word; half a point for each function over two."""
-    scopes = title_scopes(issues, marked)
     asked = issues.select("issue_id", F.explode(F.array_distinct(F.transform("title_text_terms", X.semantic_term))).alias("term")).where(_long(F.col("term")))
-    functions = index["symbols"].where("kind = 'function'").select("path", F.coalesce("qualified_name", "name").alias("identity"), F.explode(F.array_distinct(F.transform(X.terms(F.col("name")), X.semantic_term))).alias("term")).distinct()
-    told = functions.join(asked, "term").join(scopes.select("issue_id", "path").distinct(), ["issue_id", "path"], "left_semi").join(scopes, ["issue_id", "path", "term"], "left_anti")
-    often = told.groupBy("issue_id", "path", "term").agg(F.collect_set("identity").alias("all")).where(F.size("all") >= 2)
-    sources = often.groupBy("issue_id", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("all")))).alias("all"))
+    # issues of the same words have the same importers
+    titles = asked.where("issue_id IS NOT NULL").groupBy("issue_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    kinds = titles.groupBy("terms").agg(F.min("issue_id").alias("kind_id"))
+    asked = kinds.select("kind_id", F.explode("terms").alias("term"))
+    # what doesn't depend on the issue comes first: importers by the scope word they share, and words that two functions or more have
+    held = marked.where("production").select("path", F.explode(F.array_distinct("scope")).alias("term"))
     edges = index["imports"].where("path <> target_path").select(F.col("path").alias("importer"), F.col("target_path").alias("path")).distinct()
-    near = sources.join(edges, "path").join(scopes, ["issue_id", "path"]).join(scopes.withColumnRenamed("path", "importer"), ["issue_id", "importer", "term"], "left_semi")
-    few = near.groupBy("issue_id", "path", "all").agg(F.collect_set("importer").alias("importers")).where(F.size("importers").between(1, MOST_IMPORTERS))
+    shared = edges.join(held, "path").join(held.withColumnRenamed("path", "importer"), ["importer", "term"])
+    functions = index["symbols"].where("kind = 'function'").select("path", F.coalesce("qualified_name", "name").alias("identity"), F.explode(F.array_distinct(F.transform(X.terms(F.col("name")), X.semantic_term))).alias("term"))
+    often = functions.join(shared.select("path"), "path", "left_semi").join(held, ["path", "term"], "left_anti").groupBy("path", "term").agg(F.collect_set("identity").alias("all")).where(F.size("all") >= 2)
+    sources = often.join(asked, "term").groupBy("kind_id", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("all")))).alias("all"))
+    few = shared.join(asked, "term").groupBy("kind_id", "path").agg(F.collect_set("importer").alias("importers")).where(F.size("importers").between(1, MOST_IMPORTERS))
+    few = few.join(sources, ["kind_id", "path"]).join(kinds, "kind_id").join(titles, "terms")
     rest = F.when(F.size("all") > 3, F.concat(F.lit(" (+"), (F.size("all") - 3).cast("string"), F.lit(" more)"))).otherwise("")
     via = F.concat("path", F.lit(": "), F.array_join(F.slice("all", 1, 3), ", "), rest)
     return few.withColumn("target", F.explode("importers")).select(*_row("reverse_import", LEAST_EXPANSION + F.least(F.lit(2.0), 0.5 * (F.size("all") - 2)), via))

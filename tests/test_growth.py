@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarryline.operators import codeindex
+from quarryline.operators import codeindex, paths
 
 
 def plan(df):
@@ -17,3 +17,14 @@ def test_lists_of_files_are_not_broadcast(spark):
     joins = [x for x in plan(found).splitlines() if "BroadcastHashJoin" in x]
     assert not [x for x in joins if "root" not in x]
     assert {(r.target, r.target_path, r.imported_symbol) for r in found.collect()} == {(".mod1.Thing", "pkg/mod1.py", "Thing"), ("pkg.mod2", "pkg/mod2.py", None)}
+
+
+def test_importers_are_found_once_for_issues_of_the_same_words(spark):
+    marked = spark.createDataFrame([(f"f{i}", True, ["alpha"] if i < 3 else ["gamma"]) for i in range(4)], "path string, production boolean, scope array<string>")
+    symbols = spark.createDataFrame([("f0", n, n, "function") for n in ("evict_one", "evict_two")], "path string, name string, qualified_name string, kind string")
+    imports = spark.createDataFrame([("f1", "f0"), ("f2", "f0"), ("f3", "f0")], "path string, target_path string")
+    issues = spark.createDataFrame([(i, ["alpha", "evict"] if i < 50 else ["alpha"]) for i in range(60)], "issue_id long, title_text_terms array<string>")
+    found = paths.importers(issues, {"symbols": symbols, "imports": imports}, marked)
+    # files meet with kinds of titles, not with issues
+    assert not [x for x in plan(found).splitlines() if "Join" in x and "issue_id" in x]
+    assert sorted((r.issue_id, r.file_id, r.via) for r in found.collect()) == [(i, f, "f0: evict_one, evict_two") for i in range(50) for f in ("f1", "f2")]
