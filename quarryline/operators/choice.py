@@ -133,12 +133,20 @@ def callers(met: DataFrame, uses: DataFrame) -> DataFrame:
 def rarity(met: DataFrame, counts: DataFrame) -> DataFrame:
     """issue_id, path, symbol_id, rarest, rarities: the largest and the sum of 1/n over the title words that a function tells, n functions of its file having each."""
     told = met.where("kind = 'function'").select("issue_id", "symbol_id", "path", F.explode("told").alias("term")).join(counts, ["path", "term"])
-    return told.groupBy("issue_id", "path", "symbol_id").agg(F.max(1 / F.col("n")).alias("rarest"), F.sum(1 / F.col("n")).alias("rarities"))
+    # dealt by file, as choose() groups them
+    return told.repartition("issue_id", "path").groupBy("issue_id", "path", "symbol_id").agg(F.max(1 / F.col("n")).alias("rarest"), F.sum(1 / F.col("n")).alias("rarities"))
 
 
 def choose(scoped: DataFrame, counts: DataFrame, related: DataFrame) -> DataFrame:
-    """issue_id, path and the chosen match, with tier (direct, semantic or fallback): in_scope() rows, word_counts() and callers()."""
-    rows = scoped.join(rarity(scoped, counts), ["issue_id", "path", "symbol_id"], "left").join(related, ["issue_id", "path", "identity"], "left").fillna({"rarest": 0.0, "rarities": 0.0, "relation_score": 0})
+    """issue_id, path and the chosen match, with tier (direct, semantic or fallback): in_scope() rows, word_counts() and callers().
+
+    What other tables say of a file's symbols comes as a map for each issue and file, so that the matches are exchanged once.
+    """
+    file = Window.partitionBy("issue_id", "path")
+    mapped = lambda df, key, *values: df.where(F.col(key).isNotNull()).groupBy("issue_id", "path").agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct(*values)))).alias(f"_{key}"))
+    rows = scoped.join(mapped(rarity(scoped, counts), "symbol_id", "rarest", "rarities"), ["issue_id", "path"], "left").join(mapped(related, "identity", "callers", "relation_score"), ["issue_id", "path"], "left")
+    rare, calling = F.col("_symbol_id")[F.col("symbol_id")], F.col("_identity")[F.col("identity")]
+    rows = rows.withColumns({"rarest": F.coalesce(rare["rarest"], F.lit(0.0)), "rarities": F.coalesce(rare["rarities"], F.lit(0.0)), "callers": calling["callers"], "relation_score": F.coalesce(calling["relation_score"], F.lit(0).cast("long"))}).drop("_symbol_id", "_identity")
     at = {k: F.col(k).isNotNull() for k in PLACES}
     early = lambda k: -F.coalesce(F.col(k), F.lit(NOWHERE))
     function = F.col("kind") == "function"
@@ -156,10 +164,13 @@ def choose(scoped: DataFrame, counts: DataFrame, related: DataFrame) -> DataFram
     admissible = F.col("primary_match") | exact | ((F.size("overlap") > 0) & ~unscoped)
     tells = (F.col("relation_score") > 0) | (F.col("title_strength") > 0) | (F.col("rarest") > 0)
     others = [c for c in rows.columns if c not in ("issue_id", "path")]
-    chosen = F.struct(*others, admissible.alias("admissible"))
-    best = rows.groupBy("issue_id", "path").agg(F.max_by(chosen, F.when(direct, pointed)).alias("direct"), F.max_by(chosen, F.when(function, meaning)).alias("semantic"), F.bool_or(function & tells).alias("tells"), F.max_by(chosen, last).alias("fallback"))
-    pick = F.when(F.col("direct").isNotNull(), F.struct(F.lit("direct").alias("tier"), F.col("direct").alias("s"))).when(F.col("tells"), F.struct(F.lit("semantic").alias("tier"), F.col("semantic").alias("s"))).when(F.col("fallback.admissible"), F.struct(F.lit("fallback").alias("tier"), F.col("fallback").alias("s")))
-    return best.select("issue_id", "path", pick.alias("p")).where("p IS NOT NULL").select("issue_id", "path", "p.tier", "p.s.*").drop("admissible")
+    keys = {"_direct": F.when(direct, pointed), "_meaning": F.when(function, meaning), "_last": last}
+    best = rows.withColumns(keys).withColumns({"_tells": F.bool_or(function & tells).over(file), **{f"{k}_most": F.max(k).over(file) for k in keys}})
+    is_best = lambda k: F.col(k).isNotNull() & (F.col(k) == F.col(f"{k}_most"))
+    tier = F.when(F.col("_direct_most").isNotNull(), F.when(is_best("_direct"), "direct")).when(F.col("_tells"), F.when(is_best("_meaning"), "semantic")).when(is_best("_last") & admissible, "fallback")
+    # rows of one symbol may be as good as each other
+    chosen = best.withColumn("tier", tier).where("tier IS NOT NULL").groupBy("issue_id", "path").agg(F.first(F.struct("tier", *others)).alias("p"))
+    return chosen.select("issue_id", "path", "p.*")
 
 
 def explained(chosen: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarryline.operators import codeindex, paths
+from quarryline.operators import choice, codeindex, paths
 
 
 def plan(df):
@@ -28,3 +28,14 @@ def test_importers_are_found_once_for_issues_of_the_same_words(spark):
     # files meet with kinds of titles, not with issues
     assert not [x for x in plan(found).splitlines() if "Join" in x and "issue_id" in x]
     assert sorted((r.issue_id, r.file_id, r.via) for r in found.collect()) == [(i, f, "f0: evict_one, evict_two") for i in range(50) for f in ("f1", "f2")]
+
+
+def test_matches_are_exchanged_once_to_be_chosen_from(spark):
+    fields = "issue_id long, path string, symbol_id long, name string, identity string, kind string, line int, end_line int, overlap array<string>, local_overlap array<string>, told array<string>, local_match boolean, qualified_match boolean, primary_match boolean, component_match boolean, mentioned int, unscoped_dotted boolean, title_strength double, frame int, source_line int, snippet int, constructor int, scoped_match boolean, explicit_match boolean, unscoped_explicit boolean"
+    row = lambda k, told: (1, "f", k, f"fn_{k}", f"fn_{k}", "function", k, k, [], [], told, False, False, False, False, 0, False, 0.0, None, None, None, None, False, False, False)
+    scoped = spark.createDataFrame([row(1, ["a"]), row(2, ["b"]), row(3, [])], fields)
+    counts = spark.createDataFrame([("f", "a", 2), ("f", "b", 1)], "path string, term string, n long")
+    related = spark.createDataFrame([], "issue_id long, path string, identity string, callers array<string>, relation_score long")
+    found = choice.choose(scoped, counts, related)
+    assert "symbol_id" not in "".join(x.split("hashpartitioning(")[1].split(")")[0] for x in plan(found).splitlines() if "hashpartitioning(" in x)
+    assert [(r.symbol_id, r.tier, r.rarest) for r in found.collect()] == [(2, "semantic", 1.0)]
