@@ -108,7 +108,12 @@ def unique_in_files(symbols: DataFrame, shown: DataFrame | None = None) -> DataF
     functions = symbols.where("kind = 'function'").select("path", "name")
     if shown is None:
         return functions.groupBy("name").agg(F.count("*").alias("n")).where("n = 1").select("name")
-    return shown.select("issue_id", "path").join(functions, "path").groupBy("issue_id", "name").agg(F.count("*").alias("n")).where("n = 1").select("issue_id", "name")
+    # a file's names travel together; null ones are names too
+    nulls = F.array_repeat(F.lit(None).cast("string"), F.count_if(F.isnull("name")).cast("int"))
+    held = functions.groupBy("path").agg(F.concat(F.collect_list("name"), nulls).alias("names"))
+    lists = shown.select("issue_id", "path").join(held, "path").groupBy("issue_id").agg(F.array_sort(F.flatten(F.collect_list("names"))).alias("s"))
+    lone = F.filter("s", lambda x, i: ((i == 0) | ~x.eqNullSafe(F.get("s", i - 1))) & ((i == F.size("s") - 1) | ~x.eqNullSafe(F.get("s", i + 1))))
+    return lists.select("issue_id", F.explode(lone).alias("name"))
 
 
 def in_scope(met: DataFrame, unique: DataFrame, referenced: DataFrame) -> DataFrame:

@@ -39,3 +39,12 @@ def test_matches_are_exchanged_once_to_be_chosen_from(spark):
     found = choice.choose(scoped, counts, related)
     assert "symbol_id" not in "".join(x.split("hashpartitioning(")[1].split(")")[0] for x in plan(found).splitlines() if "hashpartitioning(" in x)
     assert [(r.symbol_id, r.tier, r.rarest) for r in found.collect()] == [(2, "semantic", 1.0)]
+
+
+def test_names_of_shown_files_are_not_exchanged_one_by_one(spark):
+    symbols = spark.createDataFrame([("f", "x", "function"), ("f", "y", "function"), ("f", "y", "function"), ("g", "x", "function"), ("g", "z", "function"), ("g", None, "function")], "path string, name string, kind string")
+    shown = spark.createDataFrame([(1, "f"), (1, "g"), (2, "f")], "issue_id long, path string")
+    found = choice.unique_in_files(symbols, shown)
+    assert "hashpartitioning(issue_id" in plan(found)
+    assert not [x for x in plan(found).splitlines() if "hashpartitioning(issue_id" in x and "name#" in x]
+    assert {(r.issue_id, r.name) for r in found.collect()} == {(1, "z"), (1, None), (2, "x")}
