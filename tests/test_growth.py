@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarryline.operators import choice, codeindex, paths
+from quarryline.operators import choice, codeindex, paths, similarity
 
 
 def plan(df):
@@ -48,3 +48,23 @@ def test_names_of_shown_files_are_not_exchanged_one_by_one(spark):
     assert "hashpartitioning(issue_id" in plan(found)
     assert not [x for x in plan(found).splitlines() if "hashpartitioning(issue_id" in x and "name#" in x]
     assert {(r.issue_id, r.name) for r in found.collect()} == {(1, "z"), (1, None), (2, "x")}
+
+
+def test_sketches_and_places_lose_no_pair_of_token_sets(spark):
+    import random
+
+    r = random.Random(5)
+    sets = [set(r.sample([f"w{i}" for i in range(30)], r.randint(1, 12))) for _ in range(60)]
+    sets += [s ^ {f"w{r.randrange(30)}"} for s in sets[:30]]
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "ord long, tokens array<string>")
+    # sets differ in as many elements as their sketches in bits, or more
+    bits = rows.select("ord", *similarity.sketch(F.transform("tokens", lambda x: F.xxhash64(x)))).orderBy("ord").collect()
+    assert all(sum(((a[k] ^ b[k]) & ((1 << 64) - 1)).bit_count() for k in range(1, len(a))) <= len(sets[a.ord] ^ sets[b.ord]) for a in bits for b in bits)
+    first = {}
+    for i, s in enumerate(sets):
+        if s:
+            first.setdefault(frozenset(s), i)
+    for least in (0.3, 0.8):
+        want = {(min(i, j), max(i, j)) for a, i in first.items() for b, j in first.items() if i != j and len(a & b) >= least * len(a | b) - 1e-12}
+        got = similarity.duplicate_classes(rows, least).collect()
+        assert sorted((x.left_number, x.right_number) for x in got) == sorted(want)
