@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.operators import symbols as S
+from quarryline.operators.tables import stored
 
 # Folders that are no production code, words that tell no subsystem, stems of files that only declare.
 AUXILIARY = ("docs", "docs_src", "examples", "scripts")
@@ -203,8 +204,9 @@ def relations(seeds: DataFrame, issues: DataFrame, index: dict[str, DataFrame],
         one_step(seeds, issues, index, marked), two_steps(seeds, issues, index, marked), importers(issues, index, marked),
         shared_calls(seeds, issues, index, marked), reexports(seeds, referenced, index, marked),
     )
-    out = parts[0]
-    for more in parts[1:]:
+    # one plan of them all is more than a small driver holds
+    out, *rest = [stored(x, "relation") for x in parts]
+    for more in rest:
         out = out.unionByName(more)
     return out
 

@@ -8,6 +8,7 @@ from quarryline.functions import signals as G
 from quarryline.operators import codeindex as C
 from quarryline.operators import evaluation, locate
 from quarryline.operators import symbols as S
+from quarryline.operators.tables import stored
 from quarryline.plans import code
 from quarryline.plans.adapters import VIEWS, adapter, with_views
 
@@ -82,7 +83,7 @@ def report_hypotheses(spark, sf_dir):
 
 def locate_candidates(spark, sf_dir):
     """The first files for one issue of each nation, over generated sources: an issue names a file, a function and words."""
-    files = code.sources(spark, sf_dir).withColumn("repository", F.lit("generated"))
+    files = stored(code.sources(spark, sf_dir).withColumn("repository", F.lit("generated")), "sources")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     asked = adapter(spark, sf_dir, "files").where("path LIKE '%.py'").select((F.col("file_id") % 101).alias("n_nationkey"), "file_id", "path")
     named = asked.groupBy("n_nationkey").agg(F.min_by("path", "file_id").alias("path"))
