@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
+from quarryline.operators.tables import stored
 
 MOST_CONTENT, LEAST_NAME, LEAST_WORD, GRAM = 1_000_000, 3, 4, 4
+#: Most names or words with their issues that are broadcast.
+FEW = 200_000
 # Characters that go on a name (Unicode's categories, with the characters that it adds to them and takes from them), what
 # ECMAScript has besides, and where lines end.
 CATEGORIES = r"\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}"
@@ -46,13 +49,18 @@ def readable(files: DataFrame) -> DataFrame:
     return files.where((F.length("content") <= MOST_CONTENT) & ~F.contains("content", F.lit("\x00")))
 
 
+def _tokens() -> Column:
+    """struct(token, dotted) of all names and dotted names of a line (columns text and script)."""
+    pick = lambda f: F.when(F.col("script"), f(F.col("text"), True)).otherwise(f(F.col("text"), False))
+    tag = lambda tokens, dotted: F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), F.lit(dotted).alias("dotted")))
+    return F.concat(tag(pick(names_in), False), tag(pick(chains_in), True))
+
+
 def name_postings(files: DataFrame) -> DataFrame:
     """repository, path, token, dotted, line: where each name and dotted name first stands in a file (repository, path, content)."""
     script = X.language(F.col("path")).isin(*SCRIPT_LANGUAGES)
     lines = readable(files).select("repository", "path", F.coalesce(script, F.lit(False)).alias("script"), F.posexplode(F.split("content", LINE_ENDS)).alias("at", "text"))
-    pick = lambda f: F.when(F.col("script"), f(F.col("text"), True)).otherwise(f(F.col("text"), False))
-    tag = lambda tokens, dotted: F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), F.lit(dotted).alias("dotted")))
-    rows = lines.select("repository", "path", (F.col("at") + 1).alias("line"), F.explode(F.concat(tag(pick(names_in), False), tag(pick(chains_in), True))).alias("t"))
+    rows = lines.select("repository", "path", (F.col("at") + 1).alias("line"), F.explode(_tokens()).alias("t"))
     return rows.groupBy("repository", "path", "t.token", "t.dotted").agg(F.min("line").alias("line"))
 
 
@@ -98,8 +106,32 @@ def word_hits(issues: DataFrame, postings: DataFrame) -> DataFrame:
     return found.groupBy("issue_id", "path").agg(F.array_sort(F.collect_set("needle")).alias("words"))
 
 
+def _lists(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the sorted list of issues that ask for each; few enough of them are sent to the files."""
+    lists = stored(rows.groupBy(*by).agg(F.array_sort(F.collect_set("issue_id")).alias("issues")), "asked")
+    return F.broadcast(lists) if lists.limit(FEW + 1).count() <= FEW else lists
+
+
 def content_hits(issues: DataFrame, files: DataFrame) -> DataFrame:
-    """issue_id, path, identifiers, words, line of the files with either; arrays may be empty, line is null without identifiers."""
-    none = F.array().cast("array<string>")
-    both = identifier_hits(issues, name_postings(files)).join(word_hits(issues, word_postings(files)), ["issue_id", "path"], "full")
-    return both.select("issue_id", "path", F.coalesce("identifiers", none).alias("identifiers"), F.coalesce("words", none).alias("words"), "line")
+    """issue_id, path, identifiers, words, line of the files with either; arrays may be empty, line is null without identifiers.
+
+    Sources are dealt by path once. Of their names and words those that an issue asks for are kept, a row for a file and name or word and not for each issue, and the issues come in when
+    a file's rows are together; no posting is exchanged where what is asked for is short enough to broadcast.
+    """
+    names = _lists(asked_names(issues), ["repository", "token", "dotted", "identifier"])
+    asked = issues.select("issue_id", "repository", F.explode(F.array_distinct("content_terms")).alias("needle")).where(F.length("needle") >= LEAST_WORD)
+    words = _lists(asked.withColumn("gram", F.left("needle", F.lit(GRAM))), ["repository", "needle", "gram"])
+    own = files.select("repository", "path", "content").repartition("path")
+    script = F.coalesce(X.language(F.col("path")).isin(*SCRIPT_LANGUAGES), F.lit(False))
+    lines = readable(own).select("repository", "path", script.alias("script"), F.posexplode(F.split("content", LINE_ENDS)).alias("at", "text"))
+    held = lines.select("repository", "path", (F.col("at") + 1).alias("line"), F.explode(_tokens()).alias("t")).select("repository", "path", "line", "t.*")
+    named = held.join(names, ["repository", "token", "dotted"]).groupBy("path", "identifier", "issues").agg(F.min("line").alias("line"))
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(f"[a-z0-9]{{{LEAST_WORD},}}"), F.lit(0)))
+    within = readable(own).select("repository", "path", F.explode(runs).alias("run")).select("repository", "path", "run", F.explode(grams(F.col("run"))).alias("gram"))
+    spoken = within.join(words, ["repository", "gram"]).where(F.contains("run", F.col("needle"))).select("path", "needle", "issues").distinct()
+    both = named.select("path", F.col("identifier").alias("value"), "issues", "line").unionByName(spoken.select("path", F.col("needle").alias("value"), "issues", F.lit(None).cast("int").alias("line")))
+    of_file = both.groupBy("path").agg(F.collect_list(F.struct("value", "issues", "line")).alias("found"))
+    each = of_file.select("path", "found", F.explode(F.array_distinct(F.flatten(F.col("found.issues")))).alias("issue_id"))
+    mine = each.select("issue_id", "path", F.filter("found", lambda x: F.array_contains(x.issues, F.col("issue_id"))).alias("found"))
+    of = lambda test: F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda x: test(x.line)), lambda x: x.value)))
+    return mine.select("issue_id", "path", of(lambda n: n.isNotNull()).alias("identifiers"), of(lambda n: n.isNull()).alias("words"), F.array_min(F.col("found.line")).alias("line"))
