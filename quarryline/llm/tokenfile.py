@@ -33,7 +33,9 @@ SHARD_BYTES = 512 << 20
 #: In the document index: the bit of the number of ids that tells a null doc_id.
 NULL_ID = 1 << 31
 #: What a worker remembers: pieces of text and their ids. Pieces that are encoded as one text, and texts that are encoded together.
-CACHE_BYTES, TOGETHER, TEXTS = 24 << 20, 200, 1000
+CACHE_BYTES, TOGETHER, TEXTS = 24 << 20, 200, 500
+#: New pieces that are handed to the library at once, and pieces whose ids are gathered at once (one longer text goes alone).
+LEARNED, GATHERED = 25 * TOGETHER, 1 << 15
 SEEKABLE_MAGIC, TABLE_MAGIC, INDEX_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 #: Bits of a piece's number of ids; pieces with so many characters are left to the library.
 _LONG = 20
@@ -44,8 +46,8 @@ class Encoder:
 
     A byte-level BPE never merges across a border between a visible character and a space
     after it, so texts are cut there, Arrow finds the distinct pieces of many texts, and each of those is encoded once. New pieces are
-    encoded many to a text; there the tokens that begin with a space are the first of each piece. The ids of all known pieces lie in one array, from
-    which those of a text are gathered. Texts with other white space beside a space, and those that hold a special token's
+    encoded many to a text; there the tokens that begin with a space are the first of each piece. Those that occur twice among the texts are
+    remembered. The ids of all pieces lie in one array, from which those of a text are gathered. Texts with other white space beside a space, and those that hold a special token's
     string, are left to the library whole.
     """
 
@@ -91,10 +93,12 @@ class Encoder:
         return self.used - len(ids)
 
     def _learn(self, new: list[str]):
-        """Places of pieces that follow a space and neither hold nor touch white space."""
+        """Places of pieces that follow a space; -1 for those that hold or touch white space, which are left to the library with their texts."""
         import numpy as np
 
-        groups, out = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)], []
+        good = np.array([bool(p) and not p[0].isspace() and not p[-1].isspace() and len(p) < 1 << _LONG for p in new], bool)
+        new = new if good.all() else [p for p, g in zip(new, good) if g]
+        groups, out, places = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)], [], np.full(len(good), -1, np.int64)
         for some, made in zip(groups, self.model.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(made.ids, "<u4")
             first = np.flatnonzero(self.begins[ids])
@@ -103,7 +107,8 @@ class Encoder:
                 ids = np.array([i for x in each for i in x], "<u4")
                 first = np.cumsum([0, *map(len, each)])[:-1]
             out.append((self._keep(ids) + first) << _LONG | np.diff(first, append=len(ids)))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        places[good] = np.concatenate(out) if out else -1
+        return places
 
     def _whole(self, texts: list[str], end: int) -> list[bytes]:
         made = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -116,43 +121,50 @@ class Encoder:
 
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         n = len(texts)
-        if self.known.nbytes + self.places.nbytes + 4 * self.used > CACHE_BYTES:
+        if self.known.nbytes + self.places.nbytes + self.pool.nbytes > CACHE_BYTES:
             self.clear()
         lists = pc.split_pattern(texts, " ")
         edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         found, code = pc.index_in(coded.dictionary, value_set=self.known), coded.indices.to_numpy()
-        fresh = found.is_null().to_numpy(zero_copy_only=False)
         place = np.full(len(found), -1, np.int64)
-        place[~fresh] = self.places[found.drop_null().to_numpy()]
-        unknown = coded.dictionary.filter(pa.array(fresh))
-        new = unknown.to_pylist()
-        good = np.array([bool(p) and not p[0].isspace() and not p[-1].isspace() and len(p) < 1 << _LONG for p in new], bool)
-        if not good.all():
-            fresh[fresh] = good
-            unknown = unknown.filter(pa.array(good))
-            new = unknown.to_pylist()
-        place[fresh] = learned = self._learn(new)
-        self.known, self.places = pa.concat_arrays([self.known, unknown]), np.concatenate([self.places, learned])
+        place[found.is_valid().to_numpy(zero_copy_only=False)] = self.places[found.drop_null().to_numpy()]
+        fresh = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        often = np.bincount(code, minlength=len(found))[fresh] > 1
+        # pieces that occur once are written behind the pool for now; by runs, as what the library returns takes many times the ids' bytes
+        used = self.used
+        for some, keep in ((fresh[often], True), (fresh[~often], False)):
+            unknown = coded.dictionary.take(pa.array(some))
+            place[some] = learned = np.concatenate([np.zeros(0, np.int64), *(self._learn(unknown.slice(at, LEARNED).to_pylist()) for at in range(0, len(unknown), LEARNED))])
+            if keep:
+                good, used = learned >= 0, self.used
+                self.known, self.places = pa.concat_arrays([self.known, unknown.filter(pa.array(good))]), np.concatenate([self.places, learned[good]])
         alone = np.zeros(n, bool)
-        if not good.all():
+        if (place[fresh] < 0).any():
             alone[np.searchsorted(edges, np.flatnonzero(place[code] < 0), "right") - 1] = True
         for x in self.special:
             alone |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
         # the first piece of a text has no space before it; it and the end id are written behind the pool for now
         place[place < 0] = 0
-        segments, used = place[code], self.used
         heads = self.model.encode_batch_fast(coded.take(edges[:-1]).cast(pa.string()).to_pylist(), add_special_tokens=False)
         many = np.array([len(h.ids) for h in heads], np.int64)
         base = self._keep([i for h in heads for i in h.ids])
-        segments[edges[:-1]] = (base + np.cumsum(many) - many) << _LONG | many
-        segments = np.insert(segments, edges[1:], self._keep([end]) << _LONG | 1)
-        length, start = segments & (1 << _LONG) - 1, segments >> _LONG
-        stop = np.cumsum(length)
-        ids = self.pool[np.repeat(start - (stop - length), length) + np.arange(stop[-1] if n else 0)]
+        first = (base + np.cumsum(many) - many) << _LONG | many
+        closing = self._keep([end]) << _LONG | 1
+        out, at = [], 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + GATHERED, "right")) - 1)
+            begin, ends = edges[at], edges[at + 1 : to + 1] - edges[at]
+            segments = place[code[begin : edges[to]]]
+            segments[edges[at:to] - begin] = first[at:to]
+            segments = np.insert(segments, ends, closing)
+            length, start = segments & (1 << _LONG) - 1, segments >> _LONG
+            stop = np.cumsum(length)
+            ids = self.pool[np.repeat(start - (stop - length), length) + np.arange(stop[-1])]
+            bounds = [0, *stop[ends + np.arange(to - at)].tolist()]
+            out += [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+            at = to
         self.used = used
-        bounds = [0, *stop[edges[1:] + np.arange(n)].tolist()]
-        out = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
         if alone.any():
             rows = np.flatnonzero(alone).tolist()
             for i, made in zip(rows, self._whole([texts[i].as_py() for i in rows], end)):
