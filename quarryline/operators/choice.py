@@ -41,6 +41,17 @@ def word_counts(symbols: DataFrame) -> DataFrame:
     return rows.groupBy("path", "term").agg(F.count("*").alias("n"))
 
 
+def shape() -> Column:
+    """What symbols say of themselves, whatever their file: those of one shape match an issue alike, but for places and titles."""
+    return F.md5(F.to_json(F.struct("name", "qualified_name", "kind", "docstring")).cast("binary"))
+
+
+def shapes(symbols: DataFrame) -> DataFrame:
+    """One symbol of each shape(), with the shape for its path."""
+    one = symbols.groupBy(shape().alias("path")).agg(*[F.first(c).alias(c) for c in ("name", "qualified_name", "kind", "docstring")])
+    return one.withColumns({"line": F.lit(0), "end_line": F.lit(0)})
+
+
 def matches(signals: DataFrame, symbols: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """A row for each issue and symbol that share a word, a stem of the title's, an identifier or a place (places: all_positions())."""
     own = described(symbols)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from quarryline.functions import text as X
 from quarryline.operators.pyparse import parse
-from quarryline.operators.tables import stored
+from quarryline.operators.tables import spread, stored
 
 # Folders that aren't indexed, files that start a program, imports that tell a framework.
 SKIPPED = (".git", ".venv", "venv", "node_modules", "dist", "build", "__pycache__", ".pytest_cache")
@@ -169,7 +169,7 @@ def language_counts(files: DataFrame) -> DataFrame:
 
 def repository_map(files: DataFrame) -> dict[str, DataFrame]:
     """The index of files (path, content): files, symbols, uses, external calls, imports, frameworks, languages, tests, runtime files and entry points. Files are parsed once, to a stored table that all others read."""
-    parsed, own = stored(parse_python(files), "parsed"), stored(modules(files), "modules")
+    parsed, own = stored(parse_python(spread(files.select("path", "content"), "path")), "parsed"), stored(modules(files), "modules")
     return {
         "files": visible(files).select("path", X.language(F.col("path")).alias("language"), (F.lower(F.element_at(F.split("path", "/"), -1)).contains("test") | F.col("path").rlike("(?:^|/)tests?/")).alias("test_file")).where("language IS NOT NULL"),
         "symbols": children(parsed, "symbols"),

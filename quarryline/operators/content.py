@@ -14,11 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
-from quarryline.operators.tables import stored
+from quarryline.operators.tables import FEW, small, spread
 
 MOST_CONTENT, LEAST_NAME, LEAST_WORD, GRAM = 1_000_000, 3, 4, 4
-#: Most names or words with their issues that are broadcast.
-FEW = 200_000
 # Characters that go on a name (Unicode's categories, with the characters that it adds to them and takes from them), what
 # ECMAScript has besides, and where lines end.
 CATEGORIES = r"\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}"
@@ -108,20 +106,19 @@ def word_hits(issues: DataFrame, postings: DataFrame) -> DataFrame:
 
 def _lists(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows with the sorted list of issues that ask for each; few enough of them are sent to the files."""
-    lists = stored(rows.groupBy(*by).agg(F.array_sort(F.collect_set("issue_id")).alias("issues")), "asked")
-    return F.broadcast(lists) if lists.limit(FEW + 1).count() <= FEW else lists
+    return small(rows.groupBy(*by).agg(F.array_sort(F.collect_set("issue_id")).alias("issues")), "asked", FEW)
 
 
-def content_hits(issues: DataFrame, files: DataFrame) -> DataFrame:
-    """issue_id, path, identifiers, words, line of the files with either; arrays may be empty, line is null without identifiers.
+def found(issues: DataFrame, files: DataFrame) -> DataFrame:
+    """path, value, issues, line: identifiers (with their first line) and words (without one) that a file holds, and the issues that ask for each.
 
-    Sources are dealt by path once. Of their names and words those that an issue asks for are kept, a row for a file and name or word and not for each issue, and the issues come in when
-    a file's rows are together; no posting is exchanged where what is asked for is short enough to broadcast.
+    Sources are dealt by path once. Of their names and words those that an issue asks for are kept, a row for a file and name or word and not for each issue;
+    no posting is exchanged where what is asked for is short enough to broadcast.
     """
     names = _lists(asked_names(issues), ["repository", "token", "dotted", "identifier"])
     asked = issues.select("issue_id", "repository", F.explode(F.array_distinct("content_terms")).alias("needle")).where(F.length("needle") >= LEAST_WORD)
     words = _lists(asked.withColumn("gram", F.left("needle", F.lit(GRAM))), ["repository", "needle", "gram"])
-    own = files.select("repository", "path", "content").repartition("path")
+    own = spread(files.select("repository", "path", "content"), "path")
     script = F.coalesce(X.language(F.col("path")).isin(*SCRIPT_LANGUAGES), F.lit(False))
     lines = readable(own).select("repository", "path", script.alias("script"), F.posexplode(F.split("content", LINE_ENDS)).alias("at", "text"))
     held = lines.select("repository", "path", (F.col("at") + 1).alias("line"), F.explode(_tokens()).alias("t")).select("repository", "path", "line", "t.*")
@@ -129,7 +126,12 @@ def content_hits(issues: DataFrame, files: DataFrame) -> DataFrame:
     runs = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(f"[a-z0-9]{{{LEAST_WORD},}}"), F.lit(0)))
     within = readable(own).select("repository", "path", F.explode(runs).alias("run")).select("repository", "path", "run", F.explode(grams(F.col("run"))).alias("gram"))
     spoken = within.join(words, ["repository", "gram"]).where(F.contains("run", F.col("needle"))).select("path", "needle", "issues").distinct()
-    both = named.select("path", F.col("identifier").alias("value"), "issues", "line").unionByName(spoken.select("path", F.col("needle").alias("value"), "issues", F.lit(None).cast("int").alias("line")))
+    return named.select("path", F.col("identifier").alias("value"), "issues", "line").unionByName(spoken.select("path", F.col("needle").alias("value"), "issues", F.lit(None).cast("int").alias("line")))
+
+
+def content_hits(issues: DataFrame, files: DataFrame) -> DataFrame:
+    """issue_id, path, identifiers, words, line of the files with either; arrays may be empty, line is null without identifiers. The issues come in when a file's rows are together."""
+    both = found(issues, files)
     of_file = both.groupBy("path").agg(F.collect_list(F.struct("value", "issues", "line")).alias("found"))
     each = of_file.select("path", "found", F.explode(F.array_distinct(F.flatten(F.col("found.issues")))).alias("issue_id"))
     mine = each.select("issue_id", "path", F.filter("found", lambda x: F.array_contains(x.issues, F.col("issue_id"))).alias("found"))
