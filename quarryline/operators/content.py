@@ -30,17 +30,30 @@ SCRIPT_LANGUAGES = ("JavaScript", "TypeScript")
 def name_class(script: bool = False, also: str = "") -> str:
     """A pattern for one character that goes on a name."""
     added, taken = (SCRIPT_ADDED, SCRIPT_TAKEN) if script else (NAME_ADDED, NAME_TAKEN)
-    return f"[{CATEGORIES}{ADDED}{added}{also}&&[^{taken}]]"
+    # ASCII characters are told without the categories
+    return f"[{ascii_class(script, also)}[[^\\x00-\\x7f]&&[{CATEGORIES}{ADDED}{added}]&&[^{taken}]]]"
+
+
+def ascii_class(script: bool = False, also: str = "") -> str:
+    """The ASCII characters of name_class(), without brackets."""
+    return f"A-Za-z0-9_{'$' if script else ''}{also}"
+
+
+def _runs(text: Column, script: bool, also: str, times: str) -> Column:
+    """Runs of characters that go on a name; texts of ASCII alone don't need Unicode's tables."""
+    plain = F.octet_length(text) == F.length(text)
+    of = lambda one: F.regexp_extract_all(text, F.lit(f"{one}{times}"), F.lit(0))
+    return F.when(plain, of(f"[{ascii_class(script, also)}]")).otherwise(of(name_class(script, also)))
 
 
 def names_in(line: Column, script: bool) -> Column:
     """Lower-cased names of LEAST_NAME characters or more."""
-    return F.regexp_extract_all(F.lower(line), F.lit(f"{name_class(script)}{{{LEAST_NAME},}}"), F.lit(0))
+    return _runs(F.lower(line), script, "", f"{{{LEAST_NAME},}}")
 
 
 def chains_in(line: Column, script: bool) -> Column:
     """Dotted names as written, with all that dots tie to them."""
-    return F.filter(F.regexp_extract_all(line, F.lit(f"{name_class(script, '.')}+"), F.lit(0)), lambda x: x.contains("."))
+    return F.when(F.contains(line, F.lit(".")), F.filter(_runs(line, script, ".", "+"), lambda x: x.contains("."))).otherwise(F.array().cast("array<string>"))
 
 
 def readable(files: DataFrame) -> DataFrame:
@@ -104,36 +117,39 @@ def word_hits(issues: DataFrame, postings: DataFrame) -> DataFrame:
     return found.groupBy("issue_id", "path").agg(F.array_sort(F.collect_set("needle")).alias("words"))
 
 
-def _lists(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows with the sorted list of issues that ask for each; few enough of them are sent to the files."""
-    return small(rows.groupBy(*by).agg(F.array_sort(F.collect_set("issue_id")).alias("issues")), "asked", FEW)
-
-
 def found(issues: DataFrame, files: DataFrame) -> DataFrame:
-    """path, value, issues, line: identifiers (with their first line) and words (without one) that a file holds, and the issues that ask for each.
+    """repository, path, value, line: identifiers (with their first line) and words (without one) of a file that any issue asks for.
 
     Sources are dealt by path once. Of their names and words those that an issue asks for are kept, a row for a file and name or word and not for each issue;
     no posting is exchanged where what is asked for is short enough to broadcast.
     """
-    names = _lists(asked_names(issues), ["repository", "token", "dotted", "identifier"])
-    asked = issues.select("issue_id", "repository", F.explode(F.array_distinct("content_terms")).alias("needle")).where(F.length("needle") >= LEAST_WORD)
-    words = _lists(asked.withColumn("gram", F.left("needle", F.lit(GRAM))), ["repository", "needle", "gram"])
+    names = small(asked_names(issues).select("repository", "token", "identifier").distinct(), "asked", FEW)
+    words = small(_asked_words(issues).select("repository", "needle", F.left("needle", F.lit(GRAM)).alias("gram")).distinct(), "asked", FEW)
     own = spread(files.select("repository", "path", "content"), "path")
     script = F.coalesce(X.language(F.col("path")).isin(*SCRIPT_LANGUAGES), F.lit(False))
     lines = readable(own).select("repository", "path", script.alias("script"), F.posexplode(F.split("content", LINE_ENDS)).alias("at", "text"))
-    held = lines.select("repository", "path", (F.col("at") + 1).alias("line"), F.explode(_tokens()).alias("t")).select("repository", "path", "line", "t.*")
-    named = held.join(names, ["repository", "token", "dotted"]).groupBy("path", "identifier", "issues").agg(F.min("line").alias("line"))
+    # dotted names have dots, others none
+    tokens = lambda script: F.concat(names_in(F.col("text"), script), chains_in(F.col("text"), script))
+    held = lines.select("repository", "path", (F.col("at") + 1).alias("line"), F.explode(F.when(F.col("script"), tokens(True)).otherwise(tokens(False))).alias("token"))
+    named = held.join(names, ["repository", "token"]).groupBy("repository", "path", F.col("identifier").alias("value")).agg(F.min("line").alias("line"))
     runs = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(f"[a-z0-9]{{{LEAST_WORD},}}"), F.lit(0)))
-    within = readable(own).select("repository", "path", F.explode(runs).alias("run")).select("repository", "path", "run", F.explode(grams(F.col("run"))).alias("gram"))
-    spoken = within.join(words, ["repository", "gram"]).where(F.contains("run", F.col("needle"))).select("path", "needle", "issues").distinct()
-    return named.select("path", F.col("identifier").alias("value"), "issues", "line").unionByName(spoken.select("path", F.col("needle").alias("value"), "issues", F.lit(None).cast("int").alias("line")))
+    # all of a run's grams in one pass
+    within = F.regexp_extract_all("run", F.lit(f"(?=([a-z0-9]{{{GRAM}}}))"), F.lit(1))
+    spoken = readable(own).select("repository", "path", F.explode(runs).alias("run")).select("repository", "path", "run", F.explode(within).alias("gram"))
+    spoken = spoken.join(words, ["repository", "gram"]).where(F.contains("run", F.col("needle"))).select("repository", "path", F.col("needle").alias("value")).distinct()
+    return named.unionByName(spoken.withColumn("line", F.lit(None).cast("int")))
+
+
+def _asked_words(issues: DataFrame) -> DataFrame:
+    return issues.select("issue_id", "repository", F.explode(F.array_distinct("content_terms")).alias("needle")).where(F.length("needle") >= LEAST_WORD)
 
 
 def content_hits(issues: DataFrame, files: DataFrame) -> DataFrame:
     """issue_id, path, identifiers, words, line of the files with either; arrays may be empty, line is null without identifiers. The issues come in when a file's rows are together."""
-    both = found(issues, files)
-    of_file = both.groupBy("path").agg(F.collect_list(F.struct("value", "issues", "line")).alias("found"))
-    each = of_file.select("path", "found", F.explode(F.array_distinct(F.flatten(F.col("found.issues")))).alias("issue_id"))
-    mine = each.select("issue_id", "path", F.filter("found", lambda x: F.array_contains(x.issues, F.col("issue_id"))).alias("found"))
-    of = lambda test: F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda x: test(x.line)), lambda x: x.value)))
-    return mine.select("issue_id", "path", of(lambda n: n.isNotNull()).alias("identifiers"), of(lambda n: n.isNull()).alias("words"), F.array_min(F.col("found.line")).alias("line"))
+    names = asked_names(issues).select("repository", F.col("identifier").alias("value"), F.lit(True).alias("name"), "issue_id")
+    words = _asked_words(issues).select("repository", F.col("needle").alias("value"), F.lit(False).alias("name"), "issue_id")
+    by_value = names.unionByName(words).groupBy("repository", "value", "name").agg(F.collect_set("issue_id").alias("issues"))
+    both = spread(found(issues, files).withColumn("name", F.col("line").isNotNull()), "path").join(small(by_value, "issues", FEW), ["repository", "value", "name"])
+    each = both.select("path", "value", "line", F.explode("issues").alias("issue_id"))
+    of = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("value"))))
+    return each.groupBy("path", "issue_id").agg(of(F.col("line").isNotNull()).alias("identifiers"), of(F.col("line").isNull()).alias("words"), F.min("line").alias("line")).select("issue_id", "path", "identifiers", "words", "line")

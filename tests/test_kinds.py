@@ -50,3 +50,11 @@ def test_paths_end_alike(spark):
     plain = lambda x: x.lower().lstrip("./")
     ends = lambda a, b: a.endswith(b) and (len(b) >= 4 or a == b)
     assert {tuple(x) for x in found.collect()} == {(a, b) for a in references for b in paths if ends(plain(a), plain(b)) or ends(plain(b), plain(a))}
+
+
+def test_asked_for_words_travel_without_their_issues(spark):
+    files = spark.createDataFrame([("r", "a.py", "use part_1 here"), ("s", "a.py", "apart été.part_1")], "repository string, path string, content string")
+    issues = spark.createDataFrame([(i, "r" if i % 2 else "s", ["part_1"], [], ["part", "here"]) for i in range(6)], "issue_id long, repository string, identifiers array<string>, explicit_identifiers array<string>, content_terms array<string>")
+    assert {tuple(x) for x in content.found(issues, files).collect()} == {("r", "a.py", "part_1", 1), ("r", "a.py", "part", None), ("r", "a.py", "here", None), ("s", "a.py", "part_1", 1), ("s", "a.py", "part", None)}
+    got = {x.issue_id: (x.identifiers, x.words, x.line) for x in content.content_hits(issues, files).collect()}
+    assert got == {i: (["part_1"], ["here", "part"], 1) if i % 2 else (["part_1"], ["part"], 1) for i in range(6)}
